@@ -1 +1,296 @@
+"""Geometry and projection functions."""
 
+from pyspark.sql import functions as F
+
+from kerbline.catalog import sqltext as Q
+from kerbline.catalog.registry import query
+from kerbline.functions import crs
+from kerbline.functions import geometry as G
+from kerbline.functions import text as X
+from kerbline.functions.geometry import r_to
+from kerbline.functions.simplify import simplify_line
+
+
+def part_lines(t):
+    """Five-vertex lines as array geometry (the array form of d_vertices)."""
+    x, y, p = F.col("x"), F.col("y"), F.col("fid")
+    return t("d_facilities").select(
+        p.alias("line_id"),
+        G.line((x, y), (x + 20 + p % 7, y + 5), (x + 35 + p % 7, y - 12 + p % 23), (x + 60, y + 3 - p % 5),
+               (x + 75 + p % 11, y + 30)).alias("geom"),
+    )
+
+
+def zone_rings(t):
+    """L-shaped zones as rings (the array form of d_ring)."""
+    cx, cy, h = F.col("cx"), F.col("cy"), F.col("half")
+    return t("d_zones").select(
+        "zone_id", "school_name",
+        G.line((cx - h, cy - h), (cx + h, cy - h), (cx + h, cy + 10), (cx + 20, cy + 10), (cx + 20, cy + h), (cx - h, cy + h)).alias("ring"),
+    )
+
+
+SEGS = ("x1", "y1", "x2", "y2")
+# Each lattice edge with a neighbouring segment moved and turned a little.
+PAIR_SQL = """select u, v, x1, y1, x2, y2, x1+7-u%15 as p1, y1+u%9-3 as q1, x2+u%13-6 as p2, y2+v%11-4 as q2, length_m from d_lattice"""
+PAIR_B = ("p1", "q1", "p2", "q2")
+
+
+@query("geo_parse_wkt", f"""with n as (select line_id, string_agg(cast(x as varchar)||' '||cast(y as varchar), ', ' order by seq) as c from d_vertices group by 1)
+    select line_id, case when line_id%10=0 then 0 else 5 end as n_points, case when line_id%10=0 then null else 'LINESTRING('||c||')' end as again from n""")
+def parse_wkt(t):
+    wkt = X.to_wkt_line("geom")
+    bad = F.when(F.expr("line_id%10=0"), F.lit("POINT(1 2")).otherwise(wkt)
+    df = part_lines(t).withColumn("g", X.parse_wkt_line(bad))
+    return df.select("line_id", F.when(F.col("g").isNull(), 0).otherwise(F.size("g")).alias("n_points"),
+                     F.when(F.col("g").isNotNull(), X.to_wkt_line("g")).alias("again"))
+
+
+GRS80_N = 1 / (2 * 298.257222101 - 1)
+
+
+def _tm_sql(lat: str, lon: str, lon0: float, k0: float, fe: float, fn: float) -> str:
+    """Select list items (px, py) of the projected point, by the series with complex sines written out."""
+    g = crs.Grid(6378137.0, 298.257222101, 38.0, lon0, k0, fe, fn)
+    radius, alpha, _, _, e, m0 = crs._series(g)
+    phi, lam = f"radians({lat})", f"radians({lon}-{lon0!r}::double)"
+    t = f"sinh(atanh(sin({phi}))-{e!r}::double*atanh({e!r}::double*sin({phi})))"
+    xi = f"atan2({t},cos({lam}))"
+    eta = f"atanh(sin({lam})/sqrt(1+{t}*{t}))"
+    north = "+".join([xi] + [f"{a!r}::double*sin({2 * j}*{xi})*cosh({2 * j}*{eta})" for j, a in enumerate(alpha, 1)])
+    east = "+".join([eta] + [f"{a!r}::double*cos({2 * j}*{xi})*sinh({2 * j}*{eta})" for j, a in enumerate(alpha, 1)])
+    scale = f"{k0 * radius!r}::double"
+    return f"round({fe!r}::double+{scale}*({east}),3)+0 as px, round({fn!r}::double+{scale}*({north}-{m0!r}::double),3)+0 as py"
+
+
+LATLON = "select acdnt_no, 37+y/cast(3000 as double) as lat, 126+x/cast(5000 as double) as lon from d_accidents"
+
+
+@query("geo_to_crs", f"with p as ({LATLON}) select acdnt_no, {_tm_sql('lat', 'lon', 127.5, 0.9996, 1000000.0, 2000000.0)} from p")
+def to_crs(t):
+    df = crs.reproject(t.sql(LATLON), "lon", "lat", 4326, 5179, "x", "y")
+    return df.select("acdnt_no", r_to("x", 3).alias("px"), r_to("y", 3).alias("py"))
+
+
+@query("geo_to_crs_round_trip", f"with p as ({LATLON}) select acdnt_no, round(lat,6)+0 as lat, round(lon,6)+0 as lon, round(lat,6)+0 as lat_bessel, round(lon,6)+0 as lon_bessel from p")
+def to_crs_round_trip(t):
+    df = crs.reproject(t.sql(LATLON), "lon", "lat", 4326, 5186, "x", "y")
+    df = crs.reproject(df, "x", "y", 5186, 4326, "lon1", "lat1")
+    df = crs.reproject(df, "lon", "lat", 4326, 5174, "bx", "by")
+    df = crs.reproject(df, "bx", "by", 5174, 4326, "lon2", "lat2")
+    return df.select("acdnt_no", r_to("lat1").alias("lat"), r_to("lon1").alias("lon"), r_to("lat2").alias("lat_bessel"), r_to("lon2").alias("lon_bessel"))
+
+
+@query("geo_shift_5174", "select acdnt_no, x+12.5::double as x, y-3.25::double as y from d_accidents")
+def shift_5174(t):
+    x, y = crs.shifted("x", "y", 12.5, -3.25)
+    return t("d_accidents").select("acdnt_no", x.alias("x"), y.alias("y"))
+
+
+@query("geo_planar_xy", f"""with p as ({LATLON}), m as (select avg(lat) as a from p)
+    select acdnt_no, round(lon*111000*cos(radians((select a from m))),4)+0 as px, round(lat*111000,4)+0 as py from p""")
+def planar_xy(t):
+    from kerbline.operators.stats import attach
+
+    p = t.sql(LATLON)
+    df = attach(p, p.agg(F.avg("lat").alias("a")))
+    x, y = G.planar_xy("lat", "lon", F.col("_s.a"))
+    return df.select("acdnt_no", r_to(x, 4).alias("px"), r_to(y, 4).alias("py"))
+
+
+@query("geo_cos_lat_scale", f"with p as ({LATLON}) select acdnt_no, round(lon*cos(radians(37.55::double)),6)+0 as sx, round(lat,6)+0 as sy from p")
+def cos_lat_scale(t):
+    x, y = G.cos_scaled("lat", "lon")
+    return t.sql(LATLON).select("acdnt_no", r_to(x).alias("sx"), r_to(y).alias("sy"))
+
+
+@query("geo_haversine", f"""with p as ({LATLON}) select acdnt_no, round(2*6371000*asin(sqrt(power(sin(radians(37.5::double-lat)/2),2)
+    +cos(radians(lat))*cos(radians(37.5::double))*power(sin(radians(126.9::double-lon)/2),2))),4)+0 as metres from p""")
+def haversine(t):
+    return t.sql(LATLON).select("acdnt_no", r_to(G.haversine("lat", "lon", 37.5, 126.9), 4).alias("metres"))
+
+
+@query("geo_line_length", f"with {Q.LINE_EDGES} select line_id, round(sum({Q.dist('x1','y1','x2','y2')}),6)+0 as length_m from le group by 1")
+def line_length(t):
+    return part_lines(t).select("line_id", r_to(G.line_length("geom")).alias("length_m"))
+
+
+@query("geo_midpoint", f"""with {Q.LINE_EDGES}, d as (select *, {Q.dist('x1','y1','x2','y2')} as l from le),
+    r as (select *, sum(l) over (partition by line_id order by seq) as upto, sum(l) over (partition by line_id) as total from d),
+    m as (select *, row_number() over (partition by line_id order by seq) as rn from r where upto>=total/2)
+    select line_id, round(x1+(x2-x1)*(total/2-(upto-l))/l,6)+0 as mx, round(y1+(y2-y1)*(total/2-(upto-l))/l,6)+0 as my from m where rn=1""")
+def midpoint(t):
+    m = part_lines(t).withColumn("m", G.line_midpoint("geom"))
+    return m.select("line_id", r_to("m.x").alias("mx"), r_to("m.y").alias("my"))
+
+
+@query("geo_line_angle", f"""select u, v, round({Q.angle('x1','y1','x2','y2')},6)+0 as angle from d_lattice""")
+def line_angle(t):
+    geom = G.line((F.col("x1"), F.col("y1")), (F.col("x2"), F.col("y2")))
+    stub = G.line((F.col("x1"), F.col("y1")), (F.col("x1") + 1, F.col("y1") + 1))
+    parts = F.array(stub, geom)
+    return t("d_lattice").select("u", "v", r_to(G.line_angle(G.longest_part(parts))).alias("angle"))
+
+
+@query("geo_angle_diff", f"""with p as ({PAIR_SQL}) select u, v, round({Q.angle_diff(Q.angle('x1','y1','x2','y2'), Q.angle('p1','q1','p2','q2'))},6)+0 as diff from p""")
+def angle_diff(t):
+    return t.sql(PAIR_SQL).select("u", "v", r_to(G.angle_diff(G.angle(*SEGS), G.angle(*PAIR_B))).alias("diff"))
+
+
+@query("geo_point_line_distance", f"""with {Q.LINE_EDGES}, p as (select fid, x+33 as px, y+41 as py from d_facilities)
+    select fid, round(min({Q.psd('px','py','x1','y1','x2','y2')}),6)+0 as distance from p join le on le.line_id=p.fid group by 1""")
+def point_line_distance(t):
+    p = part_lines(t).withColumn("a", F.element_at("geom", 1))
+    return p.select(F.col("line_id").alias("fid"), r_to(G.point_line_distance(F.col("a.x") + 33, F.col("a.y") + 41, "geom")).alias("distance"))
+
+
+@query("geo_line_line_distance", f"with p as ({PAIR_SQL}) select u, v, round({Q.ssd(SEGS, PAIR_B)},6)+0 as distance from p")
+def line_line_distance(t):
+    return t.sql(PAIR_SQL).select("u", "v", r_to(G.segment_segment_distance(SEGS, PAIR_B)).alias("distance"))
+
+
+@query("geo_buffer_pred", f"with p as ({PAIR_SQL}) select u, v, {Q.ssd(SEGS, PAIR_B)}<=2 as within from p")
+def buffer_pred(t):
+    return t.sql(PAIR_SQL).select("u", "v", (G.segment_segment_distance(SEGS, PAIR_B) <= 2).alias("within"))
+
+
+@query("geo_overlap_length", f"with p as ({PAIR_SQL}), {Q.overlap_cte('p', SEGS, PAIR_B, '5', 'u, v')} select u, v, round(ov,5)+0 as overlap_m from ov_final")
+def overlap_length(t):
+    return t.sql(PAIR_SQL).select("u", "v", r_to(G.overlap_length(SEGS, PAIR_B, 5.0), 5).alias("overlap_m"))
+
+
+@query("geo_overlap_length_lines")
+def overlap_length_lines(t):
+    """Length of bent lines inside the 8 m surroundings of a shifted copy of themselves."""
+    from kerbline.operators.overlap import lines_overlap
+
+    lines = part_lines(t)
+    moved = lines.select(F.col("line_id").alias("other_id"), F.transform("geom", lambda p: G.point(p.x + 4, p.y - 3)).alias("other"))
+    pairs = lines.join(moved, F.col("line_id") == F.col("other_id"))
+    return lines_overlap(pairs, "line_id", "other_id", "geom", "other", 8.0).select("line_id", r_to("overlap_m", 5).alias("overlap_m"))
+
+
+SHARED_SQL = """select u, v, x1, y1, x2, y2, x1+(x2-x1)*0.5::double as p1, y1+(y2-y1)*0.5::double as q1,
+    case when u%3=0 then x2 else x1 end as p2, case when u%3=0 then y2 else y1+(y2-y1)*2 end as q2 from d_lattice where x1=x2 or y1=y2 or u%3=0"""
+SHARED_SPARK = SHARED_SQL.replace("0.5::double", "cast(0.5 as double)")
+
+
+@query("geo_intersection_length", f"""with p as ({SHARED_SQL}),
+    k as (select *, sqrt((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1)) as l, {Q.cross(*SEGS, 'p1', 'q1')} as ca, {Q.cross(*SEGS, 'p2', 'q2')} as cb from p),
+    m as (select *, ((p1-x1)*(x2-x1)+(q1-y1)*(y2-y1))/l as a, ((p2-x1)*(x2-x1)+(q2-y1)*(y2-y1))/l as b from k)
+    select u, v, round(case when ca=0 and cb=0 then greatest(least(greatest(a,b),l)-greatest(least(a,b),0),0) else 0 end,6)+0 as shared_m from m""")
+def intersection_length(t):
+    df = t.sql(SHARED_SPARK)
+    return df.select("u", "v", r_to(G.shared_length(SEGS, PAIR_B)).alias("shared_m"))
+
+
+# The share of a line inside a ring by splitting it at its crossings and testing the middle of each piece.
+INSIDE_SQL = f"""{Q.RING_EDGES},
+    cand as (select l.u, l.v, l.x1 as ax, l.y1 as ay, l.x2 as bx, l.y2 as by0, z.zone_id from d_lattice l join d_zones z
+      on greatest(l.x1,l.x2)>=z.cx-z.half and least(l.x1,l.x2)<=z.cx+z.half and greatest(l.y1,l.y2)>=z.cy-z.half and least(l.y1,l.y2)<=z.cy+z.half),
+    cr as (select c.u, c.v, c.zone_id, ((e.x1-ax)*(e.y2-e.y1)-(e.y1-ay)*(e.x2-e.x1))/((bx-ax)*(e.y2-e.y1)-(by0-ay)*(e.x2-e.x1)) as t,
+        ((e.x1-ax)*(by0-ay)-(e.y1-ay)*(bx-ax))/((bx-ax)*(e.y2-e.y1)-(by0-ay)*(e.x2-e.x1)) as s
+      from cand c join re e on e.zone_id=c.zone_id where (bx-ax)*(e.y2-e.y1)-(by0-ay)*(e.x2-e.x1)<>0),
+    ts as (select u, v, zone_id, t from cr where t>0 and t<1 and s>=0 and s<=1 union select u, v, zone_id, 0 from cand union select u, v, zone_id, 1 from cand),
+    pieces as (select u, v, zone_id, t as t0, lead(t) over (partition by u, v, zone_id order by t) as t1 from ts),
+    mids as (select p.*, ax+(bx-ax)*(t0+t1)/2 as mx, ay+(by0-ay)*(t0+t1)/2 as my, sqrt((bx-ax)*(bx-ax)+(by0-ay)*(by0-ay)) as len
+      from pieces p join cand c on c.u=p.u and c.v=p.v and c.zone_id=p.zone_id where t1 is not null),
+    flagged as (select m.u, m.v, m.zone_id, m.t0, m.t1, m.len, {Q.in_ring('m.mx', 'm.my')} as inside
+      from mids m join re e on e.zone_id=m.zone_id group by m.u, m.v, m.zone_id, m.t0, m.t1, m.len),
+    inside as (select u, v, zone_id, sum(case when inside then (t1-t0)*len else 0 end) as inter_len, max(len) as len from flagged group by 1,2,3)"""
+
+
+@query("geo_line_in_polygon_length", f"with {INSIDE_SQL} select u, v, zone_id, round(inter_len,5)+0 as inter_len, round(inter_len/len,6)+0 as share from inside where inter_len>0.001::double")
+def line_in_polygon_length(t):
+    from kerbline.operators.spatial import segments_in_rings
+
+    lines = t("d_lattice").withColumn("line", F.concat_ws("_", "u", "v"))
+    hit = segments_in_rings(lines, zone_rings(t), "line").filter("inter_len > 0.001")
+    return hit.select("u", "v", "zone_id", r_to("inter_len", 5).alias("inter_len"), r_to(F.col("inter_len") / F.col("length_m")).alias("share"))
+
+
+HOLE = "cx-30"
+
+
+@query("geo_point_in_polygon", f"""with {Q.RING_EDGES}, p as (select zone_id, cx+half-40 as px, cy+half*0.5::double as py from d_zones union all select zone_id, cx-half+40, cy-half+17 from d_zones)
+    select p.zone_id, px, py, {Q.in_ring('px', 'py')} and not (px>cx-half+20 and px<cx-half+60 and py>cy-half+20 and py<cy-half+60) as inside
+    from p join re e on e.zone_id=p.zone_id join d_zones z on z.zone_id=p.zone_id group by p.zone_id, px, py, cx, cy, half""")
+def point_in_polygon(t):
+    z = t("d_zones")
+    cx, cy, h = F.col("cx"), F.col("cy"), F.col("half")
+    hole = G.line((cx - h + 20, cy - h + 20), (cx - h + 60, cy - h + 20), (cx - h + 60, cy - h + 60), (cx - h + 20, cy - h + 60))
+    rings = zone_rings(t).join(z.select("zone_id", "cx", "cy", "half"), "zone_id").withColumn("rings", F.array("ring", hole))
+    pts = rings.select("zone_id", "rings", F.explode(F.array(
+        G.point(cx + h - 40, cy + h * 0.5), G.point(cx - h + 40, cy - h + 17))).alias("p"))
+    return pts.select("zone_id", F.col("p.x").alias("px"), F.col("p.y").alias("py"), G.point_in_polygon(F.col("p.x"), F.col("p.y"), "rings").alias("inside"))
+
+
+@query("geo_intersects", f"""with {Q.RING_EDGES}, l as (select zone_id, cx+half-60 as ax, cy-half-50 as ay, cx+half+30+zone_id%40 as bx, cy-half+20+zone_id%90 as by0 from d_zones),
+    h as (select l.zone_id, bool_or({Q.ssd(('ax','ay','bx','by0'), ('e.x1','e.y1','e.x2','e.y2'))}=0) or {Q.in_ring('ax','ay')} as meets
+    from l join re e on e.zone_id=l.zone_id group by l.zone_id, ax, ay, bx, by0) select zone_id, meets from h""")
+def intersects(t):
+    z = zone_rings(t).join(t("d_zones").select("zone_id", "cx", "cy", "half"), "zone_id")
+    cx, cy, h, i = F.col("cx"), F.col("cy"), F.col("half"), F.col("zone_id")
+    return z.select("zone_id", G.segment_meets_ring(cx + h - 60, cy - h - 50, cx + h + 30 + i % 40, cy - h + 20 + i % 90, F.col("ring")).alias("meets"))
+
+
+@query("geo_centroid", f"""with {Q.LINE_EDGES}, d as (select *, {Q.dist('x1','y1','x2','y2')} as l from le)
+    select line_id, round(sum((x1+x2)/2*l)/sum(l),6)+0 as gx, round(sum((y1+y2)/2*l)/sum(l),6)+0 as gy from d group by 1""")
+def centroid(t):
+    c = part_lines(t).withColumn("c", G.line_centroid("geom"))
+    return c.select("line_id", r_to("c.x").alias("gx"), r_to("c.y").alias("gy"))
+
+
+@query("geo_centroid_area", f"""with {Q.RING_EDGES} select zone_id, round(sum((x1+x2)*(x1*y2-x2*y1))/(3*sum(x1*y2-x2*y1)),4)+0 as gx,
+    round(sum((y1+y2)*(x1*y2-x2*y1))/(3*sum(x1*y2-x2*y1)),4)+0 as gy from re group by 1""")
+def centroid_area(t):
+    c = zone_rings(t).withColumn("c", G.ring_centroid("ring"))
+    return c.select("zone_id", r_to("c.x", 4).alias("gx"), r_to("c.y", 4).alias("gy"))
+
+
+def _side_sql(sign: int) -> str:
+    l = "sqrt((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1))"
+    nx, ny = f"(-(y2-y1)/{l}*5*{sign})", f"((x2-x1)/{l}*5*{sign})"
+    moved = Q.psd("px", "py", f"(x1+{nx})", f"(y1+{ny})", f"(x2+{nx})", f"(y2+{ny})")
+    return f"({Q.psd('px', 'py', 'x1', 'y1', 'x2', 'y2')}<=10 and {moved}<=10)"
+
+
+SIDE_POINTS = "select u, v, x1, y1, x2, y2, (x1+x2)/2+u%23-11 as px, (y1+y2)/2+v%19-9 as py from d_lattice"
+
+
+@query("geo_half_side", f"with s as ({SIDE_POINTS}) select u, v, {_side_sql(1)} as in_left, {_side_sql(-1)} as in_right from s")
+def half_side(t):
+    left, right = G.half_sides("px", "py", *SEGS, 10.0)
+    return t.sql(SIDE_POINTS).select("u", "v", left.alias("in_left"), right.alias("in_right"))
+
+
+@query("geo_total_bounds", "select min(x) as minx, min(y) as miny, max(x) as maxx, max(y) as maxy, round((min(x)+max(x))/2,6)+0 as mx, round((min(y)+max(y))/2,6)+0 as my from d_accidents")
+def total_bounds(t):
+    one = t("d_accidents").agg(F.min("x").alias("minx"), F.min("y").alias("miny"), F.max("x").alias("maxx"), F.max("y").alias("maxy"))
+    return one.withColumns({"mx": r_to((F.col("minx") + F.col("maxx")) / 2), "my": r_to((F.col("miny") + F.col("maxy")) / 2)})
+
+
+@query("geo_simplify_line")
+def simplify(t):
+    return part_lines(t).select("line_id", F.size(simplify_line(F.col("geom"), F.lit(6.0))).alias("n_points"))
+
+
+@query("geo_round_coords", "select line_id, cast(seq as integer) as seq, round(x/7,5)+0 as x, round(y/7,5)+0 as y from d_vertices")
+def round_coords(t):
+    g = part_lines(t).select("line_id", F.transform("geom", lambda p: G.point(p.x / 7, p.y / 7)).alias("geom"))
+    return g.select("line_id", F.posexplode(G.round_coords("geom", 5)).alias("seq", "p")).select("line_id", "seq", "p.x", "p.y")
+
+
+@query("geo_polygon_parts", "select zone_id, cast(k as integer) as part, cx-half+k*10 as minx from d_zones cross join (select 0 as k union all select 1) where zone_id%3<>0 or k=0")
+def polygon_parts(t):
+    """Multi-polygons exploded to their polygons."""
+    z = zone_rings(t).withColumn("moved", F.transform("ring", lambda p: G.point(p.x + 10, p.y)))
+    multi = z.withColumn("parts", F.when(F.expr("zone_id%3<>0"), F.array("ring", "moved")).otherwise(F.array("ring")))
+    return multi.select("zone_id", F.posexplode("parts").alias("part", "g")).select(
+        "zone_id", "part", F.array_min(F.transform("g", lambda p: p.x)).alias("minx"))
+
+
+@query("geo_start_point", "select line_id, max(case when seq=0 then x end) as sx, max(case when seq=0 then y end) as sy, max(case when seq=2 then x end) as mx, max(case when seq=2 then y end) as my from d_vertices group by 1")
+def start_point(t):
+    g = part_lines(t).withColumns({"s": G.start_point("geom"), "m": G.mid_vertex("geom")})
+    return g.select("line_id", F.col("s.x").alias("sx"), F.col("s.y").alias("sy"), F.col("m.x").alias("mx"), F.col("m.y").alias("my"))

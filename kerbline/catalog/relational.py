@@ -18,9 +18,9 @@ def filter_valid_coords(t):
     return O.valid_coords(t("d_accidents")).select("acdnt_no", "x", "y")
 
 
-@query("filter_contains", "select doc_id, lang from documents where contains(coalesce(source,''),'a') or contains(lang,'a')")
+@query("filter_contains", "select doc_id, lang from documents where contains(coalesce(source,''),'e') or contains(lang,'e')")
 def filter_contains(t):
-    return O.contains_in_any(t("documents").select("doc_id", "lang", "source"), ["source", "lang", "absent"], "a").select("doc_id", "lang")
+    return O.contains_in_any(t("documents").select("doc_id", "lang", "source"), ["source", "lang", "absent"], "e").select("doc_id", "lang")
 
 
 @query("filter_in_set", "select osm_edge_id, road_class from d_roads where road_class in ('primary','secondary','residential')")

@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # EPSG definitions (semi-major axis, inverse flattening, origin, scale, offsets,
@@ -66,102 +66,136 @@ def _series(g: Grid):
     return radius, alpha, beta, delta, e, m0
 
 
-def _forward(lat: Column, lon: Column, g: Grid) -> tuple[Column, Column]:
+# A projection is a list of small steps, each turning named columns into new ones. On a DataFrame a
+# step is one projection, so no expression is ever repeated inside another.
+
+
+def _forward_steps(g: Grid) -> list:
     radius, alpha, _, _, e, m0 = _series(g)
-    phi, lam = F.radians(lat), F.radians(lon - g.lon0)
-    t = F.sinh(F.atanh(F.sin(phi)) - F.atanh(F.sin(phi) * e) * e)
-    xi, eta = F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(t * t + 1))
-    north, east = xi, eta
-    for j, al in enumerate(alpha, 1):
-        north = north + F.sin(xi * (2 * j)) * F.cosh(eta * (2 * j)) * al
-        east = east + F.cos(xi * (2 * j)) * F.sinh(eta * (2 * j)) * al
-    return east * (g.k0 * radius) + g.fe, (north - m0) * (g.k0 * radius) + g.fn
 
+    def conformal(c):
+        phi = F.radians(c["lat"])
+        return {"t": F.sinh(F.atanh(F.sin(phi)) - F.atanh(F.sin(phi) * e) * e), "lam": F.radians(c["lon"] - g.lon0)}
+
+    def sphere(c):
+        t, lam = c["t"], c["lam"]
+        return {"xi": F.atan2(t, F.cos(lam)), "eta": F.atanh(F.sin(lam) / F.sqrt(t * t + 1))}
+
+    def plane(c):
+        north, east = c["xi"], c["eta"]
+        for j, al in enumerate(alpha, 1):
+            north = north + F.sin(c["xi"] * (2 * j)) * F.cosh(c["eta"] * (2 * j)) * al
+            east = east + F.cos(c["xi"] * (2 * j)) * F.sinh(c["eta"] * (2 * j)) * al
+        return {"x": east * (g.k0 * radius) + g.fe, "y": (north - m0) * (g.k0 * radius) + g.fn}
 
-def _inverse(x: Column, y: Column, g: Grid) -> tuple[Column, Column]:
+    return [conformal, sphere, plane]
+
+
+def _inverse_steps(g: Grid) -> list:
     radius, _, beta, delta, _, m0 = _series(g)
-    xi = (y - g.fn) / (g.k0 * radius) + m0
-    eta = (x - g.fe) / (g.k0 * radius)
-    xi1, eta1 = xi, eta
-    for j, b in enumerate(beta, 1):
-        xi1 = xi1 - F.sin(xi * (2 * j)) * F.cosh(eta * (2 * j)) * b
-        eta1 = eta1 - F.cos(xi * (2 * j)) * F.sinh(eta * (2 * j)) * b
-    chi = F.asin(F.sin(xi1) / F.cosh(eta1))
-    phi = chi
-    for j, d in enumerate(delta, 1):
-        phi = phi + F.sin(chi * (2 * j)) * d
-    return F.degrees(phi), F.degrees(F.atan2(F.sinh(eta1), F.cos(xi1))) + g.lon0
-
-
-def _geocentric(lat: Column, lon: Column, a: float, inv_f: float):
-    e2 = (2 - 1 / inv_f) / inv_f
-    phi, lam = F.radians(lat), F.radians(lon)
-    nu = F.lit(a) / F.sqrt(F.lit(1.0) - F.sin(phi) * F.sin(phi) * e2)
-    return nu * F.cos(phi) * F.cos(lam), nu * F.cos(phi) * F.sin(lam), nu * (1 - e2) * F.sin(phi)
 
+    def scaled(c):
+        return {"xi": (c["y"] - g.fn) / (g.k0 * radius) + m0, "eta": (c["x"] - g.fe) / (g.k0 * radius)}
 
-def _geodetic(x: Column, y: Column, z: Column, a: float, inv_f: float) -> tuple[Column, Column]:
-    f = 1 / inv_f
-    e2, b = (2 - f) * f, a * (1 - f)
-    p = F.sqrt(x * x + y * y)
-    theta = F.atan2(z * a, p * b)
-    st, ct = F.sin(theta), F.cos(theta)
-    ep2 = e2 / (1 - e2)
-    phi = F.atan2(z + st * st * st * (ep2 * b), p - ct * ct * ct * (e2 * a))
-    return F.degrees(phi), F.degrees(F.atan2(y, x))
+    def corrected(c):
+        xi, eta = c["xi"], c["eta"]
+        for j, b in enumerate(beta, 1):
+            xi = xi - F.sin(c["xi"] * (2 * j)) * F.cosh(c["eta"] * (2 * j)) * b
+            eta = eta - F.cos(c["xi"] * (2 * j)) * F.sinh(c["eta"] * (2 * j)) * b
+        return {"xi": xi, "eta": eta}
 
+    def sphere(c):
+        return {
+            "chi": F.asin(F.sin(c["xi"]) / F.cosh(c["eta"])),
+            "lon": F.degrees(F.atan2(F.sinh(c["eta"]), F.cos(c["xi"]))) + g.lon0,
+        }
 
-def _shift(x: Column, y: Column, z: Column, params: tuple[float, ...], sign: int):
-    tx, ty, tz = params[:3]
+    def geodetic(c):
+        phi = c["chi"]
+        for j, d in enumerate(delta, 1):
+            phi = phi + F.sin(c["chi"] * (2 * j)) * d
+        return {"lat": F.degrees(phi), "lon": c["lon"]}
+
+    return [scaled, corrected, sphere, geodetic]
+
+
+def _datum_steps(a: float, inv_f: float, params: tuple[float, ...], sign: int, a2: float, inv_f2: float) -> list:
+    """Latitude and longitude on one ellipsoid to another by a seven-parameter shift (sign -1 undoes it)."""
+    e2 = (2 - 1 / inv_f) / inv_f
+    f2 = 1 / inv_f2
+    e2b, b2 = (2 - f2) * f2, a2 * (1 - f2)
     rx, ry, rz = (math.radians(s / 3600) * sign for s in params[3:6])
-    if sign > 0:
-        m = 1 + params[6] * 1e-6
-        return (x - y * rz + z * ry) * m + tx, (x * rz + y - z * rx) * m + ty, (y * rx - x * ry + z) * m + tz
-    m = 1 / (1 + params[6] * 1e-6)
-    x, y, z = (x - tx) * m, (y - ty) * m, (z - tz) * m
-    return x - y * rz + z * ry, x * rz + y - z * rx, y * rx - x * ry + z
-
-
-def to_wgs84(x, y, srid: int) -> tuple[Column, Column]:
-    """(lat, lon) of grid coordinates."""
-    g = GRIDS[srid]
-    lat, lon = _inverse(F.col(x) if isinstance(x, str) else x, F.col(y) if isinstance(y, str) else y, g)
-    if g.shift:
-        xyz = _shift(*_geocentric(lat, lon, g.a, g.inv_f), g.shift, 1)
-        lat, lon = _geodetic(*xyz, *WGS84)
-    return lat, lon
-
-
-def from_wgs84(lat, lon, srid: int) -> tuple[Column, Column]:
-    """Grid coordinates (x, y) of a latitude and longitude."""
-    g = GRIDS[srid]
-    lat, lon = (F.col(lat) if isinstance(lat, str) else lat), (F.col(lon) if isinstance(lon, str) else lon)
-    if g.shift:
-        xyz = _shift(*_geocentric(lat, lon, *WGS84), g.shift, -1)
-        lat, lon = _geodetic(*xyz, g.a, g.inv_f)
-    return _forward(lat, lon, g)
-
-
-def to_crs(x, y, source: int, target: int) -> tuple[Column, Column]:
-    """Coordinates (x, y) in ``target``; 4326 means x = longitude, y = latitude."""
-    x, y = (F.col(x) if isinstance(x, str) else x), (F.col(y) if isinstance(y, str) else y)
-    if source == target:
-        return x, y
-    if source == 4326:
-        return from_wgs84(y, x, target)
-    lat, lon = to_wgs84(x, y, source)
-    return (lon, lat) if target == 4326 else from_wgs84(lat, lon, target)
+    tx, ty, tz = params[:3]
+    m = 1 + params[6] * 1e-6
+
+    def geocentric(c):
+        phi, lam = F.radians(c["lat"]), F.radians(c["lon"])
+        nu = F.lit(a) / F.sqrt(F.lit(1.0) - F.sin(phi) * F.sin(phi) * e2)
+        return {"gx": nu * F.cos(phi) * F.cos(lam), "gy": nu * F.cos(phi) * F.sin(lam), "gz": nu * (1 - e2) * F.sin(phi)}
+
+    def move(c):
+        x, y, z = c["gx"], c["gy"], c["gz"]
+        if sign < 0:
+            x, y, z = (x - tx) / m, (y - ty) / m, (z - tz) / m
+        moved = (x - y * rz + z * ry, x * rz + y - z * rx, y * rx - x * ry + z)
+        if sign > 0:
+            moved = (moved[0] * m + tx, moved[1] * m + ty, moved[2] * m + tz)
+        return dict(zip(("gx", "gy", "gz"), moved))
+
+    def polar(c):
+        p = F.sqrt(c["gx"] * c["gx"] + c["gy"] * c["gy"])
+        return {"p": p, "theta": F.atan2(c["gz"] * a2, p * b2), "gz": c["gz"], "lon": F.degrees(F.atan2(c["gy"], c["gx"]))}
+
+    def geodetic(c):
+        st, ct = F.sin(c["theta"]), F.cos(c["theta"])
+        up = c["gz"] + st * st * st * (e2b / (1 - e2b) * b2)
+        return {"lat": F.degrees(F.atan2(up, c["p"] - ct * ct * ct * (e2b * a2))), "lon": c["lon"]}
+
+    return [geocentric, move, polar, geodetic]
+
+
+def _steps(source: int, target: int) -> list:
+    steps: list = []
+    if source != 4326:
+        g = GRIDS[source]
+        steps += _inverse_steps(g)
+        if g.shift:
+            steps += _datum_steps(g.a, g.inv_f, g.shift, 1, *WGS84)
+    else:
+        steps.append(lambda c: {"lat": c["y"], "lon": c["x"]})
+    if target != 4326:
+        g = GRIDS[target]
+        if g.shift:
+            steps += _datum_steps(*WGS84, g.shift, -1, g.a, g.inv_f)
+        steps += _forward_steps(g)
+    else:
+        steps.append(lambda c: {"x": c["lon"], "y": c["lat"]})
+    return steps
+
+
+def reproject(df: DataFrame, x: str, y: str, source: int, target: int, out_x: str, out_y: str) -> DataFrame:
+    """Add coordinates in ``target``; 4326 means x = longitude, y = latitude."""
+    keep = [c for c in df.columns if c not in (out_x, out_y)]
+    cols = {"x": F.col(x), "y": F.col(y)}
+    if source != target:
+        for i, step in enumerate(_steps(source, target)):
+            made = {k: v.alias(f"_{k}{i}") for k, v in step(cols).items()}
+            df = df.select(*keep, *made.values())
+            cols = {k: F.col(f"_{k}{i}") for k in made}
+    return df.select(*keep, cols["x"].alias(out_x), cols["y"].alias(out_y))
 
 
 def geom_to_crs(geom, source: int, target: int) -> Column:
-    """Reproject every vertex of an array geometry."""
+    """Reproject every vertex of an array geometry, one step of the projection at a time."""
     geom = F.col(geom) if isinstance(geom, str) else geom
+    for step in _steps(source, target) if source != target else []:
+        names = {"x", "y", "lat", "lon", "t", "lam", "xi", "eta", "chi", "gx", "gy", "gz", "p", "theta"}
 
-    def move(p):
-        x, y = to_crs(p.x, p.y, source, target)
-        return F.struct(x.alias("x"), y.alias("y"))
+        def apply(v, step=step, names=names):
+            return F.struct(*[c.alias(k) for k, c in step({n: v.getField(n) for n in names}).items()])
 
-    return F.transform(geom, move)
+        geom = F.transform(geom, apply)
+    return geom
 
 
 def shifted(x, y, dx: float, dy: float) -> tuple[Column, Column]:

@@ -131,8 +131,9 @@ def capsule_interval(a: tuple, b: tuple, r) -> tuple[Column, Column]:
     pieces = [disc(bx1, by1), disc(bx2, by2), (s_lo, s_hi)]
     lows, highs = [], []
     for lo, hi in pieces:
+        found = lo.isNotNull() & hi.isNotNull()
         lo, hi = F.greatest(lo, F.lit(0.0)), F.least(hi, F.lit(1.0))
-        valid = lo.isNotNull() & hi.isNotNull() & (lo <= hi)
+        valid = found & (lo <= hi)
         lows.append(F.when(valid, lo))
         highs.append(F.when(valid, hi))
     return F.least(*lows), F.greatest(*highs)
@@ -293,8 +294,10 @@ def share_in_ring(x1, y1, x2, y2, ring) -> Column:
     """Share of a segment inside a ring.
 
     With entering crossings counted +1 and leaving ones -1, the share is
-    inside(start) + sum(sign * (1 - t)) over the crossings at parameter t.
+    inside(start) + sum(sign * (1 - t)) over the crossings at parameter t. "Start" is a hair along the
+    segment, so that a start on the boundary takes the side the segment goes to.
     """
+    hair = 1e-9
     x1, y1, x2, y2 = _all(x1, y1, x2, y2)
     dx, dy = x2 - x1, y2 - y1
     turn = F.signum(ring_area2(ring))
@@ -304,10 +307,10 @@ def share_in_ring(x1, y1, x2, y2, ring) -> Column:
         den = F.nullif(dx * ey - dy * ex, F.lit(0.0))
         t = ((e.x1 - x1) * ey - (e.y1 - y1) * ex) / den
         u = ((e.x1 - x1) * dy - (e.y1 - y1) * dx) / den
-        hit = (t > 0) & (t <= 1) & (u >= 0) & (u < 1)
+        hit = (t > hair) & (t <= 1) & (u >= 0) & (u < 1)
         return F.when(hit, F.signum(ex * dy - ey * dx) * turn * (F.lit(1.0) - t)).otherwise(0.0)
 
-    inside = F.when(point_in_ring(x1, y1, ring), 1.0).otherwise(0.0)
+    inside = F.when(point_in_ring(x1 + dx * hair, y1 + dy * hair, ring), 1.0).otherwise(0.0)
     return clamp(inside + _sum(edges_of(ring, True), term), 0.0, 1.0)
 
 
