@@ -69,7 +69,11 @@ def sjoin_intersects(t):
     return S.segments_in_rings(lines, zone_rings(t), "line").filter("inter_len > 0.001").select("u", "v", "zone_id")
 
 
-@query("sjoin_any_semi", f"with {INSIDE_SQL} select l.u, l.v, exists(select 1 from inside i where i.u=l.u and i.v=l.v and i.inter_len>0) as in_zone from d_lattice l")
+TOUCH = Q.ssd(("c.ax", "c.ay", "c.bx", "c.by0"), ("e.x1", "e.y1", "e.x2", "e.y2"))
+
+
+@query("sjoin_any_semi", f"""with {INSIDE_SQL}, touch as (select distinct c.u, c.v from cand c join re e on e.zone_id=c.zone_id where {TOUCH}=0
+    union select u, v from inside where inter_len>0) select l.u, l.v, exists(select 1 from touch i where i.u=l.u and i.v=l.v) as in_zone from d_lattice l""")
 def sjoin_any_semi(t):
     lines = t("d_lattice").withColumn("line", F.concat_ws("_", "u", "v"))
     return S.meets_any(lines, zone_rings(t), "line").select("u", "v", "in_zone")

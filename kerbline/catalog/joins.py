@@ -49,7 +49,7 @@ def matched_road(t):
     return df.fillna({"lanes": 0.0, "speed_kmh": 30.0, "road_class": "unknown"})
 
 
-@query("join_positional", """with a as (select s_suppkey, row_number() over (order by s_suppkey) as rn from supplier), b as (select c_custkey, row_number() over (order by c_custkey) as rn from customer where c_custkey<=(select count(*) from supplier))
+@query("join_positional", """with a as (select s_suppkey, row_number() over (order by s_suppkey) as rn from supplier), b as (select c_custkey, row_number() over (order by c_custkey) as rn from customer where c_custkey<(select count(*) from supplier)+(select min(c_custkey) from customer))
     select a.s_suppkey, b.c_custkey from a join b on a.rn=b.rn""")
 def positional(t):
     """Two tables paired by an explicit ordinal, after checking that both have the same number of rows."""
@@ -57,7 +57,8 @@ def positional(t):
 
     left = t("supplier").select("s_suppkey")
     n = left.count()
-    right = t("customer").filter(F.col("c_custkey") <= n).select("c_custkey")
+    first = t("customer").agg(F.min("c_custkey").alias("m"))
+    right = t("customer").filter(F.col("c_custkey") < first.scalar() + n).select("c_custkey")
     if right.count() != n:
         raise ValueError("tables to pair have different lengths")
     a = row_numbers(left.withColumn("k", F.col("s_suppkey").cast("double")), "k", "s_suppkey", "ord")
@@ -66,7 +67,7 @@ def positional(t):
 
 
 FUZZY_SCHOOLS = f"select s_suppkey as school, concat({SYL},{SYL2},'초') as short from supplier where s_suppkey%2=0"
-FUZZY_LAYERS = f"select s_suppkey as layer, case s_suppkey%3 when 0 then concat({SYL},{SYL2},'초') when 1 then concat('신',{SYL},{SYL2},'초') else concat({SYL2},'초') end as short from supplier where s_suppkey%2=1"
+FUZZY_LAYERS = f"select s_suppkey as layer, case s_suppkey%3 when 0 then concat({SYL},{SYL2},'초') when 1 then concat('신',{SYL},{SYL2},'초') else concat({SYL2},'초') end as short from supplier where s_suppkey%5=0"
 
 
 @query("join_name_fuzzy", f"""with s as ({FUZZY_SCHOOLS}), l as ({FUZZY_LAYERS}),

@@ -64,6 +64,19 @@ def segments_cross(a: tuple, b: tuple) -> Column:
     return (F.signum(a1) * F.signum(a2) < 0) & (F.signum(b1) * F.signum(b2) < 0)
 
 
+def segments_touch(a: tuple, b: tuple) -> Column:
+    """True when the two closed segments share a point."""
+    ax1, ay1, ax2, ay2 = _all(*a)
+    bx1, by1, bx2, by2 = _all(*b)
+    boxes = (
+        (F.greatest(ax1, ax2) >= F.least(bx1, bx2)) & (F.greatest(bx1, bx2) >= F.least(ax1, ax2))
+        & (F.greatest(ay1, ay2) >= F.least(by1, by2)) & (F.greatest(by1, by2) >= F.least(ay1, ay2))
+    )
+    a_split = F.signum(cross(*b, a[0], a[1])) * F.signum(cross(*b, a[2], a[3])) <= 0
+    b_split = F.signum(cross(*a, b[0], b[1])) * F.signum(cross(*a, b[2], b[3])) <= 0
+    return boxes & a_split & b_split
+
+
 def segment_segment_distance(a: tuple, b: tuple) -> Column:
     return F.when(segments_cross(a, b), F.lit(0.0)).otherwise(
         F.least(
@@ -318,7 +331,7 @@ def segment_meets_ring(x1, y1, x2, y2, ring) -> Column:
     """True when a segment touches the area of a ring."""
     crosses = F.exists(
         edges_of(ring, True),
-        lambda e: segment_segment_distance((x1, y1, x2, y2), (e.x1, e.y1, e.x2, e.y2)) == 0,
+        lambda e: segments_touch((x1, y1, x2, y2), (e.x1, e.y1, e.x2, e.y2)),
     )
     return point_in_ring(x1, y1, ring) | crosses
 
@@ -330,7 +343,7 @@ def rings_meet(a, b) -> Column:
         edges_of(a, True),
         lambda e: F.exists(
             edges_of(b, True),
-            lambda g: segment_segment_distance((e.x1, e.y1, e.x2, e.y2), (g.x1, g.y1, g.x2, g.y2)) == 0,
+            lambda g: segments_touch((e.x1, e.y1, e.x2, e.y2), (g.x1, g.y1, g.x2, g.y2)),
         ),
     )
     pa, pb = F.element_at(a, 1), F.element_at(b, 1)

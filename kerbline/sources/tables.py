@@ -120,6 +120,12 @@ DERIVED: dict[str, str] = {
         select conv_id, turn, case (conv_id*7+turn)%6 when 0 then 'cars are scary here' when 1 then 'we have plenty of time'
           when 2 then 'hurry please' when 3 then 'already late' when 4 then 'scary but hurry' else text end as text
         from conversations where role='user'""",
+    # Physical roads with a name on every third and a risk index.
+    "d_wroads": f"""
+        select concat(cast(u as string),'_',cast(v as string),'_0') as osm_edge_id, u, v, {_ROAD_CLASS} as road_class,
+          case when u%3=0 then concat('road',cast(u as string)) when u%3=1 then 'nan' else null end as road_name,
+          cast((u*53+v*7)%1000 as double)/cast(100 as double)-cast(5 as double) as risk_index, length_m, x1, y1, x2, y2
+        from d_lattice""",
     # Five-vertex bent lines, one per part, in long form (line_id, seq, x, y).
     "d_vertices": """
         select fid as line_id, 0 as seq, x, y from d_facilities
