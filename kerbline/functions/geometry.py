@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from kerbline.functions import planar
+
 EARTH_RADIUS_M = 6371000.0
 DEGREE_M = 111000.0
 
@@ -78,14 +80,7 @@ def segments_touch(a: tuple, b: tuple) -> Column:
 
 
 def segment_segment_distance(a: tuple, b: tuple) -> Column:
-    return F.when(segments_cross(a, b), F.lit(0.0)).otherwise(
-        F.least(
-            point_segment_distance(a[0], a[1], *b),
-            point_segment_distance(a[2], a[3], *b),
-            point_segment_distance(b[0], b[1], *a),
-            point_segment_distance(b[2], b[3], *a),
-        )
-    )
+    return planar.segment_distance(*_all(*a), *_all(*b))
 
 
 def angle(x1, y1, x2, y2) -> Column:
@@ -101,61 +96,14 @@ def angle_diff(a, b) -> Column:
     return F.coalesce(F.least(d, F.lit(180.0) - d), F.lit(90.0))
 
 
-def capsule_interval(a: tuple, b: tuple, r) -> tuple[Column, Column]:
-    """Parameters (low, high) of the part of segment ``a`` within ``r`` of segment ``b``.
-
-    The region within ``r`` of a segment is convex, so the part is one interval: the hull of the
-    intervals cut by the two end discs and by the rectangle between them. Null when empty.
-    """
-    ax1, ay1, ax2, ay2 = _all(*a)
-    bx1, by1, bx2, by2 = _all(*b)
-    r = _c(r)
-    dx, dy = ax2 - ax1, ay2 - ay1
-    size = F.nullif(dx * dx + dy * dy, F.lit(0.0))
-    ex, ey = bx2 - bx1, by2 - by1
-    along = F.nullif(F.sqrt(ex * ex + ey * ey), F.lit(0.0))
-
-    def disc(cx, cy):
-        fx, fy = ax1 - cx, ay1 - cy
-        half = fx * dx + fy * dy
-        disc2 = half * half - size * (fx * fx + fy * fy - r * r)
-        root = F.when(disc2 >= 0, F.sqrt(F.greatest(disc2, F.lit(0.0))))
-        return (-half - root) / size, (-half + root) / size
-
-    def slab(value, slope, low, high):
-        """Parameters where low <= value + t*slope <= high."""
-        t1 = (low - value) / F.nullif(slope, F.lit(0.0))
-        t2 = (high - value) / F.nullif(slope, F.lit(0.0))
-        inside = (value >= low) & (value <= high)
-        return (
-            F.when(slope == 0, F.when(inside, F.lit(0.0))).otherwise(F.least(t1, t2)),
-            F.when(slope == 0, F.when(inside, F.lit(1.0))).otherwise(F.greatest(t1, t2)),
-        )
-
-    perp0 = ((ax1 - bx1) * (-ey) + (ay1 - by1) * ex) / along
-    perp_d = (dx * (-ey) + dy * ex) / along
-    pos0 = ((ax1 - bx1) * ex + (ay1 - by1) * ey) / along
-    pos_d = (dx * ex + dy * ey) / along
-    p_lo, p_hi = slab(perp0, perp_d, -r, r)
-    q_lo, q_hi = slab(pos0, pos_d, F.lit(0.0), along)
-    both = p_lo.isNotNull() & q_lo.isNotNull()
-    s_lo = F.when(both, F.greatest(p_lo, q_lo))
-    s_hi = F.when(both, F.least(p_hi, q_hi))
-    pieces = [disc(bx1, by1), disc(bx2, by2), (s_lo, s_hi)]
-    lows, highs = [], []
-    for lo, hi in pieces:
-        found = lo.isNotNull() & hi.isNotNull()
-        lo, hi = F.greatest(lo, F.lit(0.0)), F.least(hi, F.lit(1.0))
-        valid = found & (lo <= hi)
-        lows.append(F.when(valid, lo))
-        highs.append(F.when(valid, hi))
-    return F.least(*lows), F.greatest(*highs)
+def capsule_interval(a: tuple, b: tuple, r) -> Column:
+    """Struct (lo, hi): parameters of the part of segment ``a`` within ``r`` of segment ``b``."""
+    return planar.capsule_span(*_all(*a), *_all(*b), _c(r))
 
 
 def overlap_length(a: tuple, b: tuple, r) -> Column:
     """Length of the part of segment ``a`` within ``r`` of segment ``b``."""
-    lo, hi = capsule_interval(a, b, r)
-    return F.coalesce((hi - lo) * distance(*a), F.lit(0.0))
+    return planar.overlap_metres(*_all(*a), *_all(*b), _c(r))
 
 
 def shared_length(a: tuple, b: tuple) -> Column:
@@ -176,15 +124,8 @@ def half_sides(px, py, x1, y1, x2, y2, r) -> tuple[Column, Column]:
     A side is what lies within ``r`` both of the segment and of the segment moved r/2 to that
     side, so the two sides overlap near the axis.
     """
-    px, py, x1, y1, x2, y2 = _all(px, py, x1, y1, x2, y2)
-    r = _c(r)
-    dx, dy = x2 - x1, y2 - y1
-    length = F.nullif(F.sqrt(dx * dx + dy * dy), F.lit(0.0))
-    nx, ny = -dy / length * r / 2, dx / length * r / 2
-    near = point_segment_distance(px, py, x1, y1, x2, y2) <= r
-    left = near & (point_segment_distance(px, py, x1 + nx, y1 + ny, x2 + nx, y2 + ny) <= r)
-    right = near & (point_segment_distance(px, py, x1 - nx, y1 - ny, x2 - nx, y2 - ny) <= r)
-    return F.coalesce(left, F.lit(False)), F.coalesce(right, F.lit(False))
+    s = planar.sides(*_all(px, py, x1, y1, x2, y2), _c(r))
+    return s.getField("left"), s.getField("right")
 
 
 # --- polylines and rings ------------------------------------------------------------------------

@@ -17,8 +17,7 @@ def lines_overlap(pairs: DataFrame, a_id: str, b_id: str, a: str, b: str, radius
     left = pairs.select(a_id, b_id, F.posexplode(G.edges_of(F.col(a))).alias("_i", "_a"), F.col(b).alias("_other"))
     cut = left.select(a_id, b_id, "_i", "_a", F.explode(G.edges_of(F.col("_other"))).alias("_b"))
     seg_a, seg_b = (tuple(f"_{s}.{c}" for c in ("x1", "y1", "x2", "y2")) for s in "ab")
-    lo, hi = G.capsule_interval(seg_a, seg_b, radius)
-    spans = cut.select(a_id, b_id, "_i", G.distance(*seg_a).alias("_l"), F.struct(lo.alias("lo"), hi.alias("hi")).alias("_s"))
+    spans = cut.select(a_id, b_id, "_i", G.distance(*seg_a).alias("_l"), G.capsule_interval(seg_a, seg_b, radius).alias("_s"))
     merged = spans.groupBy(a_id, b_id, "_i").agg(
         F.first("_l").alias("_l"), F.array_sort(F.collect_list(F.when(F.col("_s.lo").isNotNull(), F.col("_s")))).alias("_spans")
     )

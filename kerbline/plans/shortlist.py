@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kerbline.operators.ranking import pct_rank, quantiles, value_ranks
 from kerbline.operators.stats import attach
+from kerbline.session import cut_lineage
 
 # Gate shares, track quantile, measures recommended for each conflict tag.
 GATE_EXPOSURE, GATE_RISK, TRACK_QUANTILE = 0.2, 0.3, 2 / 3
@@ -159,17 +160,20 @@ def rank_stability(candidates: DataFrame, variants: dict[str, Column], ks: list[
     """
     from kerbline.operators.stats import pearson
 
-    df = pct_rank(candidates, "ecr", "_base")
-    for i, (name, expr) in enumerate(variants.items()):
-        df = pct_rank(df.withColumn(f"_x{i}", expr), f"_x{i}", f"_p{i}")
-    rho = df.agg(*[pearson("_base", f"_p{i}").alias(name) for i, name in enumerate(variants)]).unpivot([], list(variants), "variant", "spearman")
-    out = rho
+    scores = {"<base>": F.col("ecr"), **variants}
+    long = candidates.select(
+        "link_id", F.explode(F.array(*[F.struct(F.lit(n).alias("variant"), v.cast("double").alias("x")) for n, v in scores.items()])).alias("s")
+    ).select("link_id", "s.variant", "s.x")
+    long = cut_lineage(pct_rank(long, "x", "p", ["variant"]))
+    base = long.filter(F.col("variant") == "<base>").select("link_id", F.col("p").alias("p0"))
+    out = long.filter(F.col("variant") != "<base>").join(base, "link_id").groupBy("variant").agg(pearson("p", "p0").alias("spearman"))
     for k in ks:
-        base = df.orderBy(F.desc("ecr"), "link_id").limit(k).select("link_id")
+        def top(name: str, k=k) -> DataFrame:
+            return long.filter(F.col("variant") == name).orderBy(F.desc("x"), "link_id").limit(k).select("link_id")
+
         parts = None
-        for i, name in enumerate(variants):
-            top = df.orderBy(F.desc(f"_x{i}"), "link_id").limit(k).select("link_id")
-            one = top.join(base, "link_id", "left_semi").agg(F.count("*").alias("c")).select(
+        for name in variants:
+            one = top(name).join(top("<base>"), "link_id", "left_semi").agg(F.count("*").alias("c")).select(
                 F.lit(name).alias("variant"), (F.col("c") / (F.lit(2 * k) - F.col("c"))).alias(f"jaccard_{k}")
             )
             parts = one if parts is None else parts.unionByName(one)
