@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from kerbline.catalog import sqltext as Q
 from kerbline.catalog.measures import zone_rings
 from kerbline.catalog.registry import query
 from kerbline.functions.geometry import distance, r_to
@@ -141,10 +142,6 @@ def path_distance_stats(t):
     return best.groupBy("school").agg(F.count("*").alias("paths"), *[r_to(f("distance")).alias(n) for n, f in (("mean_m", F.avg), ("min_m", F.min), ("max_m", F.max))])
 
 
-STUDENT_SQL = """with pth as (select event_id as path_id, (event_id*7919+13)%5000+0.0::double as x, cast((event_id*104729+7)%(select h from d_extent) as double) as y, s.s_name as school from events join supplier s on s.s_suppkey=1+event_id%(select count(*) from supplier)-1+(select min(s_suppkey) from supplier)-0),
-    """
-
-
 @query("students_allocate", """with pth as (select a.acdnt_no as path_id, a.x, a.y, z.school_name as school from d_accidents a join d_zones z on z.zone_id=a.user_id%50+1),
     k as (select p.path_id, b.bld_id, b.floors, sqrt((p.x-b.x)*(p.x-b.x)+(p.y-b.y)*(p.y-b.y)) as d from pth p join d_buildings b on b.x between p.x-30 and p.x+30 and b.y between p.y-30 and p.y+30),
     n as (select *, row_number() over (partition by path_id order by d, bld_id) as rn from k where d<=30),
@@ -175,15 +172,17 @@ def link_exposure(t):
 # --- routing --------------------------------------------------------------------------------------
 
 
-@query("edge_zone_flag", "select distinct least(u,v) as a, greatest(u,v) as b from d_walk where walk_edge_id<0")
+ZONE_FLAG = f"""with {Q.RING_EDGES}, cand as (select w.walk_edge_id, w.x1 as ax, w.y1 as ay, w.x2 as bx, w.y2 as by0, z.zone_id from d_walk w join d_zones z
+      on greatest(w.x1,w.x2)>=z.cx-z.half and least(w.x1,w.x2)<=z.cx+z.half and greatest(w.y1,w.y2)>=z.cy-z.half and least(w.y1,w.y2)<=z.cy+z.half),
+    hit as (select c.walk_edge_id, c.zone_id, bool_or({Q.ssd(('c.ax', 'c.ay', 'c.bx', 'c.by0'), ('e.x1', 'e.y1', 'e.x2', 'e.y2'))}=0) or {Q.in_ring('c.ax', 'c.ay')} as meets
+      from cand c join re e on e.zone_id=c.zone_id group by c.walk_edge_id, c.zone_id, ax, ay)
+    select walk_edge_id, walk_edge_id in (select walk_edge_id from hit where meets) as in_zone from d_walk"""
+
+
+@query("edge_zone_flag", ZONE_FLAG)
 def edge_zone_flag(t):
-    """Edges flagged by edge id; this query lists those whose flag disagrees with a scan by point tests (none)."""
-    w = t("d_walk").select("walk_edge_id", "u", "v", "x1", "y1", "x2", "y2")
-    flag = S.meets_any(w, zone_rings(t).select("ring"), "walk_edge_id")
-    ends = w.select("walk_edge_id", F.col("x1").alias("x"), F.col("y1").alias("y"))
-    inside = S.points_in_rings(ends, zone_rings(t).select("ring"), "walk_edge_id").select("walk_edge_id").distinct()
-    missed = flag.filter("not in_zone").join(inside, "walk_edge_id", "left_semi")
-    return missed.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
+    """Flag by edge id, so parallel edges keep their own."""
+    return S.meets_any(t("d_walk"), zone_rings(t).select("ring"), "walk_edge_id").select("walk_edge_id", "in_zone")
 
 
 @query("alpha_from_persona", """with r as (select avg(risk) as r_ref from d_walk where risk>0) select q_id, round(case when style='safe' then 1.5::double else 0.05::double end/r_ref,6)+0 as alpha,

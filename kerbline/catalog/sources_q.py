@@ -78,7 +78,7 @@ ACC_STRUCT = "struct<acdnt_no:bigint,x_crdnt:double,y_crdnt:double>"
 def json_records(t):
     """Accident lists under three different keys; a fourth kind of document holds none."""
     rec = F.to_json(F.collect_list(F.struct("acdnt_no", F.col("x").alias("x_crdnt"), F.col("y").alias("y_crdnt"))))
-    docs = t("d_accidents").groupBy("user_id").agg(rec.alias("l")).select("user_id", (
+    docs = t("d_accidents").groupBy("user_id", F.expr("acdnt_no div 500").alias("page")).agg(rec.alias("l")).select("user_id", (
         F.when(F.expr("user_id%4=0"), F.concat(F.lit('{"resultValue":{"accidentInfoList":'), F.col("l"), F.lit("}}")))
         .when(F.expr("user_id%4=1"), F.concat(F.lit('{"items":'), F.col("l"), F.lit("}")))
         .when(F.expr("user_id%4=2"), F.concat(F.lit('{"data":'), F.col("l"), F.lit(',"n":1}'))).otherwise(F.lit('{"none":[1]}'))
@@ -115,7 +115,7 @@ def geojson_collection(t):
     """Whole FeatureCollection documents, one per category and bucket."""
     path = folder(t, "collections")
     one = F.struct(F.lit("Feature").alias("type"), J.point_geometry("x", "y").alias("geometry"), F.struct("fid").alias("properties"))
-    docs = t("d_facilities").groupBy("category", (F.col("fid") % 50).alias("b")).agg(F.collect_list(one).alias("features"))
+    docs = t("d_facilities").groupBy("category", F.expr("fid div 200").alias("b")).agg(F.collect_list(one).alias("features"))
     docs.select(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features")).alias("value")).repartition(4, "value").write.text(path)
     rows = t.spark.read.schema(
         "type string, features array<struct<type:string,geometry:struct<type:string,coordinates:array<double>>,properties:struct<fid:bigint>>>"

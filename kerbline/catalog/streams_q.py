@@ -1 +1,99 @@
+"""Streams over the given tables, run until the input is used up, and their batch twins."""
 
+import uuid
+
+from pyspark.sql import functions as F
+
+from kerbline.catalog import sqltext as Q
+from kerbline.catalog.areas import ACC, LINKS, near
+from kerbline.catalog.registry import query
+from kerbline.functions.geometry import r_to
+from kerbline.session import shared_dir
+from kerbline.streaming import accidents as A
+from kerbline.streaming import preference as P
+from kerbline.streaming import trips as T
+
+RULES_EN = {"safer": "scary", "relax": "plenty of time", "faster": "hurry", "late": "already late"}
+
+
+def table_stream(t, name: str):
+    schema = t.spark.read.parquet(f"{t.folder}/{name}.parquet").schema
+    return t.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(t.folder)
+
+
+def run_to_table(t, df, name: str):
+    base = f"{shared_dir(t.spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    q = df.writeStream.format("parquet").option("checkpointLocation", base + "/state").option("path", base + "/rows").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return t.spark.read.parquet(base + "/rows")
+
+
+U = "select conv_id, turn, text from d_utterances"
+FLAGS = f"""ut as ({U}), fl as (select conv_id, turn, row_number() over (partition by conv_id order by turn) as rn, contains(text,'scary') as a, contains(text,'plenty of time') as b,
+    contains(text,'hurry') as c, contains(text,'already late') as d from ut)"""
+
+
+@query("utterance_rules", f"""with {FLAGS} select conv_id, turn, cast(a as integer)+2*cast(b as integer)+4*cast(c as integer)+8*cast(d as integer) as code from fl""")
+def utterance_rules(t):
+    return t("d_utterances").select("conv_id", "turn", P.rule_code("text", RULES_EN).alias("code"))
+
+
+_UP = "case when {c}=0 then 0.15::double else 0.5::double end"
+_DOWN = "case when {c}=0.5::double then 0.15::double else 0::double end"
+
+
+@query("preference_state", f"""with recursive {FLAGS}, st(conv_id, rn, turn, axis, cap, ovr) as (
+      select conv_id, cast(0 as bigint), cast(-1 as bigint), 'max', cast(0.5 as double), cast(null as double) from (select distinct conv_id from fl)
+      union all select x.conv_id, x.rn, x.turn, case when a or (b and (c or d)) then 'max' else axis end, case when conflict and cap3=0 then 0.15::double else cap3 end,
+        case when conflict and cap3=0 then 0.15::double when b or c or d then cap3 else ovr end
+      from (select *, (a or b) and (c or d) as conflict, case when d then 0::double else cap2 end as cap3 from (select *, case when c then {_DOWN.format(c='cap1')} else cap1 end as cap2 from (
+        select f.conv_id, f.rn, f.turn, f.a, f.b, f.c, f.d, s.axis, s.ovr, case when f.b then {_UP.format(c='s.cap')} else s.cap end as cap1 from st s join fl f on f.conv_id=s.conv_id and f.rn=s.rn+1) k1) k2) x)
+    select conv_id, turn, axis, cap, ovr as override from st where rn>0""")
+def preference_state(t):
+    """Latched state after each utterance, composed in blocks."""
+    return P.fold(t("d_utterances"), "conv_id", "turn", "text", RULES_EN).select("conv_id", "turn", "axis", "cap", "override")
+
+
+def utterance_stream(t):
+    c = table_stream(t, "conversations").filter("role='user'")
+    n = F.pmod(F.col("conv_id") * 7 + F.col("turn"), F.lit(6))
+    text = (
+        F.when(n == 0, "cars are scary here").when(n == 1, "we have plenty of time").when(n == 2, "hurry please").when(n == 3, "already late")
+        .when(n == 4, "scary but hurry").otherwise(F.col("text"))
+    )
+    return c.select("conv_id", "turn", text.alias("text"))
+
+
+@query("stream_preference_state", f"with {FLAGS} select conv_id, turn from fl")
+def stream_preference_state(t):
+    out = run_to_table(t, P.stream_preferences(utterance_stream(t), "conv_id", "turn", "text", RULES_EN), "preference")
+    return out.select(F.col("key").alias("conv_id"), "turn")
+
+
+@query("stream_trip_monitor")
+def stream_trip_monitor(t):
+    """Fixes of every user against five waypoints of their own."""
+    u = F.col("trip")
+    way = F.array(*[F.struct((u % 20 * 10 + 40 * i).cast("double").alias("x"), (u % 7 * 12 + 25 * i).cast("double").alias("y")) for i in range(5)])
+    e = table_stream(t, "events").select(
+        F.col("user_id").alias("trip"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"),
+        ((F.col("event_id") * 13) % 360).cast("double").alias("x"), ((F.col("event_id") * 7) % 190).cast("double").alias("y"),
+    ).withColumn("way", way)
+    out = run_to_table(t, T.monitor(e), "trips")
+    return out.select("trip", "seq", "waypoint", "off_route", r_to("remaining_m", 4).alias("remaining_m"), "minutes", "arrived")
+
+
+@query("stream_accident_ingest", f"""with {near(ACC, 'a.acdnt_no', 40)}, best as (select *, row_number() over (partition by acdnt_no order by d, link_id) as rn from pairs where d<=40)
+    select link_id, count(*) as accidents from best where rn=1 group by 1""")
+def stream_accident_ingest(t):
+    """The event file as a stream in which every accident arrives twice."""
+    h = t("d_extent").first().h
+    once = table_stream(t, "events").select(
+        F.col("event_id").alias("acdnt_no"), F.col("ts").cast("timestamp").alias("ts"),
+        ((F.col("event_id") * 7919 + 13) % 5000).cast("double").alias("x"), ((F.col("event_id") * 104729 + 7) % h).cast("double").alias("y"),
+    )
+    twice = once.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("copy")).drop("copy")
+    base = f"{shared_dir(t.spark)}/ingest-{uuid.uuid4().hex[:12]}"
+    q = A.ingest(twice, t.sql(LINKS), 40.0, base + "/counts", base + "/state", "36500 days")
+    q.awaitTermination()
+    return A.read_counts(t.spark, base + "/counts").select("link_id", "accidents")
