@@ -188,13 +188,13 @@ def reproject(df: DataFrame, x: str, y: str, source: int, target: int, out_x: st
 def geom_to_crs(geom, source: int, target: int) -> Column:
     """Reproject every vertex of an array geometry, one step of the projection at a time."""
     geom = F.col(geom) if isinstance(geom, str) else geom
-    for step in _steps(source, target) if source != target else []:
-        names = {"x", "y", "lat", "lon", "t", "lam", "xi", "eta", "chi", "gx", "gy", "gz", "p", "theta"}
+    names = ("x", "y", "lat", "lon", "t", "lam", "xi", "eta", "chi", "gx", "gy", "gz", "p", "theta")
 
-        def apply(v, step=step, names=names):
-            return F.struct(*[c.alias(k) for k, c in step({n: v.getField(n) for n in names}).items()])
+    def vertex(step):
+        return lambda v: F.struct(*[c.alias(k) for k, c in step({n: v.getField(n) for n in names}).items()])
 
-        geom = F.transform(geom, apply)
+    for step in _steps(source, target) if source != target else []:
+        geom = F.transform(geom, vertex(step))
     return geom
 
 

@@ -22,18 +22,22 @@ def _number(df: DataFrame, column: str) -> Column:
 
 
 def _with_range(df: DataFrame, values: DataFrame, column: str, out: str, ranges: int) -> DataFrame:
-    """Add the index of the range that ``column`` falls in, with cuts taken from ``values``."""
+    """Add the index of the range that ``column`` falls in, with cuts taken from ``values``.
+
+    The cuts are at most ``ranges`` numbers, read as one row; the index is a tree of comparisons.
+    """
     key = _number(df, column)
-    cuts = values.agg(
-        F.array_sort(
-            F.array_distinct(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 1000))
-        )
-    ).scalar()
-    return (
-        df.withColumn("_cuts", cuts)
-        .withColumn(out, F.coalesce(F.size(F.filter("_cuts", lambda c: c <= key)), F.lit(0)))
-        .drop("_cuts")
-    )
+    row = values.agg(F.percentile_approx(_number(values, column), [i / ranges for i in range(1, ranges)], 1000)).first()
+    cuts = sorted(set(row[0] or []))
+
+    def branch(lo: int, hi: int) -> Column:
+        """Number of cuts at or below the key, given that it is from ``lo`` to ``hi``."""
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(key < cuts[mid], branch(lo, mid)).otherwise(branch(mid + 1, hi))
+
+    return df.withColumn(out, branch(0, len(cuts)))
 
 
 def value_ranks(df: DataFrame, column: str, by: list[str] = (), ranges: int = RANGES) -> DataFrame:
