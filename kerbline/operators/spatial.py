@@ -43,16 +43,29 @@ def segment_cells(df: DataFrame, cell: float, pad: float = 0.0, seg: tuple = SEG
     )
 
 
-def box_cells(df: DataFrame, cell: float, pad: float, minx: Column, miny: Column, maxx: Column, maxy: Column) -> DataFrame:
-    """List each box in every cell its padded extent touches; keeps the first cell as (_fx, _fy)."""
+def box_cells(df: DataFrame, side: str, cell: float, pad: float, box: tuple[Column, Column, Column, Column]) -> DataFrame:
+    """List each box in every cell its padded extent touches.
+
+    The padded box (``_{side}x0`` …) and its first cell (``_{side}fx``, ``_{side}fy``) stay beside it.
+    """
+    x0, y0, x1, y1 = (f"_{side}{n}" for n in ("x0", "y0", "x1", "y1"))
     return (
-        df.withColumn("_fx", _cell(minx - pad, cell))
-        .withColumn("_fy", _cell(miny - pad, cell))
-        .withColumn("_cx", F.explode(F.sequence(F.col("_fx"), _cell(maxx + pad, cell))))
-        .withColumn("_cy", F.explode(F.sequence(F.col("_fy"), _cell(maxy + pad, cell))))
+        df.withColumns({x0: box[0] - pad, y0: box[1] - pad, x1: box[2] + pad, y1: box[3] + pad})
+        .withColumn(f"_{side}fx", _cell(F.col(x0), cell)).withColumn(f"_{side}fy", _cell(F.col(y0), cell))
+        .withColumn("_cx", F.explode(F.sequence(F.col(f"_{side}fx"), _cell(F.col(x1), cell))))
+        .withColumn("_cy", F.explode(F.sequence(F.col(f"_{side}fy"), _cell(F.col(y1), cell))))
     )
 
 
+def _pair_once() -> Column:
+    """Boxes a and b overlap and this is the lower-left cell they share."""
+    overlap = (F.col("_ax1") >= F.col("_bx0")) & (F.col("_bx1") >= F.col("_ax0")) & (F.col("_ay1") >= F.col("_by0")) & (F.col("_by1") >= F.col("_ay0"))
+    return overlap & (F.col("_cx") == F.greatest("_afx", "_bfx")) & (F.col("_cy") == F.greatest("_afy", "_bfy"))
+
+
+_HELPERS = [f"_{s}{n}" for s in "ab" for n in ("x0", "y0", "x1", "y1", "fx", "fy")]
+
+
 def _seg_box(seg: tuple) -> tuple[Column, Column, Column, Column]:
     x1, y1, x2, y2 = (F.col(c) for c in seg)
     return F.least(x1, x2), F.least(y1, y2), F.greatest(x1, x2), F.greatest(y1, y2)
@@ -164,15 +177,15 @@ def segment_pairs(a: DataFrame, b: DataFrame, radius: float, a_id: str, a_seg: t
     needs no shuffle to remove the repeats.
     """
     cell = cell or max(radius, 50.0)
-    left = box_cells(a, cell, 0.0, *_seg_box(a_seg)).withColumnsRenamed({"_fx": "_ax", "_fy": "_ay"})
-    right = box_cells(b, cell, radius, *_seg_box(b_seg)).withColumnsRenamed({"_fx": "_bx", "_fy": "_by"})
+    left = box_cells(a, "a", cell, 0.0, _seg_box(a_seg))
+    right = box_cells(b, "b", cell, radius, _seg_box(b_seg))
     left, right, on = salt_pair(left, right, ["_cx", "_cy"], [a_id])
     return (
         left.join(right, on)
-        .filter((F.col("_cx") == F.greatest("_ax", "_bx")) & (F.col("_cy") == F.greatest("_ay", "_by")))
+        .filter(_pair_once())
+        .drop(*on, *_HELPERS)
         .withColumn("distance", G.segment_segment_distance(a_seg, b_seg))
         .filter(F.col("distance") <= radius)
-        .drop(*on, "_ax", "_ay", "_bx", "_by")
     )
 
 
@@ -182,36 +195,32 @@ def segment_pairs(a: DataFrame, b: DataFrame, radius: float, a_id: str, a_seg: t
 def points_in_rings(points: DataFrame, zones: DataFrame, point_id: str, ring: str = "ring", x: str = "x", y: str = "y", cell: float = 250.0) -> DataFrame:
     """(point, zone) pairs with the point inside the ring."""
     left = point_cells(points, x, y, cell)
-    right = box_cells(zones, cell, 0.0, *_ring_box(ring)).drop("_fx", "_fy")
+    right = box_cells(zones, "b", cell, 0.0, _ring_box(ring))
     left, right, on = salt_pair(left, right, ["_cx", "_cy"], [point_id])
-    return left.join(right, on).filter(G.point_in_ring(x, y, F.col(ring))).drop(*on)
+    in_box = F.col(x).between(F.col("_bx0"), F.col("_bx1")) & F.col(y).between(F.col("_by0"), F.col("_by1"))
+    return left.join(right, on).filter(in_box).filter(G.point_in_ring(x, y, F.col(ring))).drop(*on, *_HELPERS)
 
 
 def segments_in_rings(lines: DataFrame, zones: DataFrame, line_id: str, ring: str = "ring", cell: float = 250.0) -> DataFrame:
     """(segment, zone) pairs that meet, with ``inter_len``, the length of the segment inside."""
-    left = box_cells(lines, cell, 0.0, *_seg_box(SEG)).withColumnsRenamed({"_fx": "_ax", "_fy": "_ay"})
-    right = box_cells(zones, cell, 0.0, *_ring_box(ring)).withColumnsRenamed({"_fx": "_bx", "_fy": "_by"})
+    left = box_cells(lines, "a", cell, 0.0, _seg_box(SEG))
+    right = box_cells(zones, "b", cell, 0.0, _ring_box(ring))
     left, right, on = salt_pair(left, right, ["_cx", "_cy"], [line_id])
     return (
         left.join(right, on)
-        .filter((F.col("_cx") == F.greatest("_ax", "_bx")) & (F.col("_cy") == F.greatest("_ay", "_by")))
+        .filter(_pair_once())
         .filter(G.segment_meets_ring(*SEG, F.col(ring)))
         .withColumn("inter_len", G.share_in_ring(*SEG, F.col(ring)) * G.distance(*SEG))
-        .drop(*on, "_ax", "_ay", "_bx", "_by")
+        .drop(*on, *_HELPERS)
     )
 
 
 def rings_in_rings(a: DataFrame, b: DataFrame, a_id: str, a_ring: str, b_ring: str, cell: float = 250.0) -> DataFrame:
     """(a, b) pairs of areas that share a point, each once."""
-    left = box_cells(a, cell, 0.0, *_ring_box(a_ring)).withColumnsRenamed({"_fx": "_ax", "_fy": "_ay"})
-    right = box_cells(b, cell, 0.0, *_ring_box(b_ring)).withColumnsRenamed({"_fx": "_bx", "_fy": "_by"})
+    left = box_cells(a, "a", cell, 0.0, _ring_box(a_ring))
+    right = box_cells(b, "b", cell, 0.0, _ring_box(b_ring))
     left, right, on = salt_pair(left, right, ["_cx", "_cy"], [a_id])
-    return (
-        left.join(right, on)
-        .filter((F.col("_cx") == F.greatest("_ax", "_bx")) & (F.col("_cy") == F.greatest("_ay", "_by")))
-        .filter(G.rings_meet(F.col(a_ring), F.col(b_ring)))
-        .drop(*on, "_ax", "_ay", "_bx", "_by")
-    )
+    return left.join(right, on).filter(_pair_once()).filter(G.rings_meet(F.col(a_ring), F.col(b_ring))).drop(*on, *_HELPERS)
 
 
 def meets_any(lines: DataFrame, zones: DataFrame, line_id: str, ring: str = "ring", out: str = "in_zone") -> DataFrame:

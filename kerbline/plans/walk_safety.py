@@ -174,7 +174,7 @@ def rule_matches(pairs: DataFrame) -> DataFrame:
     shared = (d <= p("shared_radius")) & (ad <= p("shared_angle")) & (F.col("shared_ratio") >= p("shared_ratio"))
     near_mid = F.col("mid_distance") <= p("crosswalk_max")
     pct = F.col("risk_pct")
-    return pairs.groupBy("p", "walk_edge_id").agg(
+    return pairs.groupBy(F.col("p.scenario").alias("scenario"), "walk_edge_id").agg(
         _pick(crossing, ad, -d, pct).alias("cw_cross"),
         _pick(near_mid & (ad >= p("crosswalk_angle")), ad, -F.col("mid_distance")).alias("cw_angle"),
         _pick(near_mid, -F.col("mid_distance")).alias("cw_near"),
@@ -202,7 +202,7 @@ def classify(walk: DataFrame, roads: DataFrame, scenarios: dict[str, Rules] | No
     base = with_scenarios(
         walk.select("walk_edge_id", "walking_type", "crosswalk", "special", "length_m"), scenarios
     ).join(sided, "walk_edge_id", "left")
-    df = base.join(matches, ["p", "walk_edge_id"], "left")
+    df = base.withColumn("scenario", F.col("p.scenario")).join(matches, ["scenario", "walk_edge_id"], "left")
     mixed = F.col("walking_type") == MIXED_TYPE
     steps = [  # (condition, basis, matched road, score: the road's pct or a constant)
         ((F.col("crosswalk") == 1) & F.col("cw_cross").isNotNull(), "case_D_crosswalk", "cw_cross", None),
@@ -236,7 +236,7 @@ def classify(walk: DataFrame, roads: DataFrame, scenarios: dict[str, Rules] | No
         .when(here(8), "walking_type_only").when(here(9), "two_sided")
     )
     return df.select(
-        F.col("p.scenario").alias("scenario"), "walk_edge_id", "walking_type", "length_m", basis.alias("basis"),
+        "scenario", "walk_edge_id", "walking_type", "length_m", basis.alias("basis"),
         subtype.alias("subtype"), road("road_id").alias("matched_road_id"), road("risk_index").alias("matched_risk_index"),
         road("risk_pct").alias("matched_risk_pct"), F.coalesce(*scores).alias("score"),
         F.when(here(0), F.col("cw_cross.distance")).when(here(1), F.col("cw_angle.mid_distance"))
