@@ -348,7 +348,7 @@ def route_diversity(t):
     _, routes, tr, both = routed(t, q)
     named = routes.join(q.select("q_id", "school", "mode"), "q_id").withColumn("case_id", F.concat_ws("|", "school", "src"))
     nodes = R.route_edges(routes, tr, both).select("q_id", F.explode(F.array("u", "v")).alias("node")).distinct()
-    nodes = nodes.join(named.select("q_id", "case_id", "mode"), "q_id")
+    nodes = cut_lineage(nodes.join(named.select("q_id", "case_id", "mode"), "q_id"))
     iou = None
     for a, b in (("safest", "balanced"), ("safest", "shortest"), ("balanced", "shortest")):
         one = R.path_overlap(nodes, "case_id", "mode", "node", a, b)
