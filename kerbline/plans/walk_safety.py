@@ -191,7 +191,8 @@ def classify(walk: DataFrame, roads: DataFrame, scenarios: dict[str, Rules] | No
 
     ``walk``: walk_edge_id, walking_type, crosswalk, special (any of overpass, bridge, tunnel, park),
     length_m and a segment. ``roads``: osm_edge_id, road_class, road_name, risk_index, risk_pct and a
-    segment. Edges of several segments are handled with ``S.line_segments`` upstream.
+    segment. Edges are single segments; bent edges must be cut at their vertices first, and are then
+    classified piece by piece.
     """
     scenarios = scenarios or {"default": Rules()}
     radius = max(
