@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.llm import bpe, exact, langid, toxicity
+from kerbline.llm import boilerplate, bpe, decontaminate, exact, langid, simhash, toxicity
 from kerbline.llm.texts import documents, held_out
 
 QUERIES: dict = {}
@@ -59,3 +59,28 @@ def byte_pairs(spark: SparkSession, folder: str) -> DataFrame:
 def exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = exact.exact_duplicates(documents(spark, folder), keep="max")
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
+
+
+@query("op8_simhash")
+def simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, folder))
+    return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+@query("op9_line_dedup", """
+    with l as (
+        select doc_id, coalesce('s' || source, '') as site, i, parts[i] as line, trim(parts[i], ' ' || chr(9) || chr(13)) as bare
+        from (select doc_id, source, parts, unnest(range(1, len(parts) + 1)) as i from (select doc_id, source, string_split(coalesce(text, ''), chr(10)) as parts from documents))),
+    spread as (select bare from l where bare <> '' group by bare having count(distinct site) >= 8),
+    marked as (select l.*, s.bare is not null as gone from l left join spread s using (bare))
+    select doc_id, count(*) as n_lines, count(*) filter (gone) as n_removed,
+        sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) as kept_sha256
+    from marked group by doc_id""")
+def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = boilerplate.remove_boilerplate(documents(spark, folder).select("doc_id", "text", "source"))
+    return found.select("doc_id", "without.n_lines", "without.n_removed", F.sha2("without.kept", 256).alias("kept_sha256"))
+
+
+@query("op10_decontamination")
+def decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.find_passages(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
