@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.llm import boilerplate, bpe, decontaminate, exact, langid, simhash, toxicity
+from kerbline.llm import boilerplate, bpe, decontaminate, exact, langid, pii, simhash, substrings, toxicity
 from kerbline.llm.texts import documents, held_out
 
 QUERIES: dict = {}
@@ -84,3 +84,19 @@ def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_decontamination")
 def decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.find_passages(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
+@query("op2_pii")
+def private(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.private_spans(documents(spark, folder))
+    of = lambda k: F.size(F.filter("base", lambda s: s.kind == k)).cast("long")
+    kinds = F.array(*[F.lit(k) for k in pii.KINDS])
+    base = F.array_join(F.transform("base", lambda s: F.concat_ws(":", F.element_at(kinds, s.kind + 1), s.start, s.end)), ",")
+    return found.select(
+        F.col("id").alias("doc_id"), of(0).alias("n_email"), of(1).alias("n_ip"), of(2).alias("n_card"), of(3).alias("n_phone"), F.sha2(base, 256).alias("base_sha256"), "spans")
+
+
+@query("op6_substring_dedup")
+def word_passages(spark: SparkSession, folder: str) -> DataFrame:
+    found = substrings.repeated_passages(documents(spark, folder))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")

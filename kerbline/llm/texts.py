@@ -35,13 +35,12 @@ def blob(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def pieces(batches, most: int):
-    """Record batches cut so that none holds much more than ``most`` bytes (a single row may)."""
-    for batch in batches:
-        per_row = max(1, batch.nbytes // max(1, batch.num_rows))
-        step = max(1, most // per_row)
-        for start in range(0, batch.num_rows, step):
-            yield batch.slice(start, step)
+def pieces(batch: pa.RecordBatch, most: int):
+    """A record batch in slices, none much larger than ``most`` bytes on average (a single row may be)."""
+    per_row = max(1, batch.nbytes // max(1, batch.num_rows))
+    step = min(max(1, most // per_row), 60_000)
+    for start in range(0, batch.num_rows, step):
+        yield batch.slice(start, step)
 
 
 def sample_by_hash(df: DataFrame, hashed: Column, fraction: Column) -> DataFrame:
