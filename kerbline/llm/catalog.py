@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.llm import boilerplate, bpe, decontaminate, exact, langid, pii, simhash, substrings, toxicity
+from kerbline.llm import boilerplate, bpe, decontaminate, exact, langid, passages, pii, simhash, substrings, toxicity
 from kerbline.llm.texts import documents, held_out
 
 QUERIES: dict = {}
@@ -100,3 +100,9 @@ def private(spark: SparkSession, folder: str) -> DataFrame:
 def word_passages(spark: SparkSession, folder: str) -> DataFrame:
     found = substrings.repeated_passages(documents(spark, folder))
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
+@query("op1_suffix_dedup")
+def byte_passages(spark: SparkSession, folder: str) -> DataFrame:
+    found = passages.remove_repeats(documents(spark, folder))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -18,9 +18,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-BASE_2 = np.uint64(0xC2B2AE3D27D4EB4F | 1)
 MANY, INDEXED, ANSWER = 1, 2, 4  # marks of an entry: occurs twice; one of its places is an indexed block; its document waits for an answer
 
 
@@ -147,3 +148,74 @@ def answers(batch_entries: list[tuple[np.ndarray, np.ndarray, np.ndarray]], need
         hit = (own & ANSWER > 0) & (matters[np.minimum(place, max(len(matters) - 1, 0))] == rest) if len(matters) else np.zeros(len(rest), bool)
         if hit.any():
             yield i, doc[hit], rest[hit]
+
+
+def packed(numbers: np.ndarray, place: np.ndarray, doc: np.ndarray, indexed: np.ndarray, ids: list, keys: list, parts: int, need_index: bool) -> pa.RecordBatch:
+    """What ``send`` gives, as rows; documents are named by their id (0 for null) and row key."""
+    ids, keys = np.array([i if i is not None else 0 for i in ids], "<i8"), np.array(keys, "<i8")
+    out = {"part": [], "ids": [], "keys": [], "entries": [], "hits": []}
+    for part, entries in send(numbers, place, doc, indexed, parts, need_index):
+        out["part"].append(part)
+        out["ids"].append(ids.tobytes())
+        out["keys"].append(keys.tobytes())
+        out["entries"].append(entries if part >= 0 else None)
+        out["hits"].append(None if part >= 0 else entries)
+    return pa.record_batch(out, schema=SENT_ARROW)
+
+
+def _answer(batches: Iterator[pa.RecordBatch], need_index: bool) -> Iterator[pa.RecordBatch]:
+    """(id, key, hits) from the packed blocks of a partition: settled ones as they come, the rest when all are known."""
+    own: dict[int, list] = {}
+
+    def rows(ids: bytes, keys: bytes, doc: np.ndarray, numbers: np.ndarray) -> pa.RecordBatch:
+        ids, keys = np.frombuffer(ids, "<i8"), np.frombuffer(keys, "<i8")
+        order = np.argsort(doc, kind="stable")
+        doc, numbers = doc[order], numbers[order]
+        at = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+        cut = np.split(numbers, at[1:])
+        return pa.record_batch({"id": pa.array(ids[doc[at]]), "key": pa.array(keys[doc[at]]), "hits": pa.array([x.astype("<u8").tobytes() for x in cut], pa.binary())})
+
+    for b in batches:
+        for part, ids, keys, entries, hits in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if part < 0:
+                rest, doc, _ = unpack(hits)
+                yield rows(ids, keys, doc, rest)
+            else:
+                own.setdefault(part, []).append((ids, keys, unpack(entries)))
+    for part in sorted(own):
+        blocks = own.pop(part)
+        for i, doc, numbers in answers([e for _, _, e in blocks], need_index):
+            yield rows(blocks[i][0], blocks[i][1], doc, numbers)
+
+
+def exchanged(sent: DataFrame, parts: int, need_index: bool) -> DataFrame:
+    """(id, key, hits: list of binary) per document with hits. Settled blocks (part -1) go to any partition."""
+    place = F.when(F.col("part") < 0, F.pmod(F.xxhash64("hits"), F.lit(parts)).cast("int")).otherwise(F.col("part"))
+    dealt = sent.repartitionById(parts, place)
+    found = dealt.mapInArrow(lambda it: _answer(it, need_index), "id long, key long, hits binary")
+    return found.groupBy("id", "key").agg(F.collect_list("hits").alias("hits"))
+
+
+def merged(lists: list | None) -> np.ndarray:
+    return np.unique(np.frombuffer(b"".join(lists or []), "<u8")) if lists else np.zeros(0, np.uint64)
+
+
+def member(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(values), bool)
+    at = np.searchsorted(known, values)
+    return known[np.minimum(at, len(known) - 1)] == values
+
+
+def covered(starts: np.ndarray, length: int, n: int) -> np.ndarray:
+    """Which of ``n`` places lie in a run of ``length`` from one of the starts."""
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, starts + length, -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
+def with_hits(rows: DataFrame, hits: DataFrame) -> DataFrame:
+    """``rows`` (id, key, ...) with the hits of each, null without any."""
+    hits = hits.select(F.col("id").alias("h_id"), F.col("key").alias("h_key"), "hits")
+    return rows.join(hits, (F.coalesce("id", F.lit(0)) == F.col("h_id")) & (F.col("key") == F.col("h_key")), "left").drop("h_id", "h_key")

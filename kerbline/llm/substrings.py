@@ -49,70 +49,6 @@ class Batch:
         return h[at], at
 
 
-def _send(batch: Batch, numbers: np.ndarray, place: np.ndarray, at: np.ndarray, indexed: np.ndarray, ids: list, keys: list, parts: int, need_index: bool) -> pa.RecordBatch:
-    ids, keys = np.array([i if i is not None else 0 for i in ids], "<i8"), np.array(keys, "<i8")
-    out = {"part": [], "ids": [], "keys": [], "entries": [], "hits": []}
-    for part, entries in X.send(numbers, place, batch.doc[at], indexed, parts, need_index):
-        out["part"].append(part)
-        out["ids"].append(ids.tobytes())
-        out["keys"].append(keys.tobytes())
-        out["entries"].append(entries if part >= 0 else None)
-        out["hits"].append(None if part >= 0 else entries)
-    return pa.record_batch(out, schema=X.SENT_ARROW)
-
-
-def _answer(batches: Iterator[pa.RecordBatch], need_index: bool) -> Iterator[pa.RecordBatch]:
-    """(id, key, hits) from the packed blocks of a partition: settled ones as they come, the rest when all are known."""
-    own: dict[int, list] = {}
-
-    def rows(ids: bytes, keys: bytes, doc: np.ndarray, numbers: np.ndarray) -> pa.RecordBatch:
-        ids, keys = np.frombuffer(ids, "<i8"), np.frombuffer(keys, "<i8")
-        order = np.argsort(doc, kind="stable")
-        doc, numbers = doc[order], numbers[order]
-        at = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-        cut = np.split(numbers, at[1:])
-        return pa.record_batch({"id": pa.array(ids[doc[at]]), "key": pa.array(keys[doc[at]]), "hits": pa.array([x.astype("<u8").tobytes() for x in cut], pa.binary())})
-
-    for b in batches:
-        for part, ids, keys, entries, hits in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if part < 0:
-                rest, doc, _ = X.unpack(hits)
-                yield rows(ids, keys, doc, rest)
-            else:
-                own.setdefault(part, []).append((ids, keys, X.unpack(entries)))
-    for part in sorted(own):
-        blocks = own.pop(part)
-        for i, doc, numbers in X.answers([e for _, _, e in blocks], need_index):
-            yield rows(blocks[i][0], blocks[i][1], doc, numbers)
-
-
-def _exchanged(sent: DataFrame, parts: int, need_index: bool) -> DataFrame:
-    """(id, key, hits: list of binary) per document with hits. Settled blocks (part -1) go to any partition."""
-    place = F.when(F.col("part") < 0, F.pmod(F.xxhash64("hits"), F.lit(parts)).cast("int")).otherwise(F.col("part"))
-    dealt = sent.repartitionById(parts, place)
-    found = dealt.mapInArrow(lambda it: _answer(it, need_index), "id long, key long, hits binary")
-    return found.groupBy("id", "key").agg(F.collect_list("hits").alias("hits"))
-
-
-def _hits(lists: list | None) -> np.ndarray:
-    return np.unique(np.frombuffer(b"".join(lists or []), "<u8")) if lists else np.zeros(0, np.uint64)
-
-
-def _member(values: np.ndarray, known: np.ndarray) -> np.ndarray:
-    if not len(known):
-        return np.zeros(len(values), bool)
-    at = np.searchsorted(known, values)
-    return known[np.minimum(at, len(known) - 1)] == values
-
-
-def _covered(starts: np.ndarray, length: int, n: int) -> np.ndarray:
-    """Which of ``n`` words lie in a run of ``length`` from one of the starts."""
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + length, -1)
-    return np.cumsum(edge[:-1]) > 0
-
-
 def repeated_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """(id, n_words, n_removed, kept, kept_sha256, spans) per row of ``df``.
 
@@ -131,7 +67,7 @@ def repeated_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 batch = Batch(p.column("text").to_pylist(), hashes)
                 numbers, at = batch.windows(block)
                 indexed = (at - batch.starts[batch.doc[at]]) % block == 0
-                yield _send(batch, X.shortened(numbers, parts), X.partition(numbers, parts), at, indexed, p.column("id").to_pylist(), p.column("key").to_pylist(), parts, True)
+                yield X.packed(X.shortened(numbers, parts), X.partition(numbers, parts), batch.doc[at], indexed, p.column("id").to_pylist(), p.column("key").to_pylist(), parts, True)
 
     def candidates(batch: Batch, hits: list) -> np.ndarray:
         """Starts of the windows that hold a hit of their document."""
@@ -139,9 +75,9 @@ def repeated_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
         for i, lists in enumerate(hits):
             a, n = int(batch.starts[i]), int(batch.sizes[i])
             if lists and n >= window:
-                hit = np.flatnonzero(_member(X.shortened(X.windows(batch.values[a : a + n], block), parts), _hits(lists)))
+                hit = np.flatnonzero(X.member(X.shortened(X.windows(batch.values[a : a + n], block), parts), X.merged(lists)))
                 if len(hit):
-                    near = _covered(np.maximum(hit - (window - block), 0), window - block + 1, n)
+                    near = X.covered(np.maximum(hit - (window - block), 0), window - block + 1, n)
                     near[n - window + 1 :] = False
                     starts.append(a + np.flatnonzero(near))
         return np.concatenate(starts or [np.zeros(0, np.int64)])
@@ -169,7 +105,7 @@ def repeated_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 batch = Batch(p.column("text").to_pylist(), hashes)
                 at = candidates(batch, p.column("hits").to_pylist())
                 numbers = whole(batch.values, at)
-                yield _send(batch, numbers, X.partition(numbers, parts), at, np.zeros(len(at), bool), p.column("id").to_pylist(), p.column("key").to_pylist(), parts, False)
+                yield X.packed(numbers, X.partition(numbers, parts), batch.doc[at], np.zeros(len(at), bool), p.column("id").to_pylist(), p.column("key").to_pylist(), parts, False)
 
     def whole(values: np.ndarray, at: np.ndarray) -> np.ndarray:
         return X.windows(values, window)[at] if len(at) else np.zeros(0, np.uint64)
@@ -185,8 +121,8 @@ def repeated_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     gone = np.zeros(n, bool)
                     if hits:
                         words = t.split()
-                        starts = np.flatnonzero(_member(X.windows(hashes.of(words), window), _hits(hits)))
-                        gone = _covered(starts, window, n)
+                        starts = np.flatnonzero(X.member(X.windows(hashes.of(words), window), X.merged(hits)))
+                        gone = X.covered(starts, window, n)
                     if gone.any():
                         kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])
                         edges = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8))).astype("<i4")
@@ -195,14 +131,10 @@ def repeated_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
                         out.append((i, n, 0, None, sha, b""))
                 yield pa.RecordBatch.from_pylist([dict(zip(done.names, r, strict=True)) for r in out], schema=done)
 
-    def with_hits(left: DataFrame, hits: DataFrame) -> DataFrame:
-        hits = hits.select(F.col("id").alias("h_id"), F.col("key").alias("h_key"), "hits")
-        return left.join(hits, F.coalesce("id", F.lit(0)).eqNullSafe(F.col("h_id")) & (F.col("key") == F.col("h_key")), "left").drop("h_id", "h_key")
-
-    anchored = _exchanged(rows.mapInArrow(probe, X.SENT), parts, True)
-    settled = with_hits(rows, anchored).select("id", "key", "text", "hits").mapInArrow(settle, "id long, key long, n_words long, sha string, text binary, hits array<binary>")
+    anchored = X.exchanged(rows.mapInArrow(probe, X.SENT), parts, True)
+    settled = X.with_hits(rows, anchored).select("id", "key", "text", "hits").mapInArrow(settle, "id long, key long, n_words long, sha string, text binary, hits array<binary>")
     settled = materialise(settled, "anchored")
     open_ = settled.filter(F.col("text").isNotNull())
-    repeats = materialise(_exchanged(open_.select("id", "key", "text", "hits").mapInArrow(extend, X.SENT), parts, False), "repeats")
-    both = with_hits(settled.drop("hits"), repeats).select("id", "n_words", "sha", "text", "hits")
+    repeats = materialise(X.exchanged(open_.select("id", "key", "text", "hits").mapInArrow(extend, X.SENT), parts, False), "repeats")
+    both = X.with_hits(settled.drop("hits"), repeats).select("id", "n_words", "sha", "text", "hits")
     return both.mapInArrow(cut, "id long, n_words long, n_removed long, kept string, kept_sha256 string, spans binary")
