@@ -28,12 +28,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType
 
 from kerbline.llm.components import components
+from kerbline.llm.texts import row_key
 from kerbline.session import materialise
 
 WORDS = 4
@@ -121,17 +122,19 @@ def link(prints: np.ndarray, group: np.ndarray, radius: int = RADIUS) -> tuple[n
     ``group`` numbers the groups in order; rows of a group stand together.
     """
     n = len(prints)
+    if n < 2:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     words = -(-n // 64)
     padded = np.zeros(words * 64, np.uint64)
     padded[:n] = prints
     bits = np.unpackbits(padded.view(np.uint8).reshape(words, 64, 8), axis=2, bitorder="little")  # word, lane, bit
-    planes = np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little").view(np.uint64).reshape(64, words)
+    planes = np.ascontiguousarray(np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little")).view(np.uint64).reshape(64, words)
     own_bits = np.ascontiguousarray(bits.reshape(-1, 64)[:n].T)  # bit, row
     del bits
     row = np.arange(n)
     last = np.searchsorted(group, group, side="right") - 1  # last row of the row's group
     forest = Forest(n)
-    reach = int((last // 64 - row // 64).max()) if n else -1
+    reach = int((last // 64 - row // 64).max())
     for step in range(reach + 1):
         active = row[last // 64 >= row // 64 + step]
         for at in range(0, len(active), 65_536):
@@ -222,11 +225,25 @@ def near_edges(prints: DataFrame, radius: int = RADIUS, group: int = GROUP) -> D
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, more: list[Column] | None = None) -> DataFrame:
-    """(id, fp, component, size) per row of ``df``, and columns ``more`` of it; component: the smallest id reachable."""
+    """(id, fp, root, component, size) per row of ``df``, and columns ``more`` of it.
+
+    ``root`` names the group by a fingerprint, ``component`` by the smallest id reachable (null if all are null).
+    """
     rows = materialise(df.select(F.col(doc_id).alias("id"), fingerprint_of(F.col(text)).alias("fp"), *(more or [])), "prints")
     vertices = materialise(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "vertices")
     roots = components(near_edges(vertices.select("fp"), radius)).withColumnRenamed("v", "fp")
     placed = vertices.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = placed.groupBy("root").agg(F.min("least").alias("component"), F.sum("n").alias("size"))
-    classes = placed.select("fp", "root").join(named, "root").select("fp", "component", "size")
+    classes = placed.select("fp", "root").join(named, "root").select("fp", "root", "component", "size")
     return rows.join(classes, "fp")
+
+
+def drop_near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+    """One row of each group, that with the smallest id, with all columns of ``df``."""
+    found = near_duplicates(df, doc_id, text, radius, [row_key(F.col(doc_id), F.col(text)).alias("key")])
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "key")).alias("k"))
+    first = first.select(F.col("k.id").alias("_k_id"), F.col("k.key").alias("_k_key"))
+    own = df.withColumn("_key", row_key(F.col(doc_id), F.col(text)))
+    kept = own.join(first, own[doc_id].eqNullSafe(F.col("_k_id")) & (F.col("_key") == F.col("_k_key")), "left_semi")
+    nth = F.row_number().over(Window.partitionBy(doc_id, "_key").orderBy(F.lit(1)))  # rows equal in id and text
+    return kept.withColumn("_n", nth).filter("_n = 1").select(*df.columns)

@@ -63,12 +63,13 @@ def test_risk_stays_non_negative():
 
 def test_toxicity_odd_rows(spark, odd, none):
     rows = [(f"you are an idiot number {i}", 1) for i in range(30)] + [(f"a calm and friendly text {i}", None) for i in range(300)]
-    model = toxicity.learn(spark.createDataFrame(rows, "text string, toxic int"), "text", "toxic", prior=0.1)
+    rows = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, toxic int")
+    model = toxicity.learn(rows.drop("toxic"), rows.select("doc_id", "toxic"), prior=0.1)
     score = toxicity.scorer(model)
     got = {r["text"]: r["s"] for r in odd.withColumn("s", score("text")).collect()}
     assert all(0 <= s <= 1 for s in got.values()) and got[None] == got[""]
-    one = spark.createDataFrame([("an IDIOT indeed",), ("calm words",)], "text string").withColumn("s", score("text")).collect()
+    one = spark.createDataFrame([("You are an IDIOT, number 5",), ("calm words",)], "text string").withColumn("s", score("text")).collect()
     assert one[0]["s"] > 0.7 > 0.3 > one[1]["s"]
     assert none.withColumn("s", score("text")).count() == 0
-    nothing = toxicity.learn(none.withColumn("toxic", F.lit(1)), "text", "toxic")
+    nothing = toxicity.learn(none, none.withColumn("toxic", F.lit(1)))
     assert all(r["s"] < 1e-9 for r in odd.withColumn("s", toxicity.scorer(nothing)("text")).collect())
