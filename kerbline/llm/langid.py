@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from kerbline.llm.texts import sample_by_hash
+from kerbline.llm.texts import hash_below
 
 SAMPLE_TEXTS = 256  # texts per language that the dictionaries are made from, at most
 PIECE_CHARS = 256  # taken from each of them, at a place given by the text's hash
@@ -52,7 +52,7 @@ def learn(df: DataFrame, text: str, lang: str, sample: int = SAMPLE_TEXTS, piece
         return {}
     wanted = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, min(1.0, 4.0 * sample / n))])
     hashed = F.xxhash64("t")
-    few = sample_by_hash(rows, hashed, F.element_at(wanted, F.col("l"))).select(
+    few = rows.filter(hash_below(hashed, F.element_at(wanted, F.col("l")))).select(
         "l", hashed.alias("h"), F.substring(F.col("t"), (F.pmod(hashed, F.greatest(F.length("t") - piece, F.lit(0)) + 1) + 1).cast("int"), F.lit(piece)).alias("p"))
     few = few.groupBy("l", "h").agg(F.min("p").alias("p"))  # copies count once
     first = few.groupBy("l").agg(F.slice(F.array_sort(F.collect_list(F.struct("h", "p"))), 1, sample).alias("s"))

@@ -43,6 +43,6 @@ def pieces(batch: pa.RecordBatch, most: int):
         yield batch.slice(start, step)
 
 
-def sample_by_hash(df: DataFrame, hashed: Column, fraction: Column) -> DataFrame:
-    """Rows whose hash, read as an unsigned fraction of 2**64, is below ``fraction``: the same rows on every run."""
-    return df.filter((hashed / F.lit(2.0**64) + F.lit(0.5)) < fraction)
+def hash_below(hashed: Column | str, fraction: Column) -> Column:
+    """Whether a 64-bit hash, read as a fraction of its range, is below ``fraction``: draws the same rows on every run."""
+    return (F.col(hashed) if isinstance(hashed, str) else hashed) / F.lit(2.0**64) + F.lit(0.5) < fraction

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, IntegerType
 
-from kerbline.llm.texts import sample_by_hash
+from kerbline.llm.texts import hash_below as _below
 
 SAMPLE_POSITIVE = 4000  # rows the classifier is fitted on, at most about
 SAMPLE_UNLABELLED = 12_000
@@ -102,20 +102,25 @@ def numbers_of(number: dict[str, int]):
     return numbers
 
 
-def learn(df: DataFrame, text: str, positive: str, prior: float | None = None) -> dict:
-    """Fit on a table with a text and a column that is 1 for confirmed toxic rows (0: known clean, null: unknown)."""
-    marks = df.agg(
-        F.count(F.when(F.col(positive) == 1, 1)).alias("p"), F.count(F.when(F.col(positive) == 0, 1)).alias("n"), F.count("*").alias("all")).first()
+def learn(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", prior: float | None = None) -> dict:
+    """Fit on the rows of ``df``; ``labels`` says of some ids whether they are toxic (1) or not (0).
+
+    Rows are drawn by a hash of their id before any text is touched. The draw has at most about
+    ``SAMPLE_POSITIVE`` + ``SAMPLE_UNLABELLED`` ids, and never more than twice as many, so it is broadcast.
+    """
+    known = labels.groupBy(F.col(doc_id).alias("i")).agg(F.max(toxic).alias("toxic"))
+    ids = df.select(F.col(doc_id).alias("i"), F.xxhash64(doc_id, F.lit(7)).alias("h")).join(known, "i", "left")
+    marks = ids.agg(F.count(F.when(F.col("toxic") == 1, 1)).alias("p"), F.count(F.when(F.col("toxic") == 0, 1)).alias("n"), F.count("*").alias("all")).first()
     if not marks["p"]:
         return {"words": {}, "bias": -50.0}
     if prior is None:
         prior = marks["p"] / (marks["p"] + marks["n"]) if marks["n"] else PRIOR
     share = lambda want, have: F.lit(min(1.0, want / max(1, have)))
-    toxic = F.coalesce(F.col(positive) == 1, F.lit(False))
-    rows = df.select(F.col(text).alias("t"), toxic.alias("pos"), toxic.alias("known"), F.xxhash64(text, F.lit(7)).alias("h"))
-    p = sample_by_hash(rows.filter("pos"), F.col("h"), share(SAMPLE_POSITIVE, marks["p"]))
-    u = sample_by_hash(rows, F.col("h"), share(SAMPLE_UNLABELLED, marks["all"])).select("t", F.lit(False).alias("pos"), "h", "known")
-    sample = p.unionByName(u).select("pos", "known", "t").persist()
+    is_toxic = F.coalesce(F.col("toxic") == 1, F.lit(False))
+    drawn = ids.select("i", F.posexplode(F.array(
+        is_toxic & _below("h", share(SAMPLE_POSITIVE, marks["p"])), _below("h", share(SAMPLE_UNLABELLED, marks["all"])))).alias("role", "in"), is_toxic.alias("known"))
+    drawn = drawn.filter("in").select("i", (F.col("role") == 0).alias("pos"), "known").distinct().limit(2 * (SAMPLE_POSITIVE + SAMPLE_UNLABELLED))
+    sample = df.join(F.broadcast(drawn), F.col(doc_id) == F.col("i")).select("pos", "known", F.col(text).alias("t")).persist()
     try:
         sizes = {r["pos"]: r["n"] for r in sample.filter("pos = known").groupBy("pos").agg(F.count("*").alias("n")).collect()}
         n_p, n_u = max(1, sizes.get(True, 0)), max(1, sizes.get(False, 0))  # U without the known positives
