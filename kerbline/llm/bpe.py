@@ -12,9 +12,10 @@ a state and removes an arc; storing what each gadget did (which state was copied
 removed, when) describes all states without writing out tens of thousands of near-equal arc rows.
 ``_has`` reads an entry of the transition table from that description; entries in use are kept.
 
-Encoding splits the text by the tokenizer's pattern and walks each word from the start state, longest
-label first. As every prefix of a word has one accepted path, no position is entered twice, and the
-walk is linear in the word. Decoding emits the labels of the arcs.
+Encoding splits texts by the tokenizer's pattern and walks the words from the start state. As every beginning
+of a word has one accepted path, each place is reached in one state, and the work is linear in the
+word. Words are walked side by side, so a step of the table serves many at once. Decoding emits the
+labels of the arcs.
 
 Null counts as the empty text and gives no tokens. Texts of any length are encoded whole.
 """
@@ -25,16 +26,19 @@ import json
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import BinaryType, StringType, StructType
+
+from kerbline.llm.texts import pieces
 
 # Fixed value: the word pattern of the published byte-level tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-KEPT_WORDS = 400_000  # encoded words kept by a worker; past that the store is emptied and filled anew
-KEPT_CHUNKS = 600_000
-KEPT_ARCS = 2_000_000
+PIECE_BYTES = 4_000_000  # of rows handled together
+KEPT_WORDS = 300_000  # encoded words and pieces kept by a worker; past that the store is emptied and filled anew
+KEPT_PIECES = 400_000
+KEPT_ARCS = 1_000_000
 START = -1
 
 
@@ -45,6 +49,57 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Table:
+    """Whole numbers to whole numbers, looked up many at a time; grows as entries come."""
+
+    FREE = np.int64(-1)
+    SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, bits: int = 16):
+        self.clear(bits)
+
+    def clear(self, bits: int = 16) -> None:
+        self.bits, self.used = bits, 0
+        self.keys, self.values = np.full(1 << bits, self.FREE), np.zeros(1 << bits, np.int32)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * self.SPREAD >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """Values of the keys, -1 where there is none."""
+        slot, mask = self._slot(keys), (1 << self.bits) - 1
+        there = self.keys[slot]
+        out = np.where(there == keys, self.values[slot], np.int32(-1))
+        open_ = np.flatnonzero((there != keys) & (there != self.FREE))
+        while len(open_):
+            slot[open_] = slot[open_] + 1 & mask
+            there = self.keys[slot[open_]]
+            same = there == keys[open_]
+            out[open_[same]] = self.values[slot[open_[same]]]
+            open_ = open_[~same & (there != self.FREE)]
+        return out
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """New keys, each once."""
+        while (self.used + len(keys)) * 2 > 1 << self.bits:
+            old = self.keys != self.FREE
+            k, v = self.keys[old], self.values[old]
+            self.clear(self.bits + 1)
+            self._place(k, v)
+        self._place(keys, values)
+
+    def _place(self, keys: np.ndarray, values: np.ndarray) -> None:
+        slot, mask, open_ = self._slot(keys), (1 << self.bits) - 1, np.arange(len(keys))
+        while len(open_):
+            free = open_[self.keys[slot[open_]] == self.FREE]
+            _, first = np.unique(slot[free], return_index=True)  # of those that want one place, one gets it
+            won = free[first]
+            self.keys[slot[won]], self.values[slot[won]] = keys[won], values[won]
+            open_ = open_[self.keys[slot[open_]] != keys[open_]]
+            slot[open_] = slot[open_] + 1 & mask
+        self.used += len(keys)
+
+
 class Automaton:
     """Compiled from the text of a tokenizer file with byte-level BPE and one rule per merged token."""
 
@@ -60,26 +115,30 @@ class Automaton:
         self.arc_of = [0] * size  # the arc beside which it was added
         self.copy_of = [0] * size  # the state its target was copied from
         self.removed: dict[int, int] = {}  # state and arc -> number of the gadget that removed it
-        self.arcs: dict[int, bool] = {}
         live = {vocab[c] for c in letters if c in vocab}
         for rank, merge in enumerate(spec["model"]["merges"]):
             left, right = merge if isinstance(merge, list) else merge.split(" ")
             u, v, w = vocab[left], vocab[right], vocab[left + right]
             self._gadget(rank, u, v, w, live)
-        # letters of all live labels: node * 256 + byte -> next node; node -> token
-        self.next: dict[int, int] = {}
-        self.token = [-1]
+        # the live labels as a tree: node * 256 + byte -> next node; node -> token
+        tree: dict[int, int] = {}
+        token = [-1]
         for t in sorted(live):
             node = 0
             for byte in self.labels[t]:
-                node = self.next.setdefault(node << 8 | byte, len(self.token))
-                if node == len(self.token):
-                    self.token.append(-1)
-            self.token[node] = t
-        self.length = {t: len(x) for t, x in self.labels.items()}
-        self.packed = {t: t.to_bytes(4, "little") for t in self.labels}
+                node = tree.setdefault(node << 8 | byte, len(token))
+                if node == len(token):
+                    token.append(-1)
+            token[node] = t
+        self.token = np.array(token)
+        self.next = Table()
+        self.next.put(np.array(list(tree), np.int64), np.array(list(tree.values()), np.int32))
+        self.arcs = Table()
+        self.length = np.zeros(size, np.int64)
+        for t, x in self.labels.items():
+            self.length[t] = len(x)
         self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
         self.split = regex.compile(PATTERN)
         self.special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.specials, key=len, reverse=True)) + ")") if self.specials else None
 
@@ -106,94 +165,154 @@ class Automaton:
             else:  # the state came as a copy that had the arc or not
                 time, state = min(time, seen - 1), self.copy_of[state]
 
-    def has_arc(self, key: int) -> bool:
-        """The table entry for ``state * size + arc``, filled in when first asked for."""
-        if len(self.arcs) >= KEPT_ARCS:
-            self.arcs.clear()
-        state, arc = divmod(key, self.size)
-        found = self.arcs[key] = self._has(state, arc, 1 << 60)
-        return found
-
-    def walk(self, word: bytes) -> list[int]:
-        """The labels of the one accepted path that spells ``word``."""
-        n, step, token, known, size, length = len(word), self.next.get, self.token, self.arcs.get, self.size, self.length
-        path: list[int] = []
-        left: list[list[int]] = []  # shorter labels not yet tried, for each arc of the path
-        at, row = 0, -1  # row: where the state's arcs begin in the table; -1: the start, which has all
-        while at < n:
-            found, node, i = [], 0, at
-            while i < n:
-                node = step(node << 8 | word[i])
-                if node is None:
-                    break
-                i += 1
-                if token[node] >= 0:
-                    found.append(token[node])
-            while True:  # the longest arc that exists, else back to a shorter one before
-                while found:
-                    t = found.pop()
-                    if row < 0:
-                        break
-                    there = known(row + t)
-                    if there or (there is None and self.has_arc(row + t)):
-                        break
+    def has_arcs(self, states: np.ndarray, arcs: np.ndarray) -> np.ndarray:
+        """Table entries for pairs of state and arc, filled in when first asked for."""
+        keys = states * self.size + arcs
+        found = self.arcs.get(keys)
+        new = np.unique(keys[found < 0])
+        if len(new):
+            if self.arcs.used + len(new) > KEPT_ARCS:
+                self.arcs.clear()
+                new = np.unique(keys)
+            self.arcs.put(new, np.array([self._has(*divmod(k, self.size), 1 << 60) for k in new.tolist()], np.int32))
+            found = self.arcs.get(keys)
+        return found > 0
+
+    def walk(self, words: list[bytes]) -> list[bytes]:
+        """The labels of the one accepted path that spells each word, as packed token numbers.
+
+        All words are walked side by side. Every beginning of a word has exactly one accepted path too, so every place
+        of a word is reached in exactly one state: the arcs that leave it are the labels that start there and that
+        the state has, and each leads to the state of a later place.
+        """
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        data = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+        if not len(data):
+            return [b""] * len(words)
+        begin = np.cumsum(sizes) - sizes
+        end = np.repeat(begin + sizes, sizes)
+        # all labels that start at each place
+        at, node, step = np.arange(len(data)), np.zeros(len(data), np.int64), 0
+        starts, labels = [], []
+        while len(at):
+            node = self.next.get(node << 8 | data[at + step]).astype(np.int64)
+            step += 1
+            t = self.token[node]
+            hit = (node >= 0) & (t >= 0)
+            starts.append(at[hit])
+            labels.append(t[hit])
+            on = (node >= 0) & (at + step < end[at])
+            at, node = at[on], node[on]
+        start, label = np.concatenate(starts), np.concatenate(labels)
+        place = start - np.repeat(begin, sizes)[start]
+        by = np.argsort(place, kind="stable")
+        start, label = start[by], label[by]
+        cuts = np.searchsorted(place[by], np.arange(int(sizes.max(initial=0)) + 1))
+        state = np.full(len(data), START)  # by the last byte read
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            s, t = start[a:b], label[a:b]
+            if a:
+                there = self.has_arcs(state[s - 1], t)
+                s, t = s[there], t[there]
+            state[s + self.length[t] - 1] = t
+        # back from the ends
+        which, at, parts = np.arange(len(words)), begin + sizes, []
+        at, which = at[sizes > 0], which[sizes > 0]
+        count = np.zeros(len(words), np.int64)
+        while len(which):
+            t = state[at - 1]
+            parts.append((which, t))
+            count[which] += 1
+            at = at - self.length[t]
+            on = at > begin[which]
+            at, which = at[on], which[on]
+        edge = np.cumsum(count)
+        ids = np.zeros(int(edge[-1]) if len(edge) else 0, "<u4")
+        for back, (w, t) in enumerate(parts):
+            ids[edge[w] - 1 - back] = t
+        raw, edge = ids.tobytes(), (edge * 4).tolist()
+        return [raw[a:b] for a, b in zip([0, *edge], edge, strict=False)]
+
+    def _learn(self, words: set[str]) -> None:
+        """Encode the words that aren't kept yet."""
+        new = [w for w in words if w not in self.words]
+        if len(self.words) + len(new) > KEPT_WORDS:
+            self.words.clear()
+            new = list(words)
+        new.sort(key=len)  # words of like length walk together
+        size, group = 0, []
+        for w in new:
+            group.append(w)
+            size += len(w)
+            if size > 500_000:
+                self._walk(group)
+                size, group = 0, []
+        self._walk(group)
+
+    def _walk(self, group: list[str]) -> None:
+        self.words.update(zip(group, self.walk([w.encode("utf-8", "surrogatepass") for w in group]), strict=True))
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Token numbers of each text as little-endian unsigned 32-bit integers.
+
+        The pattern always splits before a space that something other than white space follows, so texts are
+        cut at spaces first: what stands between repeats a lot, and the pattern runs only on what is new.
+        """
+        if len(self.pieces) > KEPT_PIECES:
+            self.pieces.clear()
+        plans, new = [self._plan(t) for t in texts], set()
+        for plan in plans:
+            for spaced, parts, known in plan:
+                if spaced and None in known:
+                    new.update(p for p, ids in zip(parts, known, strict=True) if ids is None)
+        split = {p: self._spaced(p) for p in new}
+        loose = {p: self.split.findall(p) for plan in plans for spaced, parts, _ in plan if spaced is False for p in parts}
+        self._learn({w for ws in split.values() for w in ws} | {w for ws in loose.values() for w in ws})
+        words = self.words
+        for p, ws in split.items():
+            self.pieces[p] = b"".join([words[w] for w in ws])
+        loose = {p: b"".join([words[w] for w in ws]) for p, ws in loose.items()}
+        out = []
+        for plan in plans:
+            ids: list[bytes] = []
+            for spaced, parts, known in plan:
+                if spaced and None not in known:
+                    ids += known
+                elif spaced is None:
+                    ids.append(self.specials[parts[0]].to_bytes(4, "little"))
                 else:
-                    at -= length[path.pop()]
-                    found = left.pop()
-                    row = path[-1] * size if path else -1
-                    continue
-                break
-            path.append(t)
-            left.append(found)
-            at += length[t]
-            row = t * size
-        return path
-
-    def _word(self, word: str) -> bytes:
-        ids = self.words.get(word)
-        if ids is None:
-            ids = b"".join(map(self.packed.__getitem__, self.walk(word.encode("utf-8", "surrogatepass"))))
-            if len(word) <= 64:
-                if len(self.words) >= KEPT_WORDS:
-                    self.words.clear()
-                self.words[word] = ids
-        return ids
-
-    def _spaced(self, chunk: str) -> bytes | None:
-        """Tokens of a space and ``chunk``; None where that space isn't the start of a word."""
-        if not chunk or chunk[0].isspace():
-            return None
-        ids = b"".join(map(self._word, self.split.findall(" " + chunk)))
-        if len(chunk) <= 64:
-            if len(self.chunks) >= KEPT_CHUNKS:
-                self.chunks.clear()
-            self.chunks[chunk] = ids
-        return ids
-
-    def _plain(self, text: str) -> bytes:
-        """Tokens of a text without special strings.
-
-        The pattern always splits before a space that something other than white space follows, so
-        texts are cut there first: the pieces repeat, and the pattern runs only on new ones.
+                    ids += map((self.pieces if spaced else loose).__getitem__, parts)
+            out.append(b"".join(ids))
+        return out
+
+    def _plan(self, text: str) -> list[tuple[bool | None, list[str], list]]:
+        """A text as lists of parts: True: each with a space before it; False: as they are; None: a special string.
+
+        With the first kind, what is known of the parts' tokens.
         """
-        chunks = text.split(" ")
-        out = [b"".join(map(self._word, self.split.findall(chunks[0])))]
-        known = self.chunks.get
-        for chunk in chunks[1:]:
-            ids = known(chunk)
-            if ids is None:
-                ids = self._spaced(chunk)
-                if ids is None:
-                    return b"".join(map(self._word, self.split.findall(text)))
-            out.append(ids)
-        return b"".join(out)
+        plan = []
+        for part in self.special.split(text) if self.special and self.special.search(text) else [text]:
+            if part in self.specials:
+                plan.append((None, [part], []))
+                continue
+            first, *rest = part.split(" ")
+            known = list(map(self.pieces.get, rest))
+            if None in known and any(ids is None and (not p or p[0].isspace()) for p, ids in zip(rest, known, strict=True)):  # spaces beside other white space
+                plan.append((False, [part], []))
+            else:
+                plan += [(False, [first], []), (True, rest, known)]
+        return plan
+
+    def _spaced(self, piece: str) -> list[str]:
+        """The words of a space and ``piece``."""
+        if piece.isalpha():
+            return [" " + piece]
+        if piece[-1] in ".,;:!?" and piece[:-1].isalpha():
+            return [" " + piece[:-1], piece[-1]]
+        return self.split.findall(" " + piece)
 
     def encode(self, text: str) -> bytes:
-        """Token numbers as little-endian unsigned 32-bit integers."""
-        if not self.special or not self.special.search(text):
-            return self._plain(text)
-        parts = self.special.split(text)
-        return b"".join(self.packed[self.specials[p]] if p in self.specials else self._plain(p) for p in parts)
+        return self.encode_all([text])[0]
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.labels.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
@@ -223,25 +342,41 @@ class Source:
         return self.text.value
 
 
-def encode(df: DataFrame, text: str, tokenizer: Source, into: str = "ids") -> DataFrame:
-    """``df`` with the token numbers of ``text``, packed as little-endian 32-bit integers; no shuffle."""
+def _with(df: DataFrame, columns: dict[str, pa.DataType], fill) -> DataFrame:
+    """``df`` with columns that ``fill`` computes from slices of its record batches; no shuffle."""
+    schema = df.schema
+    for name, kind in columns.items():
+        schema = StructType([f for f in schema.fields if f.name != name]).add(name, BinaryType() if kind == pa.binary() else StringType())
+    names = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for p in pieces(b, PIECE_BYTES):
+                have = {n: p.column(n) for n in p.schema.names} | {n: pa.array(v, columns[n]) for n, v in fill(p).items()}
+                yield pa.record_batch([have[n] for n in names], names=names)
+
+    return df.mapInArrow(run, schema)
+
+
+def encode(df: DataFrame, text: str, tokenizer: Source, into: str = "ids", back: str | None = None) -> DataFrame:
+    """``df`` with the token numbers of ``text``, packed as little-endian 32-bit integers.
+
+    With ``back`` also a column with the text that these numbers decode to.
+    """
 
-    @pandas_udf("binary")
-    def ids_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def fill(p: pa.RecordBatch) -> dict[str, list]:
         automaton = _automaton(tokenizer)
-        for texts in batches:
-            yield pd.Series([automaton.encode(t or "") for t in texts], dtype=object)
+        ids = automaton.encode_all([t or "" for t in p.column(text).to_pylist()])
+        return {into: ids} | ({back: list(map(automaton.decode, ids))} if back else {})
 
-    return df.withColumn(into, ids_of(df[text]))
+    return _with(df, {into: pa.binary()} | ({back: pa.string()} if back else {}), fill)
 
 
 def decode(df: DataFrame, ids: str, tokenizer: Source, into: str = "decoded") -> DataFrame:
     """``df`` with the text that packed token numbers stand for; null ids give the empty text."""
 
-    @pandas_udf("string")
-    def text_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def fill(p: pa.RecordBatch) -> dict[str, list]:
         automaton = _automaton(tokenizer)
-        for rows in batches:
-            yield pd.Series([automaton.decode(bytes(x or b"")) for x in rows], dtype=object)
+        return {into: [automaton.decode(x or b"") for x in p.column(ids).to_pylist()]}
 
-    return df.withColumn(into, text_of(df[ids]))
+    return _with(df, {into: pa.string()}, fill)

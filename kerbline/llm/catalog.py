@@ -46,8 +46,7 @@ def toxic(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_bpe")
 def byte_pairs(spark: SparkSession, folder: str) -> DataFrame:
     tokenizer = bpe.Source(spark, public_tokenizers.path("byte_bpe_50k.json"))
-    encoded = bpe.encode(documents(spark, folder).select("doc_id", "text"), "text", tokenizer).select("doc_id", "ids")
-    both = bpe.decode(encoded, "ids", tokenizer)
+    both = bpe.encode(documents(spark, folder).select("doc_id", "text"), "text", tokenizer, "ids", back="decoded")
     return both.select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
