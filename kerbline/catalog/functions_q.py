@@ -159,14 +159,14 @@ def first_matching(t):
     return c.select("c_custkey", F.col(X.first_matching_column(c.columns, ["name"], ["_name"])).alias("picked"))
 
 
-@query("fn_sqrt_clip", "select link_id, round(sqrt(greatest(r,0)),6)+0 as v from d_candidates")
+@query("fn_sqrt_clip", "select link_id, case when link_id%13=0 then null else round(sqrt(greatest(r,0)),6)+0 end as v from d_candidates")
 def sqrt_clip_q(t):
-    return t("d_candidates").select("link_id", r_to(sqrt_clip("r")).alias("v"))
+    return t("d_candidates").select("link_id", r_to(sqrt_clip(F.when(F.expr("link_id%13<>0"), F.col("r")))).alias("v"))
 
 
-@query("fn_clip", "select link_id, greatest(least(r,cast(2 as double)),cast(-1 as double)) as v from d_candidates")
+@query("fn_clip", "select link_id, case when link_id%13=0 then null else greatest(least(r,cast(2 as double)),cast(-1 as double)) end as v from d_candidates")
 def clip_q(t):
-    return t("d_candidates").select("link_id", clamp("r", -1.0, 2.0).alias("v"))
+    return t("d_candidates").select("link_id", clamp(F.when(F.expr("link_id%13<>0"), F.col("r")), -1.0, 2.0).alias("v"))
 
 
 @query("fn_discount_piecewise", """select link_id, round(case when e*3<=5 then 1 when e*3<=25 then 1-(e*3-5)/40

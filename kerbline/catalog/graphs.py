@@ -35,16 +35,14 @@ def gates_normalise(t):
     return normalise_gates(raw, "main").select("gate_id", F.col("school_name").alias("school"), "gate_type", "valid")
 
 
-@query("zones_normalise", "select zone_id, concat(school_name,'초_res') as layer from d_zones where zone_id%3=0")
+@query("zones_normalise", "select zone_id, concat(regexp_replace(school_name,'[^0-9A-Za-z]','가','g'),'초_res') as layer from d_zones where zone_id%3=0")
 def zones_normalise(t):
     from kerbline.sources.delimited import normalise_zones
     from kerbline.functions.text import garble
 
     city = F.when(F.expr("zone_id%3=0"), "11").otherwise("26")
     raw = t("d_zones").select("zone_id", city.alias("city_code"), garble(F.concat(F.regexp_replace("school_name", "[^0-9A-Za-z]", "가"), F.lit("초통학구역"))).alias("zone_name"))
-    fixed = normalise_zones(raw, "11").select("zone_id", "layer")
-    return fixed.join(t("d_zones").select("zone_id", "school_name"), "zone_id").select(
-        "zone_id", F.when(F.col("layer").endswith("초_res"), F.concat("school_name", F.lit("초_res"))).alias("layer"))
+    return normalise_zones(raw, "11").select("zone_id", "layer")
 
 
 @query("households_proxy", "select bld_id, cast(round_even(greatest(coalesce(floors/2,1),1),0) as bigint) as households from d_buildings")
@@ -98,11 +96,11 @@ def school_gates(t):
     return cut_lineage(best.select("school", "gate", "b.gate_type", "b.rank"))
 
 
-CUTOFF = 400.0
+CUTOFF = 10_000.0
 
 
-def trees(t, gates):
-    return E.gate_trees(G.both_directions(walk_graph(t)), gates, CUTOFF)
+def trees(t, gates, homes=None):
+    return E.gate_trees(G.both_directions(walk_graph(t)), gates, CUTOFF, homes)
 
 
 def homes(t):
@@ -121,7 +119,8 @@ def sssp_gate(t):
 @query("path_best_gate")
 def path_best_gate(t):
     gates = school_gates(t)
-    best = E.best_gate_per_home(homes(t).select("home_id", "school", "node"), trees(t, gates), gates.select("school", "gate", "rank"))
+    h = homes(t).select("home_id", "school", "node")
+    best = E.best_gate_per_home(h, trees(t, gates, h), gates.select("school", "gate", "rank"))
     return best.select("home_id", "school", "gate", r_to("distance").alias("distance"))
 
 
@@ -129,8 +128,9 @@ def path_best_gate(t):
 def path_reconstruct(t):
     """Paths home → gate as ordered node rows (one start per node and school)."""
     gates = school_gates(t)
-    tr = cut_lineage(trees(t, gates))
-    best = E.best_gate_per_home(homes(t).select("home_id", "school", "node"), tr, gates.select("school", "gate", "rank"))
+    h = homes(t).select("home_id", "school", "node")
+    tr = cut_lineage(trees(t, gates, h))
+    best = E.best_gate_per_home(h, tr, gates.select("school", "gate", "rank"))
     starts = best.select("school", "gate", "node").distinct().withColumn("path_id", F.concat_ws("|", "school", "gate", "node"))
     return G.path_nodes(tr, starts, ["school", "gate"], "path_id").select("path_id", "pos", "node")
 
@@ -138,30 +138,32 @@ def path_reconstruct(t):
 @query("path_distance_stats")
 def path_distance_stats(t):
     gates = school_gates(t)
-    best = E.best_gate_per_home(homes(t).select("home_id", "school", "node"), trees(t, gates), gates.select("school", "gate", "rank"))
+    h = homes(t).select("home_id", "school", "node")
+    best = E.best_gate_per_home(h, trees(t, gates, h), gates.select("school", "gate", "rank"))
     return best.groupBy("school").agg(F.count("*").alias("paths"), *[r_to(f("distance")).alias(n) for n, f in (("mean_m", F.avg), ("min_m", F.min), ("max_m", F.max))])
 
 
-@query("students_allocate", """with pth as (select a.acdnt_no as path_id, a.x, a.y, z.school_name as school from d_accidents a join d_zones z on z.zone_id=a.user_id%50+1),
-    k as (select p.path_id, b.bld_id, b.floors, sqrt((p.x-b.x)*(p.x-b.x)+(p.y-b.y)*(p.y-b.y)) as d from pth p join d_buildings b on b.x between p.x-30 and p.x+30 and b.y between p.y-30 and p.y+30),
-    n as (select *, row_number() over (partition by path_id order by d, bld_id) as rn from k where d<=30),
+@query("students_allocate", """with pth as (select a.acdnt_no as path_id, a.x, a.y, z.school_name as school from d_accidents a join d_zones z on z.zone_id=a.user_id%(select count(*) from d_zones)+1),
+    k as (select p.path_id, b.bld_id, b.floors, sqrt((p.x-b.x)*(p.x-b.x)+(p.y-b.y)*(p.y-b.y)) as d from pth p join d_buildings b on b.x between p.x-100 and p.x+100 and b.y between p.y-100 and p.y+100),
+    n as (select *, row_number() over (partition by path_id order by d, bld_id) as rn from k where d<=100),
     h as (select p.path_id, p.school, coalesce(cast(greatest(coalesce(n.floors,1),1) as bigint),0) as households from pth p left join n on n.path_id=p.path_id and n.rn=1),
     h2 as (select h.path_id, h.school, case when exists(select 1 from n where n.path_id=h.path_id and n.rn=1) then h.households else 0 end as households from h)
     select h2.path_id, h2.school, h2.households, round(coalesce(h2.households/nullif(sum(h2.households) over (partition by h2.school),0)::double*e.total,0),4)+0 as students from h2 left join d_enrollment e on e.school_name=h2.school""")
 def students_allocate(t):
-    paths = t("d_accidents").join(t("d_zones").select("zone_id", "school_name"), F.col("zone_id") == F.col("user_id") % 50 + 1).select(
+    zones = t("d_zones").agg(F.count("*").alias("n"))
+    paths = t("d_accidents").withColumn("zone_id", F.col("user_id") % zones.scalar() + 1).join(t("d_zones").select("zone_id", "school_name"), "zone_id").select(
         F.col("acdnt_no").alias("path_id"), F.col("school_name").alias("school"), "x", "y")
     h = t("d_buildings").select(F.col("bld_id").alias("home_id"), "x", "y", E.households("floors").alias("households"))
     e = t("d_enrollment").select(F.col("school_name").alias("school"), "total")
-    return E.allocate_students(paths, h, e, 30.0).withColumn("students", r_to("students", 4))
+    return E.allocate_students(paths, h, e, 100.0).withColumn("students", r_to("students", 4))
 
 
 @query("link_exposure")
 def link_exposure(t):
     """Homes → best gate → students by households → students per link, summed over the gate trees."""
     gates = school_gates(t)
-    tr = cut_lineage(trees(t, gates))
     h = homes(t)
+    tr = cut_lineage(trees(t, gates, h))
     best = E.best_gate_per_home(h.select("home_id", "school", "node"), tr, gates.select("school", "gate", "rank"))
     e = t("d_enrollment").select(F.col("school_name").alias("school"), "total").filter("total is not null")
     shares = E.share_of_total(best.join(h.select("home_id", "school", "households"), ["home_id", "school"]), "school", "households", "share")
@@ -230,10 +232,11 @@ def route_mode(t):
     return t("d_requests").select("q_id", R.route_mode(axis, cap, F.expr("q_id%7=0")).alias("mode"), R.slack_mode("time_left_min", F.lit(20)).alias("slack_mode"))
 
 
-@query("route_gate_choice", """with q as (select q_id, z.school_name as school, case when q_id%4=0 then 'back' when q_id%4=2 then 'main' end as pref from d_requests join d_zones z on z.zone_id=q_id%60+1)
+@query("route_gate_choice", """with q as (select q_id, z.school_name as school, case when q_id%4=0 then 'back' when q_id%4=2 then 'main' end as pref from d_requests join d_zones z on z.zone_id=q_id%(select count(*) from d_zones)+1)
     select q.q_id, g.gate_id from q join d_gates g on g.school_name=q.school where q.pref=g.gate_type or q.pref is null or not exists (select 1 from d_gates h where h.school_name=q.school and h.gate_type=q.pref)""")
 def route_gate_choice(t):
-    q = t("d_requests").join(t("d_zones").select("zone_id", F.col("school_name").alias("school")), F.col("zone_id") == F.col("q_id") % 60 + 1).select(
+    zones = t("d_zones").agg(F.count("*").alias("n"))
+    q = t("d_requests").withColumn("zone_id", F.col("q_id") % zones.scalar() + 1).join(t("d_zones").select("zone_id", F.col("school_name").alias("school")), "zone_id").select(
         "q_id", "school", F.when(F.expr("q_id%4=0"), "back").when(F.expr("q_id%4=2"), "main").alias("preferred"))
     gates = t("d_gates").select(F.col("school_name").alias("school"), F.col("gate_id").alias("gate"), "gate_type")
     return R.choose_gates(q, gates).select("q_id", F.col("gate").alias("gate_id"))

@@ -56,21 +56,24 @@ def road_facility_nearest(t):
 
 VOLUME = """round(case road_class when 'primary' then 1800 when 'secondary' then 480 when 'tertiary' then 260 when 'residential' then 80 else 30 end
     *greatest(0.5::double, coalesce(lanes/case road_class when 'primary' then 4 when 'secondary' then 2.5::double when 'tertiary' then 2 else 1 end,0.5::double)),2)+0"""
+TEXT_LANES = VOLUME.replace("coalesce(lanes/", "coalesce((case when u%23=0 then 1 else lanes end)/")
 
 
-@query("road_volume_estimate", f"select osm_edge_id, {VOLUME} as volume from d_roads")
+@query("road_volume_estimate", f"select osm_edge_id, {TEXT_LANES} as volume from d_roads")
 def road_volume_estimate(t):
-    return t("d_roads").select("osm_edge_id", R.estimated_volume().alias("volume"))
+    lanes = F.when(F.expr("u%23=0"), "two").otherwise(F.col("lanes").cast("string"))
+    return t("d_roads").withColumn("lanes", lanes).select("osm_edge_id", R.estimated_volume().alias("volume"))
 
 
-@query("road_inverse_speed", "select osm_edge_id, round(1/greatest(speed_kmh-30,1),6)+0 as inverse_speed from d_roads")
+@query("road_inverse_speed", "select osm_edge_id, case when u%19=0 then 0 else round(1/greatest(speed_kmh-30,1),6)+0 end as inverse_speed from d_roads")
 def road_inverse_speed(t):
-    return t("d_roads").withColumn("speed_kmh", F.col("speed_kmh") - 30).select("osm_edge_id", r_to(R.inverse_speed()).alias("inverse_speed"))
+    return t("d_roads").withColumn("speed_kmh", F.when(F.expr("u%19<>0"), F.col("speed_kmh") - 30)).select("osm_edge_id", r_to(R.inverse_speed()).alias("inverse_speed"))
 
 
 @query("road_density_100m", "select osm_edge_id, round(least(greatest((u%12)/greatest(length_m,20)*100,0),8),6)+0 as density from d_roads")
 def road_density(t):
-    return t("d_roads").withColumn("n", F.col("u") % 12).select("osm_edge_id", r_to(R.density_100m("n")).alias("density"))
+    roads = t("d_roads").withColumn("n", F.col("u") % 12).withColumn("length_m", F.when(F.expr("v%17<>0"), F.col("length_m")))
+    return roads.select("osm_edge_id", r_to(R.density_100m("n")).alias("density"))
 
 
 STAT = f"select osm_edge_id, coalesce(lanes,0) as lanes, speed_kmh, length_m, {VOLUME} as volume, cast((u*31+v)%7 as double) as target, cast(5 as double) as flat from d_roads"

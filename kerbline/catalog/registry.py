@@ -28,7 +28,7 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     from kerbline.catalog import (  # noqa: F401
-        areas, functions_q, graphs, index, joins, measures, network_risk, relational, shortlist_q, sources_q,
+        areas, functions_q, graphs, index, joins, measures, relational, shortlist_q, sources_q,
         streams_q, walking,
     )
 

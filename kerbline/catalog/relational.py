@@ -221,9 +221,12 @@ def win_pct_rank_avg(t):
     return R.pct_rank(t("d_candidates"), "r", "pct").select("link_id", r_to("pct", 9).alias("pct"))
 
 
-@query("win_decile_qcut", """select link_id, cast(greatest(1,ceil((row_number() over (order by r,link_id)-1)*10.0::double/(count(*) over ()-1))) as integer) as decile from d_candidates""")
+@query("win_decile_qcut", """with c as (select link_id, case when link_id%13<>0 then r end as r from d_candidates)
+    select link_id, cast(greatest(1,ceil((row_number() over (order by r,link_id)-1)*10.0::double/(count(*) over ()-1))) as integer) as decile from c where r is not null
+    union all select link_id, null from c where r is null""")
 def win_decile_qcut(t):
-    return R.deciles(t("d_candidates"), "r", "link_id").select("link_id", "decile")
+    c = t("d_candidates").withColumn("r", F.when(F.expr("link_id%13<>0"), F.col("r")))
+    return R.deciles(c, "r", "link_id").select("link_id", "decile")
 
 
 @query("win_first_per_key", """select user_id, acdnt_no, x from (select *, row_number() over (partition by user_id order by x desc, acdnt_no) rn from d_accidents) where rn=1""")

@@ -83,16 +83,17 @@ def quantile_sensitivity(t):
     return P.quantile_sensitivity(candidates(t), {"q75": 0.75, "q67": 2 / 3, "q50": 0.5})
 
 
-@query("capacity_plan", f"""with {TRACK}, top as (select track from tr order by ecr desc, link_id limit 111) select 111::bigint as n_admin, 'budget' as bottleneck, count(*) filter (track='A') as n_a,
-    count(*) filter (track='B') as n_b, (select count(*) from tr)-111 as n_wait from top""")
+@query("capacity_plan", f"""with {TRACK}, top as (select track from tr order by ecr desc, link_id limit 111) select least(111,(select count(*) from tr))::bigint as n_admin, 'budget' as bottleneck, count(*) filter (track='A') as n_a,
+    count(*) filter (track='B') as n_b, greatest((select count(*) from tr)-111,0)::bigint as n_wait from top""")
 def capacity_plan(t):
     return P.capacity_plan(cut_lineage(P.classify_tracks(candidates(t))), 2_000_000_000, 18_000_000, 150)
 
 
-@query("review_flag", f"with {FULL}, top as (select link_id from cand order by ecr desc, link_id limit 500) select link_id, link_id in (select link_id from top) and (coalesce(tags,0)>=3 or coalesce(measures,0)>=3) as review from cand")
+@query("review_flag", f"with {FULL}, top as (select link_id from cand order by ecr desc, link_id limit 111) select link_id, link_id in (select link_id from top) and (coalesce(tags,0)>=3 or coalesce(measures,0)>=3) as review from cand")
 def review_flag(t):
     c = candidates(t)
-    top = c.select("link_id", "ecr").orderBy(F.desc("ecr"), "link_id").limit(500).select("link_id").withColumn("priority", F.lit(True))
+    n, _ = P.capacity(2_000_000_000, 18_000_000, 150)
+    top = c.select("link_id", "ecr").orderBy(F.desc("ecr"), "link_id").limit(n).select("link_id").withColumn("priority", F.lit(True))
     df = c.join(top, "link_id", "left").withColumn("priority", F.coalesce("priority", F.lit(False)))
     return P.review_flag(df).select("link_id", "review")
 

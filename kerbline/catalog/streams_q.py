@@ -13,7 +13,7 @@ from kerbline.streaming import accidents as A
 from kerbline.streaming import preference as P
 from kerbline.streaming import trips as T
 
-RULES_EN = {"safer": "scary", "relax": "plenty of time", "faster": "hurry", "late": "already late"}
+RULES_EN = {"safer": "ound", "relax": "ation", "faster": "ering", "late": "thth"}  # letters that occur in the texts at hand
 
 
 def table_stream(t, name: str):
@@ -29,8 +29,8 @@ def run_to_table(t, df, name: str):
 
 
 U = "select conv_id, turn, text from d_utterances"
-FLAGS = f"""ut as ({U}), fl as (select conv_id, turn, row_number() over (partition by conv_id order by turn) as rn, contains(text,'scary') as a, contains(text,'plenty of time') as b,
-    contains(text,'hurry') as c, contains(text,'already late') as d from ut)"""
+FLAGS = f"""ut as ({U}), fl as (select conv_id, turn, row_number() over (partition by conv_id order by turn) as rn, contains(text,'ound') as a, contains(text,'ation') as b,
+    contains(text,'ering') as c, contains(text,'thth') as d from ut)"""
 
 
 @query("utterance_rules", f"""with {FLAGS} select conv_id, turn, cast(a as integer)+2*cast(b as integer)+4*cast(c as integer)+8*cast(d as integer) as code from fl""")
@@ -42,32 +42,29 @@ _UP = "case when {c}=0 then 0.15::double else 0.5::double end"
 _DOWN = "case when {c}=0.5::double then 0.15::double else 0::double end"
 
 
-@query("preference_state", f"""with recursive {FLAGS}, st(conv_id, rn, turn, axis, cap, ovr) as (
+STATE_SQL = f"""with recursive {FLAGS}, st(conv_id, rn, turn, axis, cap, ovr) as (
       select conv_id, cast(0 as bigint), cast(-1 as bigint), 'max', cast(0.5 as double), cast(null as double) from (select distinct conv_id from fl)
       union all select x.conv_id, x.rn, x.turn, case when a or (b and (c or d)) then 'max' else axis end, case when conflict and cap3=0 then 0.15::double else cap3 end,
         case when conflict and cap3=0 then 0.15::double when b or c or d then cap3 else ovr end
       from (select *, (a or b) and (c or d) as conflict, case when d then 0::double else cap2 end as cap3 from (select *, case when c then {_DOWN.format(c='cap1')} else cap1 end as cap2 from (
         select f.conv_id, f.rn, f.turn, f.a, f.b, f.c, f.d, s.axis, s.ovr, case when f.b then {_UP.format(c='s.cap')} else s.cap end as cap1 from st s join fl f on f.conv_id=s.conv_id and f.rn=s.rn+1) k1) k2) x)
-    select conv_id, turn, axis, cap, ovr as override from st where rn>0""")
+    select conv_id, turn, axis, cap, ovr as override from st where rn>0"""
+
+
+@query("preference_state", STATE_SQL)
 def preference_state(t):
     """Latched state after each utterance, composed in blocks."""
     return P.fold(t("d_utterances"), "conv_id", "turn", "text", RULES_EN).select("conv_id", "turn", "axis", "cap", "override")
 
 
 def utterance_stream(t):
-    c = table_stream(t, "conversations").filter("role='user'")
-    n = F.pmod(F.col("conv_id") * 7 + F.col("turn"), F.lit(6))
-    text = (
-        F.when(n == 0, "cars are scary here").when(n == 1, "we have plenty of time").when(n == 2, "hurry please").when(n == 3, "already late")
-        .when(n == 4, "scary but hurry").otherwise(F.col("text"))
-    )
-    return c.select("conv_id", "turn", text.alias("text"))
+    return table_stream(t, "conversations").filter("role='user'").select("conv_id", "turn", "text")
 
 
-@query("stream_preference_state", f"with {FLAGS} select conv_id, turn from fl")
+@query("stream_preference_state", STATE_SQL)
 def stream_preference_state(t):
     out = run_to_table(t, P.stream_preferences(utterance_stream(t), "conv_id", "turn", "text", RULES_EN), "preference")
-    return out.select(F.col("key").alias("conv_id"), "turn")
+    return out.select(F.col("key").alias("conv_id"), "turn", "axis", "cap", "override")
 
 
 @query("stream_trip_monitor")

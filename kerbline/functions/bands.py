@@ -56,4 +56,4 @@ def distance_discount(d, near=5.0, mid=25.0, far=80.0) -> Column:
         .when(d <= far, F.lit(0.5) - F.lit(0.5) * F.try_divide(d - mid, far - mid))
         .when(d.isNotNull(), 0.0)
     )
-    return F.least(F.greatest(factor, F.lit(0.0)), F.lit(1.0))
+    return F.when(factor.isNotNull(), F.least(F.greatest(factor, F.lit(0.0)), F.lit(1.0)))

@@ -25,7 +25,8 @@ def _all(*values) -> list[Column]:
 
 
 def clamp(x, low: float, high: float) -> Column:
-    return F.least(F.greatest(_c(x), _c(low)), _c(high))
+    """``x`` kept within bounds; a missing value stays missing."""
+    return F.when(_c(x).isNotNull(), F.least(F.greatest(_c(x), _c(low)), _c(high)))
 
 
 def r_to(x, digits: int = 6) -> Column:

@@ -75,12 +75,13 @@ def pct_rank(df: DataFrame, column: str, out: str, by: list[str] = (), ranges: i
 
 
 def row_numbers(df: DataFrame, column: str, tie: str, out: str, ranges: int = RANGES) -> DataFrame:
-    """Exact position 1..n by (column, tie), plus ``_n``, the number of rows.
+    """Exact position 1..n by (column, tie), plus ``_n``, the number of rows with a value; both null without one.
 
     Rows of one hot value are themselves cut by ranges of the tie-breaker.
     """
     ranks = value_ranks(df, column, (), ranges).select(F.col(column).alias("_v"), "below", F.col("total").alias("_n"))
     ties = df.groupBy(tie).agg(F.count("*").alias("_x"))
+    missing = df.filter(F.col(column).isNull())
     base = df.filter(F.col(column).isNotNull()).join(ranks, F.col(column) == F.col("_v")).drop("_v")
     base = _with_range(base, ties, tie, "_t", ranges)
     counts = base.groupBy(column, "_t").agg(F.count("*").alias("_c"))
@@ -88,16 +89,15 @@ def row_numbers(df: DataFrame, column: str, tie: str, out: str, ranges: int = RA
     counts = counts.select(F.col(column).alias("_v"), F.col("_t").alias("_tt"), (F.sum("_c").over(w) - F.col("_c")).alias("_o"))
     base = base.join(counts, (F.col(column) == F.col("_v")) & (F.col("_t") == F.col("_tt")))
     inner = Window.partitionBy(column, "_t").orderBy(tie)
-    return base.withColumn(out, F.col("below") + F.col("_o") + F.row_number().over(inner)).drop(
-        "_v", "_tt", "_t", "_o", "below"
-    )
+    numbered = base.withColumn(out, F.col("below") + F.col("_o") + F.row_number().over(inner)).drop("_v", "_tt", "_t", "_o", "below")
+    return numbered.unionByName(missing, allowMissingColumns=True)
 
 
 def deciles(df: DataFrame, column: str, tie: str, out: str = "decile", q: int = 10) -> DataFrame:
     """Equal-count bins 1..q of the position by (column, tie), with edges at linear quantiles."""
     ranked = row_numbers(df, column, tie, "_pos")
     return ranked.withColumn(
-        out, F.when(F.col("_n") <= 1, F.lit(1)).otherwise(
+        out, F.when(F.col("_n").isNull(), F.lit(None)).when(F.col("_n") <= 1, F.lit(1)).otherwise(
             F.greatest(F.lit(1), F.ceil((F.col("_pos") - 1) * q / (F.col("_n") - 1)).cast("int"))
         ),
     ).drop("_pos", "_n")

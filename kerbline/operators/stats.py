@@ -21,7 +21,7 @@ def attach(df: DataFrame, one_row: DataFrame, name: str = "_s") -> DataFrame:
 
 def sqrt_clip(x) -> Column:
     x = F.col(x) if isinstance(x, str) else x
-    return F.sqrt(F.greatest(x, F.lit(0.0)))
+    return F.when(x.isNotNull(), F.sqrt(F.greatest(x, F.lit(0.0))))
 
 
 def feature_correlations(df: DataFrame, features: list[str], target: str) -> DataFrame:

@@ -90,18 +90,20 @@ def estimated_volume(lanes="lanes") -> Column:
 
     Text that is no number counts as one lane; a missing number gives the factor one half.
     """
-    factor = F.greatest(F.lit(0.5), F.coalesce(F.col(lanes) / _by_class(USUAL_LANES, 1.0), F.lit(0.5)))
+    number = F.when(F.col(lanes).isNotNull(), F.coalesce(F.col(lanes).cast("string").try_cast("double"), F.lit(1.0)))
+    factor = F.greatest(F.lit(0.5), F.coalesce(number / _by_class(USUAL_LANES, 1.0), F.lit(0.5)))
     return F.rint(_by_class(CLASS_VOLUME, DEFAULT_VOLUME) * factor * 100) / 100
 
 
 def inverse_speed(speed="speed_kmh") -> Column:
-    return F.lit(1.0) / F.greatest(F.col(speed), F.lit(1.0))
+    """One over the speed, which counts as 1 at least; 0 where it is unknown."""
+    return F.when(F.col(speed).isNull(), 0.0).otherwise(F.lit(1.0) / F.greatest(F.col(speed), F.lit(1.0)))
 
 
-def density_100m(count: str, length: str = "length_m") -> Column:
-    return F.least(
-        F.greatest(F.coalesce(F.col(count), F.lit(0)) / F.greatest(F.col(length), F.lit(MIN_LENGTH)) * 100, F.lit(0.0)), F.lit(DENSITY_CAP)
-    )
+def density_100m(count: str, length: str = "length_m", line: tuple[str, str, str, str] = ("x1", "y1", "x2", "y2")) -> Column:
+    """Objects per 100 m; a link without a length is measured on its line."""
+    metres = F.coalesce(F.col(length), distance(*line))
+    return F.least(F.greatest(F.coalesce(F.col(count), F.lit(0)) / F.greatest(metres, F.lit(MIN_LENGTH)) * 100, F.lit(0.0)), F.lit(DENSITY_CAP))
 
 
 def positive_cap(df: DataFrame, column: str, out: str, q: float = 0.95) -> DataFrame:

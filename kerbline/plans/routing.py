@@ -129,7 +129,8 @@ def route_metrics(route_edges: DataFrame, routes: DataFrame) -> DataFrame:
     """
     counts = band_counts(route_edges, ["q_id"])
     zone = route_edges.groupBy("q_id").agg(F.sum(F.when(F.col("in_zone"), F.col("length_m")).otherwise(0.0)).alias("zone_m"))
-    df = routes.join(counts, "q_id").join(zone, "q_id")
+    df = routes.join(counts, "q_id", "left").join(zone, "q_id", "left")
+    df = df.fillna(0, [c for c in [*counts.columns, "zone_m"] if c != "q_id"])  # an empty route has no edges
     return df.withColumns({
         "detour": F.coalesce(F.try_divide(F.col("total_m"), F.col("short_len")) - 1, F.lit(0.0)),
         "minutes": F.greatest(F.lit(1.0), F.bround(F.col("total_m") / walking_speed("grade"))),

@@ -124,14 +124,14 @@ def capacity(budget: float, unit_cost: float, work_cap: int) -> tuple[int, str]:
 
 
 def capacity_plan(candidates: DataFrame, budget: float, unit_cost: float, work_cap: int) -> DataFrame:
-    """One row: N, bottleneck, tracks inside the priority group, and how many wait."""
+    """One row: N (the number of candidates at most), bottleneck, tracks inside the priority group, and how many wait."""
     n, bottleneck = capacity(budget, unit_cost, work_cap)
     top = candidates.select("link_id", "ecr", "track").orderBy(F.desc("ecr"), "link_id").limit(n)
     one = top.agg(F.count_if(F.col("track") == "A").alias("n_a"), F.count_if(F.col("track") == "B").alias("n_b"))
     total = candidates.agg(F.count("*").alias("n"))
     return attach(one, total).select(
-        F.lit(n).cast("bigint").alias("n_admin"), F.lit(bottleneck).alias("bottleneck"), "n_a", "n_b",
-        (F.col("_s.n") - F.lit(n)).alias("n_wait"),
+        F.least(F.lit(n).cast("bigint"), F.col("_s.n")).alias("n_admin"), F.lit(bottleneck).alias("bottleneck"), "n_a", "n_b",
+        F.greatest(F.col("_s.n") - F.lit(n), F.lit(0)).cast("bigint").alias("n_wait"),
     )
 
 

@@ -93,9 +93,9 @@ DERIVED: dict[str, str] = {
     "d_requests": f"""
         select event_id as q_id, cast((event_id*7919+13)%{_W} as double) as x,
           cast((event_id*104729+7)%{_H} as double) as y,
-          1+user_id%6 as grade, case when event_id%100=0 then 'safe' else 'fast' end as style,
+          1+user_id%6 as grade, case when event_id%2=0 then 'safe' else 'fast' end as style,
           5+(event_id*7)%40 as time_left_min
-        from events where event_id%50=0""",
+        from events""",
     "d_candidates": """
         select o_orderkey as link_id, cast((o_orderkey*37)%400 as double)/cast(10 as double) as e,
           cast((o_orderkey*53)%1000 as double)/cast(100 as double)-cast(5 as double) as r,
@@ -109,17 +109,16 @@ DERIVED: dict[str, str] = {
         union all select 4, cast(1.07 as double), cast(300000 as double)
         union all select 5, cast(null as double), cast(null as double)
         union all select 6, cast(0.26 as double), cast(30000000 as double)""",
+    # Two orders in three have their measures on links outside the candidates (negative ids).
     "d_measures": """
-        select distinct l_orderkey as link_id, cast(l_partkey%7 as int) as measure_id
-        from lineitem where l_orderkey%3=0""",
+        select distinct case when l_orderkey%3=0 then l_orderkey else -l_orderkey end as link_id, cast(l_partkey%7 as int) as measure_id
+        from lineitem""",
     "d_population": """
         select user_id%21 as dong, event_id%24 as hour, 100+value as total,
           value/cast(10 as double) as age_0_14, value/cast(5 as double) as age_65_up
         from events""",
     "d_utterances": """
-        select conv_id, turn, case (conv_id*7+turn)%6 when 0 then 'cars are scary here' when 1 then 'we have plenty of time'
-          when 2 then 'hurry please' when 3 then 'already late' when 4 then 'scary but hurry' else text end as text
-        from conversations where role='user'""",
+        select conv_id, turn, text from conversations where role='user'""",
     # Physical roads with a name on every third and a risk index.
     "d_wroads": f"""
         select concat(cast(u as string),'_',cast(v as string),'_0') as osm_edge_id, u, v, {_ROAD_CLASS} as road_class,

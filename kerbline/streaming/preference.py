@@ -17,13 +17,6 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructField, Str
 
 from kerbline.plans.routing import CAP_LADDER
 
-# Spoken patterns and what each rule does.
-RULES_KO = {
-    "safer": r"무서|차\s*많|쌩쌩|위험|차도|차량|교통량|차가\s*많|차들이\s*많|차가\s*빨라|차가\s*가까워|도로가\s*넓|큰\s*도로|대로|간선도로|버스|트럭|오토바이|킥보드|주정차|주차\s*많|사고|복잡한\s*도로|보도\s*없|인도\s*없|보행로\s*없|보차분리|스쿨존|어린이\s*보호구역|보호구역",
-    "relax": r"천천히|시간\s*있|여유|시간\s*많|돌아가도|멀어도|돌아도\s*괜찮|안전하게|안전\s*우선|안전한\s*길|제일\s*안전|가장\s*안전|위험\s*적은|차\s*적은|차\s*없는|보도\s*있는|인도\s*있는|스쿨존\s*위주|보호구역\s*위주",
-    "faster": r"빨리|급해|늦|시간\s*없|시간\s*부족|촉박|빠르게|급하게|서둘러|빠른\s*길|제일\s*빠른|가장\s*빠른|최단|가까운\s*길|짧은\s*길|바로\s*가|덜\s*돌아|돌아가지\s*말고|우회\s*적게|시간\s*줄여",
-    "late": r"곧\s*지각|1분\s*남|진짜\s*늦|이미\s*늦|완전\s*늦|지각이야|지각할\s*것|지각할거|지각할\s*듯|늦었다|큰일났|당장\s*가야|바로\s*가야|최대한\s*빨리|제일\s*빨리|무조건\s*빨리|시간이\s*하나도\s*없|0분\s*남|2분\s*남|3분\s*남|4분\s*남|5분\s*남|수업\s*시작|수업\s*곧\s*시작|종\s*쳤|등교시간\s*지났",
-}
 RULE_NAMES = ["safer", "relax", "faster", "late"]
 CONFLICT_CAP = 0.15
 BLOCK = 256
@@ -57,12 +50,12 @@ TRANSITIONS = [
 ]
 
 
-def rule_flags(text, rules: dict[str, str] = RULES_KO) -> dict[str, Column]:
+def rule_flags(text, rules: dict[str, str]) -> dict[str, Column]:
     text = F.col(text) if isinstance(text, str) else text
     return {name: F.coalesce(text.rlike(rules[name]), F.lit(False)) for name in RULE_NAMES}
 
 
-def rule_code(text, rules: dict[str, str] = RULES_KO) -> Column:
+def rule_code(text, rules: dict[str, str]) -> Column:
     """Rules that fire, as a number from 0 to 15."""
     return sum((flag.cast("int") * (1 << i) for i, flag in enumerate(rule_flags(text, rules).values())), F.lit(0))
 
@@ -71,7 +64,7 @@ def _transition(code: Column) -> Column:
     return F.element_at(F.array(*[F.array(*[F.lit(v) for v in row]) for row in TRANSITIONS]), code + 1)
 
 
-def fold(df: DataFrame, key: str, order: str, text: str, rules: dict[str, str] = RULES_KO, start: tuple = ("max", 0.5, None)) -> DataFrame:
+def fold(df: DataFrame, key: str, order: str, text: str, rules: dict[str, str], start: tuple = ("max", 0.5, None)) -> DataFrame:
     """State after every utterance: key, order, code, axis, cap, override.
 
     ``order`` numbers the utterances of a key; blocks are runs of ``BLOCK`` of these numbers.
@@ -117,7 +110,7 @@ OUT = StructType([
 LATCH = StructType([StructField("index", LongType())])
 
 
-def stream_preferences(events: DataFrame, key: str, order: str, text: str, rules: dict[str, str] = RULES_KO, start: tuple = ("max", 0.5, None)) -> DataFrame:
+def stream_preferences(events: DataFrame, key: str, order: str, text: str, rules: dict[str, str], start: tuple = ("max", 0.5, None)) -> DataFrame:
     """The same latch on a stream, one small integer of state per conversation, in order of arrival."""
     begin = STATES.index(start)
 
