@@ -56,7 +56,7 @@ def clean_str(t):
     return t.sql(CLEAN).select("event_id", X.clean("raw").alias("value"))
 
 
-@query("fn_fix_mojibake")
+@query("fn_fix_mojibake", f"with z as ({ZONE_NAMES}) select s_suppkey, zone_name, zone_name as repaired from z")
 def mojibake(t):
     """Korean names garbled the way a wrong decoder leaves them, and repaired."""
     names = t.sql(ZONE_NAMES)

@@ -331,18 +331,22 @@ def route_compare(t):
 
 @query("route_diversity")
 def route_diversity(t):
-    """Starts 150-420 m from their school, three modes each, scored by overlap and spread of length."""
+    """Nodes of a zone 150-420 m from its school, three modes each, scored by overlap and spread of length.
+
+    The zones of the derived tables are 300-500 m wide, so the distances are about half of those used on real zones.
+    """
     from kerbline.operators.stats import attach
 
-    req = request_frame(t).select("q_id", "src", "school")
+    zones = zone_rings(t).select("zone_id", F.col("school_name").alias("school"), "ring")
+    inside = S.points_in_rings(t("d_nodes").select(F.col("n").alias("src"), "x", "y"), zones, "src").select("src", "school")
     centre = t("d_gates").groupBy(F.col("school_name").alias("school")).agg(F.avg("x").alias("gx"), F.avg("y").alias("gy"))
     nodes = t("d_nodes").select(F.col("n").alias("src"), F.col("x").alias("nx"), F.col("y").alias("ny"))
     d = distance("nx", "ny", "gx", "gy")
-    starts = req.select("src", "school").distinct().join(nodes, "src").join(centre, "school").filter((d >= 150) & (d <= 420)).select("src", "school")
+    starts = inside.distinct().join(nodes, "src").join(centre, "school").filter((d >= 150) & (d <= 420)).select("src", "school")
     starts = O.sample_per_group(starts.withColumn("sid", F.concat_ws("|", "school", "src")), "school", "sid", 25).drop("sid")
     ref = t("d_walk").agg(F.avg(F.when(F.col("risk") > 0, F.col("risk"))).alias("r"))
     modes = F.array(*[
-        F.struct(F.lit(n).alias("mode"), F.lit(float(a)).alias("d"), F.lit(c).alias("cap")) for n, a, c in (("safest", 1.5, 0.5), ("balanced", 1.5, 0.15), ("shortest", 0.05, 0.15))
+        F.struct(F.lit(n).alias("mode"), F.lit(float(a)).alias("d"), F.lit(c).alias("cap")) for n, a, c in (("safest", 1.5, 0.5), ("balanced", 0.05, 0.15), ("shortest", 0.0, 0.0))
     ])
     q = attach(starts, ref).select("src", "school", F.explode(modes).alias("m"), F.col("_s.r").alias("r")).select(
         "src", "school", "m.mode", "m.cap", (F.col("m.d") / F.col("r")).alias("alpha_eff"), F.lit(0.0).alias("alpha_lo"),
@@ -379,6 +383,7 @@ def factor_rank(t):
     return f.select("edge_id", F.array_join(F.transform("f", lambda e: F.concat(e.key, F.lit("="), F.round(e.weighted * 1000000).cast("bigint").cast("string"))), ",").alias("factors"))
 
 
+# Labels, scales and limits of the explanations, as in plans/explain.py.
 _LABEL = "case {c} when 'traffic' then '넓은 차도·교통량' when 'accident' then '보행자 사고 이력' when 'facility' then '어린이·노약자 시설 밀집' end"
 _CASE = "case basis when 'case_D_crossing' then '차도를 직접 건너는 구간' when 'case_D_crosswalk' then '차도를 건너는 횡단보도' when 'case_B_shared_road' then '차도와 바로 맞붙은 보도' when 'case_B_nearest_road' then '가까운 차도에 노출된 구간' end"
 PRIMARY_SQL = f"""{FACTOR_SQL}, top as (select edge_id, arg_max(k, w) as k from fs group by 1), strong as (select edge_id, arg_max(k, w) as k from fs where k<>'facility' and w>=0.1::double group by 1),

@@ -49,21 +49,18 @@ def matched_road(t):
     return df.fillna({"lanes": 0.0, "speed_kmh": 30.0, "road_class": "unknown"})
 
 
-@query("join_positional", """with a as (select s_suppkey, row_number() over (order by s_suppkey) as rn from supplier), b as (select c_custkey, row_number() over (order by c_custkey) as rn from customer where c_custkey<(select count(*) from supplier)+(select min(c_custkey) from customer))
-    select a.s_suppkey, b.c_custkey from a join b on a.rn=b.rn""")
+@query("join_positional", """with a as (select s_suppkey, row_number() over (order by s_acctbal, s_suppkey) as rn from supplier), b as (select zone_id, row_number() over (order by cx, zone_id) as rn from d_zones)
+    select a.s_suppkey, b.zone_id from a join b on a.rn=b.rn""")
 def positional(t):
     """Two tables paired by an explicit ordinal, after checking that both have the same number of rows."""
     from kerbline.operators.ranking import row_numbers
 
-    left = t("supplier").select("s_suppkey")
-    n = left.count()
-    first = t("customer").agg(F.min("c_custkey").alias("m"))
-    right = t("customer").filter(F.col("c_custkey") < first.scalar() + n).select("c_custkey")
-    if right.count() != n:
+    left, right = t("supplier").select("s_suppkey", "s_acctbal"), t("d_zones").select("zone_id", "cx")
+    if left.count() != right.count():
         raise ValueError("tables to pair have different lengths")
-    a = row_numbers(left.withColumn("k", F.col("s_suppkey").cast("double")), "k", "s_suppkey", "ord")
-    b = row_numbers(right.withColumn("k", F.col("c_custkey").cast("double")), "k", "c_custkey", "ord")
-    return a.select("s_suppkey", "ord").join(b.select("c_custkey", "ord"), "ord").select("s_suppkey", "c_custkey")
+    a = row_numbers(left, "s_acctbal", "s_suppkey", "ord")
+    b = row_numbers(right, "cx", "zone_id", "ord")
+    return a.select("s_suppkey", "ord").join(b.select("zone_id", "ord"), "ord").select("s_suppkey", "zone_id")
 
 
 FUZZY_SCHOOLS = f"select s_suppkey as school, concat({SYL},{SYL2},'초') as short from supplier where s_suppkey%2=0"

@@ -80,7 +80,7 @@ def stream_trip_monitor(t):
     return out.select("trip", "seq", "waypoint", "off_route", r_to("remaining_m", 4).alias("remaining_m"), "minutes", "arrived")
 
 
-@query("stream_accident_ingest", f"""with {near(ACC, 'a.acdnt_no', 40)}, best as (select *, row_number() over (partition by acdnt_no order by d, link_id) as rn from pairs where d<=40)
+@query("stream_accident_ingest", f"""with {near(ACC, 'a.acdnt_no', 400)}, best as (select *, row_number() over (partition by acdnt_no order by d, link_id) as rn from pairs)
     select link_id, count(*) as accidents from best where rn=1 group by 1""")
 def stream_accident_ingest(t):
     """The event file as a stream in which every accident arrives twice."""

@@ -64,6 +64,9 @@ def fix_mojibake(texts: pd.Series) -> pd.Series:
     return texts.map(repair)
 
 
+# Endings and shapes of school-zone and address texts, as the given data spell them.
+
+
 def zone_layer(x) -> Column:
     """School-zone name to the name of its storage layer."""
     name = F.regexp_replace(F.regexp_replace(_c(x), "공동통학구역$", ""), "통학구역$", "")

@@ -13,22 +13,23 @@ from pyspark.sql import functions as F
 RANGES = 64
 
 
-def _number(df: DataFrame, column: str) -> Column:
-    """A number in the order of ``column``: text by its first six bytes (equal prefixes share a range)."""
-    if dict(df.dtypes)[column] != "string":
-        return F.col(column)
-    head = F.hex(F.substring(F.encode(F.col(column), "UTF-8"), 1, 6))
-    return F.conv(F.rpad(head, 12, "0"), 16, 10).cast("double")
+def _cuts(values: DataFrame, column: str, ranges: int) -> list:
+    """Points that cut ``values`` into about ``ranges`` equal parts: approximate quantiles of numbers; of texts, from the
+    64 per range with the smallest hashes."""
+    if dict(values.dtypes)[column] != "string":
+        row = values.agg(F.percentile_approx(column, [i / ranges for i in range(1, ranges)], 1000)).first()
+        return sorted(set(row[0] or []))
+    few = values.filter(F.col(column).isNotNull()).select(column).orderBy(F.xxhash64(column)).limit(64 * ranges).collect()
+    few = sorted({r[0] for r in few}, key=str.encode)
+    return sorted({few[len(few) * i // ranges] for i in range(1, ranges)}, key=str.encode) if few else []
 
 
 def _with_range(df: DataFrame, values: DataFrame, column: str, out: str, ranges: int) -> DataFrame:
     """Add the index of the range that ``column`` falls in, with cuts taken from ``values``.
 
-    The cuts are at most ``ranges`` numbers, read as one row; the index is a tree of comparisons.
+    The cuts are at most ``ranges`` values; the index is a tree of comparisons.
     """
-    key = _number(df, column)
-    row = values.agg(F.percentile_approx(_number(values, column), [i / ranges for i in range(1, ranges)], 1000)).first()
-    cuts = sorted(set(row[0] or []))
+    key, cuts = F.col(column), _cuts(values, column, ranges)
 
     def branch(lo: int, hi: int) -> Column:
         """Number of cuts at or below the key, given that it is from ``lo`` to ``hi``."""

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS = 2048
+BUCKETS = 65_536
 MIN_ROWS = 200_000
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbline.functions.geometry import point_segment_distance
-from kerbline.operators.spatial import SEG, point_cells, segment_cells
+from kerbline.operators.spatial import nearest
+from kerbline.session import cut_lineage
 
 
 def deduplicated(stream: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -14,17 +14,13 @@ def deduplicated(stream: DataFrame, delay: str = "1 day") -> DataFrame:
     return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["acdnt_no"])
 
 
-def nearest_links(stream: DataFrame, links: DataFrame, radius: float) -> DataFrame:
-    """(acdnt_no, link_id, distance) candidates within ``radius`` by a stream–static join on grid cells."""
-    left = point_cells(stream, "x", "y", radius)
-    right = segment_cells(links.select("link_id", *SEG), radius, radius)
-    return left.join(right, ["_cx", "_cy"]).withColumn("distance", point_segment_distance("x", "y", *SEG)).filter(F.col("distance") <= radius)
+def counts_per_link(batch: DataFrame, links: DataFrame, radius: float) -> DataFrame:
+    """Links of one micro-batch: the nearest link of every accident at any distance, counted (for ``foreachBatch``).
 
-
-def counts_per_link(batch: DataFrame) -> DataFrame:
-    """Links of one micro-batch: nearest candidate of every accident, counted (for ``foreachBatch``)."""
-    best = batch.groupBy("acdnt_no").agg(F.min(F.struct("distance", "link_id")).alias("b"))
-    return best.groupBy(F.col("b.link_id").alias("link_id")).agg(F.count("*").alias("n"))
+    ``radius``: where the search starts; it doubles for the accidents that have no link within it.
+    """
+    best = nearest(batch, links, "acdnt_no", "link_id", radius)
+    return best.groupBy("link_id").agg(F.count("*").alias("n"))
 
 
 def ingest(stream: DataFrame, links: DataFrame, radius: float, table: str, checkpoint: str, delay: str = "1 day"):
@@ -32,12 +28,13 @@ def ingest(stream: DataFrame, links: DataFrame, radius: float, table: str, check
 
     A repeated batch after a failure overwrites its own folder, so every accident counts once.
     """
-    found = nearest_links(deduplicated(stream, delay), links, radius)
 
     def land(batch: DataFrame, number: int) -> None:
-        counts_per_link(batch).write.mode("overwrite").parquet(f"{table}/batch={number}")
+        batch = cut_lineage(batch)
+        if not batch.isEmpty():
+            counts_per_link(batch, links, radius).write.mode("overwrite").parquet(f"{table}/batch={number}")
 
-    return found.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return deduplicated(stream, delay).writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def read_counts(spark, table: str) -> DataFrame:

@@ -9,10 +9,11 @@ FOLDER = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from kerbline.session import build_session
 
-    s = build_session("tests", "local[8]", **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "8g"})
+    shared = tmp_path_factory.mktemp("shared")
+    s = build_session("tests", "local[8]", **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "8g", "spark.checkpoint.dir": str(shared)})
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
