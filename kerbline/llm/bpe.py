@@ -23,19 +23,17 @@ Null counts as the empty text and gives no tokens. Texts of any length are encod
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import BinaryType, StringType, StructType
+from pyspark.sql.types import BinaryType, StringType
 
-from kerbline.llm.texts import pieces
+from kerbline.llm.texts import with_columns
 
 # Fixed value: the word pattern of the published byte-level tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-PIECE_BYTES = 4_000_000  # of rows handled together
 KEPT_WORDS = 300_000  # encoded words and pieces kept by a worker; past that the store is emptied and filled anew
 KEPT_PIECES = 400_000
 KEPT_ARCS = 1_000_000
@@ -342,22 +340,6 @@ class Source:
         return self.text.value
 
 
-def _with(df: DataFrame, columns: dict[str, pa.DataType], fill) -> DataFrame:
-    """``df`` with columns that ``fill`` computes from slices of its record batches; no shuffle."""
-    schema = df.schema
-    for name, kind in columns.items():
-        schema = StructType([f for f in schema.fields if f.name != name]).add(name, BinaryType() if kind == pa.binary() else StringType())
-    names = schema.names
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for p in pieces(b, PIECE_BYTES):
-                have = {n: p.column(n) for n in p.schema.names} | {n: pa.array(v, columns[n]) for n, v in fill(p).items()}
-                yield pa.record_batch([have[n] for n in names], names=names)
-
-    return df.mapInArrow(run, schema)
-
-
 def encode(df: DataFrame, text: str, tokenizer: Source, into: str = "ids", back: str | None = None) -> DataFrame:
     """``df`` with the token numbers of ``text``, packed as little-endian 32-bit integers.
 
@@ -369,7 +351,7 @@ def encode(df: DataFrame, text: str, tokenizer: Source, into: str = "ids", back:
         ids = automaton.encode_all([t or "" for t in p.column(text).to_pylist()])
         return {into: ids} | ({back: list(map(automaton.decode, ids))} if back else {})
 
-    return _with(df, {into: pa.binary()} | ({back: pa.string()} if back else {}), fill)
+    return with_columns(df, {into: (pa.binary(), BinaryType())} | ({back: (pa.string(), StringType())} if back else {}), fill)
 
 
 def decode(df: DataFrame, ids: str, tokenizer: Source, into: str = "decoded") -> DataFrame:
@@ -379,4 +361,4 @@ def decode(df: DataFrame, ids: str, tokenizer: Source, into: str = "decoded") ->
         automaton = _automaton(tokenizer)
         return {into: [automaton.decode(x or b"") for x in p.column(ids).to_pylist()]}
 
-    return _with(df, {into: pa.string()}, fill)
+    return with_columns(df, {into: (pa.string(), StringType())}, fill)

@@ -30,7 +30,7 @@ def language_dictionaries(docs: DataFrame) -> dict[str, bytes]:
 @query("op3_language_id")
 def language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder).select("doc_id", "text", "lang")
-    found = langid.identify(docs.select("doc_id", "text"), F.col("text"), language_dictionaries(docs))
+    found = langid.identify(docs.select("doc_id", "text"), "text", language_dictionaries(docs))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "language.lang_pred", "language.score", "language.rejected")
 
 

@@ -21,9 +21,11 @@ from functools import reduce
 
 import ahocorasick
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+
+from kerbline.llm.texts import keep_rows
 
 ERROR_RATE = 0.05
 MIN_CHARS = 24
@@ -146,12 +148,6 @@ def blocks(items: DataFrame, item_id: str, text: str, most: int = BLOCK_CHARS) -
         yield block
 
 
-def _finder(kept: list, shared, error_rate: float) -> Finder:
-    if not kept:
-        kept.append(Finder(shared.value, error_rate))
-    return kept[0]
-
-
 def find_passages(
     df: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
     error_rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS,
@@ -181,15 +177,16 @@ def without_passages(
 ) -> DataFrame:
     """The rows of ``df`` in which no item occurs, with all their columns; no shuffle."""
     for block in blocks(items, item_id, item_text, block_chars):
-        df = df.filter(~_has_any(df.sparkSession.sparkContext.broadcast(block), error_rate)(F.col(text)))
+        df = keep_rows(df, _clean(df.sparkSession.sparkContext.broadcast(block), text, error_rate))
     return df
 
 
-def _has_any(shared, error_rate: float) -> Column:
-    @pandas_udf("boolean")
-    def has(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        finder = Finder(shared.value, error_rate)
-        for texts in batches:
-            yield pd.Series([bool(finder.find(t)) for t in texts], dtype=bool)
+def _clean(shared, text: str, error_rate: float):
+    kept: list[Finder] = []
+
+    def clean(p: pa.RecordBatch) -> list[bool]:
+        if not kept:
+            kept.append(Finder(shared.value, error_rate))
+        return [not kept[0].find(t) for t in p.column(text).to_pylist()]
 
-    return has
+    return clean

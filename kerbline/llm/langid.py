@@ -13,16 +13,15 @@ Ties go to the language that sorts first. Repeated rows are predicted one by one
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import regex
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructType
 
-from kerbline.llm.texts import hash_below
+from kerbline.llm.texts import hash_below, with_columns
 
 SAMPLE_TEXTS = 256  # texts per language that the dictionaries are made from, at most
 PIECE_CHARS = 256  # taken from each of them, at a place given by the text's hash
@@ -30,7 +29,6 @@ DICTIONARY_BYTES = 49_152
 BLOCK = 16_384
 LEVEL = 6
 MIN_MARGIN = 0.01
-RESULT = "lang_pred string, score double, rejected boolean"
 LETTER = regex.compile(r"\p{L}")
 GAP = re.compile(r"[\W\d_]+")
 
@@ -87,18 +85,15 @@ class Compressors:
         return self.names[best], margin, margin < min_margin
 
 
-def identifier(dictionaries: dict[str, bytes], min_margin: float = MIN_MARGIN):
-    """A vectorised function text -> struct(lang_pred, score, rejected); score is the relative margin in bytes."""
+def identify(df: DataFrame, text: str, dictionaries: dict[str, bytes], min_margin: float = MIN_MARGIN, into: str = "language") -> DataFrame:
+    """``df`` with a struct column ``into`` (lang_pred, score, rejected); score is the relative margin in bytes. No shuffle."""
+    kept: list[Compressors] = []
 
-    @pandas_udf(RESULT)
-    def identify(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        compressors = Compressors(dictionaries)
-        for texts in batches:
-            yield pd.DataFrame([compressors.predict(t, min_margin) for t in texts], columns=["lang_pred", "score", "rejected"])
+    def fill(p: pa.RecordBatch) -> dict[str, list]:
+        if not kept:
+            kept.append(Compressors(dictionaries))
+        found = [kept[0].predict(t, min_margin) for t in p.column(text).to_pylist()]
+        return {into: [dict(zip(("lang_pred", "score", "rejected"), x, strict=True)) for x in found]}
 
-    return identify
-
-
-def identify(df: DataFrame, text: Column, dictionaries: dict[str, bytes], min_margin: float = MIN_MARGIN, into: str = "language") -> DataFrame:
-    """``df`` with a struct column ``into``; no shuffle."""
-    return df.withColumn(into, identifier(dictionaries, min_margin)(text))
+    arrow = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
+    return with_columns(df, {into: (arrow, StructType().add("lang_pred", StringType()).add("score", DoubleType()).add("rejected", BooleanType()))}, fill)

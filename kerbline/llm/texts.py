@@ -6,6 +6,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
+
+SLICE_BYTES = 4_000_000  # of rows that Python handles together
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -46,3 +49,34 @@ def pieces(batch: pa.RecordBatch, most: int):
 def hash_below(hashed: Column | str, fraction: Column) -> Column:
     """Whether a 64-bit hash, read as a fraction of its range, is below ``fraction``: draws the same rows on every run."""
     return (F.col(hashed) if isinstance(hashed, str) else hashed) / F.lit(2.0**64) + F.lit(0.5) < fraction
+
+
+def with_columns(df: DataFrame, columns: dict[str, tuple[pa.DataType, DataType]], fill) -> DataFrame:
+    """``df`` with columns that ``fill`` computes from slices of its record batches; no shuffle.
+
+    ``fill``: record batch -> lists of values by column. Rows pass through Arrow as they are; neither side
+    holds more than a batch of them.
+    """
+    schema = StructType([f for f in df.schema.fields if f.name not in columns])
+    for name, (_, kind) in columns.items():
+        schema = schema.add(name, kind)
+    names = schema.names
+
+    def run(batches):
+        for b in batches:
+            for p in pieces(b, SLICE_BYTES):
+                have = {n: p.column(n) for n in p.schema.names} | {n: pa.array(v, columns[n][0]) for n, v in fill(p).items()}
+                yield pa.record_batch([have[n] for n in names], names=names)
+
+    return df.mapInArrow(run, schema)
+
+
+def keep_rows(df: DataFrame, wanted) -> DataFrame:
+    """The rows of ``df`` for which ``wanted`` (record batch -> list of bool) says so; no shuffle."""
+
+    def run(batches):
+        for b in batches:
+            for p in pieces(b, SLICE_BYTES):
+                yield p.filter(pa.array(wanted(p), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

@@ -21,15 +21,15 @@ def test_language_held_out(spark):
 
 def test_language_odd_rows(odd, none, small):
     known = langid.learn(small, "text", "lang")
-    got = langid.identify(odd, F.col("text"), known)
+    got = langid.identify(odd, "text", known)
     assert got.columns == [*odd.columns, "language"]
     for r in got.collect():
         has_letter = any(c.isalpha() for c in r["text"] or "")
         assert (r["language"]["lang_pred"] == "und") == (not has_letter)
         assert has_letter or (r["language"]["rejected"] and r["language"]["score"] == 0)
-    assert langid.identify(none, F.col("text"), known).count() == 0
+    assert langid.identify(none, "text", known).count() == 0
     assert langid.learn(none, "text", "lang") == {}
-    assert {r["language"]["lang_pred"] for r in langid.identify(odd, F.col("text"), {}).collect()} == {"und"}
+    assert {r["language"]["lang_pred"] for r in langid.identify(odd, "text", {}).collect()} == {"und"}
 
 
 def test_narrow_margins_are_rejected():
