@@ -81,8 +81,11 @@ def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rest, np.ascontiguousarray(raw[8 * n : 10 * n].reshape(2, n).T).view("<u2").ravel(), raw[10 * n :]
 
 
-SENT = "part int, ids binary, keys binary, entries binary, hits binary"
-SENT_ARROW = pa.schema([("part", pa.int32()), ("ids", pa.binary()), ("keys", pa.binary()), ("entries", pa.binary()), ("hits", pa.binary())])
+SENT = "part int, batch long, entries binary, ids binary, keys binary"
+SENT_ARROW = pa.schema([("part", pa.int32()), ("batch", pa.int64()), ("entries", pa.binary()), ("ids", pa.binary()), ("keys", pa.binary())])
+BACK = "batch long, kind int, ids binary, keys binary, docs binary, hits binary"
+BACK_ARROW = pa.schema([("batch", pa.int64()), ("kind", pa.int32()), ("ids", pa.binary()), ("keys", pa.binary()), ("docs", pa.binary()), ("hits", pa.binary())])
+SETTLED, NAMES = -1, -2  # parts of blocks that no partition has to look at
 
 
 def partition(h: np.ndarray, parts: int) -> np.ndarray:
@@ -99,7 +102,7 @@ def shortened(h: np.ndarray, parts: int) -> np.ndarray:
 
 
 def send(numbers: np.ndarray, part: np.ndarray, doc: np.ndarray, indexed: np.ndarray, parts: int, need_index: bool) -> Iterator[tuple[int, bytes]]:
-    """(partition, packed entries) for a batch; also (-1, packed entries) with what the batch has settled itself.
+    """(partition, packed entries) for a batch; also (SETTLED, packed entries) with what the batch has settled itself.
 
     ``numbers``: one per window; ``part``: where they go; ``doc``: its document's place in the batch (below 2**16); ``indexed``: whether the window
     is one that others look for. A window matters if its number occurs twice and, with ``need_index``, one
@@ -119,7 +122,7 @@ def send(numbers: np.ndarray, part: np.ndarray, doc: np.ndarray, indexed: np.nda
     first = new | np.r_[True, doc[1:] != doc[:-1]]
     mine = settled[which] & first
     if mine.any():
-        yield -1, pack(numbers[mine], doc[mine], np.full(int(mine.sum()), MANY, np.uint8))
+        yield SETTLED, pack(numbers[mine], doc[mine], np.full(int(mine.sum()), MANY, np.uint8))
     out = first & ~settled[which] | (new & settled[which])
     marks = (settled[which] | many[which]) * MANY + known[which] * INDEXED
     answer = ~settled[which]
@@ -151,49 +154,67 @@ def answers(batch_entries: list[tuple[np.ndarray, np.ndarray, np.ndarray]], need
 
 
 def packed(numbers: np.ndarray, place: np.ndarray, doc: np.ndarray, indexed: np.ndarray, ids: list, keys: list, parts: int, need_index: bool) -> pa.RecordBatch:
-    """What ``send`` gives, as rows; documents are named by their id (0 for null) and row key."""
-    ids, keys = np.array([i if i is not None else 0 for i in ids], "<i8"), np.array(keys, "<i8")
-    out = {"part": [], "ids": [], "keys": [], "entries": [], "hits": []}
-    for part, entries in send(numbers, place, doc, indexed, parts, need_index):
-        out["part"].append(part)
-        out["ids"].append(ids.tobytes())
-        out["keys"].append(keys.tobytes())
-        out["entries"].append(entries if part >= 0 else None)
-        out["hits"].append(None if part >= 0 else entries)
-    return pa.record_batch(out, schema=SENT_ARROW)
+    """What ``send`` gives, as rows, and one row with the names (id, 0 for null, and row key) of the batch's documents.
+
+    A batch is known by a hash of these names, so its blocks need not repeat them.
+    """
+    ids, keys = np.array([i if i is not None else 0 for i in ids], "<i8").tobytes(), np.array(keys, "<i8").tobytes()
+    batch = xxhash.xxh64_intdigest(ids + keys) - 2**63
+    blocks = list(send(numbers, place, doc, indexed, parts, need_index))
+    if blocks:
+        blocks.append((NAMES, None))
+    names = [p == NAMES for p, _ in blocks]
+    return pa.record_batch({
+        "part": [p for p, _ in blocks], "batch": [batch] * len(blocks), "entries": [e for _, e in blocks],
+        "ids": [ids if n else None for n in names], "keys": [keys if n else None for n in names]}, schema=SENT_ARROW)
 
 
 def _answer(batches: Iterator[pa.RecordBatch], need_index: bool) -> Iterator[pa.RecordBatch]:
-    """(id, key, hits) from the packed blocks of a partition: settled ones as they come, the rest when all are known."""
+    """Answers to the packed blocks of a partition: settled ones and names as they come, the rest when all are known."""
     own: dict[int, list] = {}
 
-    def rows(ids: bytes, keys: bytes, doc: np.ndarray, numbers: np.ndarray) -> pa.RecordBatch:
-        ids, keys = np.frombuffer(ids, "<i8"), np.frombuffer(keys, "<i8")
-        order = np.argsort(doc, kind="stable")
-        doc, numbers = doc[order], numbers[order]
-        at = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-        cut = np.split(numbers, at[1:])
-        return pa.record_batch({"id": pa.array(ids[doc[at]]), "key": pa.array(keys[doc[at]]), "hits": pa.array([x.astype("<u8").tobytes() for x in cut], pa.binary())})
+    def row(batch: int, kind: int, ids=None, keys=None, docs=None, hits=None) -> pa.RecordBatch:
+        return pa.record_batch({"batch": [batch], "kind": [kind], "ids": [ids], "keys": [keys], "docs": [docs], "hits": [hits]}, schema=BACK_ARROW)
 
     for b in batches:
-        for part, ids, keys, entries, hits in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if part < 0:
-                rest, doc, _ = unpack(hits)
-                yield rows(ids, keys, doc, rest)
+        for part, batch, entries, ids, keys in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if part == NAMES:
+                yield row(batch, 0, ids, keys)
+            elif part == SETTLED:
+                rest, doc, _ = unpack(entries)
+                yield row(batch, 1, docs=doc.tobytes(), hits=rest.astype("<u8").tobytes())
             else:
-                own.setdefault(part, []).append((ids, keys, unpack(entries)))
+                own.setdefault(part, []).append((batch, unpack(entries)))
     for part in sorted(own):
         blocks = own.pop(part)
-        for i, doc, numbers in answers([e for _, _, e in blocks], need_index):
-            yield rows(blocks[i][0], blocks[i][1], doc, numbers)
+        for i, doc, numbers in answers([e for _, e in blocks], need_index):
+            yield row(blocks[i][0], 1, docs=doc.astype("<u2").tobytes(), hits=numbers.astype("<u8").tobytes())
+
+
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, key, hits) per document from rows sorted by batch, names before answers."""
+    names, at = None, None
+    for b in batches:
+        for batch, kind, ids, keys, docs, hits in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if kind == 0:
+                at, names = batch, (np.frombuffer(ids, "<i8"), np.frombuffer(keys, "<i8"))
+                continue
+            if batch != at:
+                raise RuntimeError("answers without the names of their batch")
+            doc, numbers = np.frombuffer(docs, "<u2"), np.frombuffer(hits, "<u8")
+            order = np.argsort(doc, kind="stable")
+            doc, numbers = doc[order], numbers[order]
+            first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+            cut = np.split(numbers, first[1:])
+            yield pa.record_batch({"id": pa.array(names[0][doc[first]]), "key": pa.array(names[1][doc[first]]), "hits": pa.array([x.tobytes() for x in cut], pa.binary())})
 
 
 def exchanged(sent: DataFrame, parts: int, need_index: bool) -> DataFrame:
-    """(id, key, hits: list of binary) per document with hits. Settled blocks (part -1) go to any partition."""
-    place = F.when(F.col("part") < 0, F.pmod(F.xxhash64("hits"), F.lit(parts)).cast("int")).otherwise(F.col("part"))
+    """(id, key, hits: list of binary) per document with hits."""
+    place = F.when(F.col("part") < 0, F.pmod(F.xxhash64("batch"), F.lit(parts)).cast("int")).otherwise(F.col("part"))
     dealt = sent.repartitionById(parts, place)
-    found = dealt.mapInArrow(lambda it: _answer(it, need_index), "id long, key long, hits binary")
-    return found.groupBy("id", "key").agg(F.collect_list("hits").alias("hits"))
+    back = dealt.mapInArrow(lambda it: _answer(it, need_index), BACK).repartition(parts, "batch").sortWithinPartitions("batch", "kind")
+    return back.mapInArrow(_named, "id long, key long, hits binary").groupBy("id", "key").agg(F.collect_list("hits").alias("hits"))
 
 
 def merged(lists: list | None) -> np.ndarray:

@@ -121,5 +121,5 @@ def test_packed_entries_come_back():
 def test_settled_numbers_send_one_entry():
     numbers = np.array([7] * 500 + [9], np.uint64)
     sent = list(exchange.send(numbers, exchange.partition(numbers, 4), np.arange(501), np.r_[True, np.zeros(500, bool)], 4, True))
-    assert [p for p, _ in sent].count(-1) == 1
+    assert [p for p, _ in sent].count(exchange.SETTLED) == 1
     assert sum(len(exchange.unpack(e)[0]) for p, e in sent if p >= 0) == 2
