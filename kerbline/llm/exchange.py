@@ -2,9 +2,8 @@
 
 Every window of a document has a number (a rolling hash). The numbers of a batch of documents are sorted
 and sent to partitions by their value, as packed blocks of a few bytes a window instead of rows. A
-partition learns which numbers occur at two places at least, and answers each document with the
-numbers that matter to it. Places within a document are not sent: a document finds them again by its
-hashes.
+partition learns which numbers occur at two places at least, and answers each batch with the places that
+matter, as runs. Such an answer is small where passages repeat as a whole.
 
 Numbers that a batch already sees twice are settled there: the batch sends one entry to inform the others and
 needs no answer, so a passage with any number of copies is a few entries per batch.
@@ -67,24 +66,37 @@ def windows(values: np.ndarray, length: int, base: np.uint64 = BASE) -> np.ndarr
     return mixed((sums[length:] - sums[:-length]) * down)
 
 
-def pack(rest: np.ndarray, doc: np.ndarray, marks: np.ndarray) -> bytes:
-    """Sorted 64-bit numbers with 16-bit document places and marks, byte plane by byte plane."""
-    steps = np.diff(rest, prepend=np.uint64(0))
-    planes = [np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T), np.ascontiguousarray(doc.astype("<u2").view(np.uint8).reshape(-1, 2).T), marks.astype(np.uint8)]
+def pack(numbers: np.ndarray, at: np.ndarray, marks: np.ndarray) -> bytes:
+    """Sorted 64-bit numbers with their places in the batch and marks, byte plane by byte plane."""
+    steps = np.diff(numbers, prepend=np.uint64(0))
+    planes = [np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T), np.ascontiguousarray(at.astype("<u4").view(np.uint8).reshape(-1, 4).T), marks.astype(np.uint8)]
     return zstandard.ZstdCompressor(level=1).compress(b"".join(p.tobytes() for p in planes))
 
 
 def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    n = len(raw) // 11
-    rest = np.cumsum(np.ascontiguousarray(raw[: 8 * n].reshape(8, n).T).view("<u8").ravel())
-    return rest, np.ascontiguousarray(raw[8 * n : 10 * n].reshape(2, n).T).view("<u2").ravel(), raw[10 * n :]
+    n = len(raw) // 13
+    numbers = np.cumsum(np.ascontiguousarray(raw[: 8 * n].reshape(8, n).T).view("<u8").ravel())
+    return numbers, np.ascontiguousarray(raw[8 * n : 12 * n].reshape(4, n).T).view("<u4").ravel(), raw[12 * n :]
 
 
-SENT = "part int, batch long, entries binary, ids binary, keys binary"
-SENT_ARROW = pa.schema([("part", pa.int32()), ("batch", pa.int64()), ("entries", pa.binary()), ("ids", pa.binary()), ("keys", pa.binary())])
-BACK = "batch long, kind int, ids binary, keys binary, docs binary, hits binary"
-BACK_ARROW = pa.schema([("batch", pa.int64()), ("kind", pa.int32()), ("ids", pa.binary()), ("keys", pa.binary()), ("docs", pa.binary()), ("hits", pa.binary())])
+def spans_of(at: np.ndarray) -> np.ndarray:
+    """Sorted places as runs: begin and end in turn."""
+    if not len(at):
+        return np.zeros(0, np.int64)
+    cut = np.flatnonzero(np.diff(at) != 1)
+    return np.column_stack((np.r_[at[0], at[cut + 1]], np.r_[at[cut], at[-1]] + 1)).ravel()
+
+
+def places_of(spans: np.ndarray) -> np.ndarray:
+    begin, size = spans[::2], spans[1::2] - spans[::2]
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+SENT = "part int, batch long, entries binary, ids binary, keys binary, starts binary"
+SENT_ARROW = pa.schema([("part", pa.int32()), ("batch", pa.int64()), ("entries", pa.binary()), ("ids", pa.binary()), ("keys", pa.binary()), ("starts", pa.binary())])
+BACK = "batch long, kind int, ids binary, keys binary, starts binary, spans binary"
+BACK_ARROW = pa.schema([("batch", pa.int64()), ("kind", pa.int32()), ("ids", pa.binary()), ("keys", pa.binary()), ("starts", pa.binary()), ("spans", pa.binary())])
 SETTLED, NAMES = -1, -2  # parts of blocks that no partition has to look at
 
 
@@ -101,112 +113,110 @@ def shortened(h: np.ndarray, parts: int) -> np.ndarray:
     return partition(h, parts) << np.uint64(32) | h & np.uint64(2**32 - 1)
 
 
-def send(numbers: np.ndarray, part: np.ndarray, doc: np.ndarray, indexed: np.ndarray, parts: int, need_index: bool) -> Iterator[tuple[int, bytes]]:
-    """(partition, packed entries) for a batch; also (SETTLED, packed entries) with what the batch has settled itself.
+def send(numbers: np.ndarray, part: np.ndarray, at: np.ndarray, indexed: np.ndarray, parts: int, need_index: bool) -> Iterator[tuple[int, bytes]]:
+    """(partition, packed entries) for a batch; also (SETTLED, spans of places) with what the batch has settled itself.
 
-    ``numbers``: one per window; ``part``: where they go; ``doc``: its document's place in the batch (below 2**16); ``indexed``: whether the window
+    ``numbers``: one per window; ``part``: where they go; ``at``: their places in the batch; ``indexed``: whether the window
     is one that others look for. A window matters if its number occurs twice and, with ``need_index``, one
     of these places is indexed.
     """
-    order = np.argsort(numbers, kind="stable")  # documents come in order and stay so
-    numbers, part, doc, indexed = numbers[order], part[order].astype(np.int64), doc[order], indexed[order]
+    order = np.argsort(numbers, kind="stable")
+    numbers, part, at, indexed = numbers[order], part[order].astype(np.int64), at[order], indexed[order]
     if not len(numbers):
         return
     new = np.r_[True, numbers[1:] != numbers[:-1]]
-    at = np.flatnonzero(new)
+    first = np.flatnonzero(new)
     which = np.cumsum(new) - 1
-    many = np.diff(np.r_[at, len(numbers)]) > 1
-    known = np.logical_or.reduceat(indexed, at)
+    many = np.diff(np.r_[first, len(numbers)]) > 1
+    known = np.logical_or.reduceat(indexed, first)
     settled = many & (known if need_index else True)
-    # one entry per number and document
-    first = new | np.r_[True, doc[1:] != doc[:-1]]
-    mine = settled[which] & first
+    mine = settled[which]
     if mine.any():
-        yield SETTLED, pack(numbers[mine], doc[mine], np.full(int(mine.sum()), MANY, np.uint8))
-    out = first & ~settled[which] | (new & settled[which])
-    marks = (settled[which] | many[which]) * MANY + known[which] * INDEXED
-    answer = ~settled[which]
-    numbers, part, doc, marks = numbers[out], part[out], doc[out], (marks | answer * ANSWER)[out].astype(np.uint8)
+        yield SETTLED, spans_of(np.sort(at[mine])).astype("<i4").tobytes()
+    out = ~mine | (new & mine)
+    marks = (many[which] * MANY + known[which] * INDEXED + ~mine * ANSWER)[out].astype(np.uint8)
+    numbers, part, at = numbers[out], part[out], at[out]
     order = np.argsort(part, kind="stable")
     cuts = np.searchsorted(part[order], np.arange(parts + 1))
     for p in np.flatnonzero(np.diff(cuts)):
         mine = order[cuts[p] : cuts[p + 1]]
-        yield int(p), pack(numbers[mine], doc[mine], marks[mine])
+        yield int(p), pack(numbers[mine], at[mine], marks[mine])
 
 
-def answers(batch_entries: list[tuple[np.ndarray, np.ndarray, np.ndarray]], need_index: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each packed block of a partition: (its place, the documents to answer, the numbers that matter to them)."""
-    everything = np.concatenate([e[0] for e in batch_entries])
-    marks = np.concatenate([e[2] for e in batch_entries])
+def answers(blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]], need_index: bool) -> Iterator[tuple[int, np.ndarray]]:
+    """For each unpacked block of a partition: its number and the places, in order, of its windows that matter."""
+    everything = np.concatenate([e[0] for e in blocks])
+    marks = np.concatenate([e[2] for e in blocks])
     order = np.argsort(everything, kind="stable")
     numbers = everything[order]
-    at = np.flatnonzero(np.r_[True, numbers[1:] != numbers[:-1]])
-    many = (np.diff(np.r_[at, len(numbers)]) > 1) | (np.bitwise_or.reduceat(marks[order], at) & MANY > 0)
+    first = np.flatnonzero(np.r_[True, numbers[1:] != numbers[:-1]])
+    seen = np.bitwise_or.reduceat(marks[order], first)
+    many = (np.diff(np.r_[first, len(numbers)]) > 1) | (seen & MANY > 0)
     if need_index:
-        many &= np.bitwise_or.reduceat(marks[order], at) & INDEXED > 0
-    matters = numbers[at[many]]
+        many &= seen & INDEXED > 0
+    matters = numbers[first[many]]
     del everything, marks, order, numbers
-    for i, (rest, doc, own) in enumerate(batch_entries):
-        place = np.searchsorted(matters, rest)
-        hit = (own & ANSWER > 0) & (matters[np.minimum(place, max(len(matters) - 1, 0))] == rest) if len(matters) else np.zeros(len(rest), bool)
+    for i, (own, at, mark) in enumerate(blocks):
+        hit = member(own, matters) & (mark & ANSWER > 0)
         if hit.any():
-            yield i, doc[hit], rest[hit]
+            yield i, np.sort(at[hit])
 
 
-def packed(numbers: np.ndarray, place: np.ndarray, doc: np.ndarray, indexed: np.ndarray, ids: list, keys: list, parts: int, need_index: bool) -> pa.RecordBatch:
-    """What ``send`` gives, as rows, and one row with the names (id, 0 for null, and row key) of the batch's documents.
+def packed(numbers: np.ndarray, place: np.ndarray, at: np.ndarray, indexed: np.ndarray, starts: np.ndarray, ids: list, keys: list, parts: int, need_index: bool) -> pa.RecordBatch:
+    """What ``send`` gives, as rows, and one row with the documents of the batch: id (0 for null), row key, first place.
 
     A batch is known by a hash of these names, so its blocks need not repeat them.
     """
     ids, keys = np.array([i if i is not None else 0 for i in ids], "<i8").tobytes(), np.array(keys, "<i8").tobytes()
     batch = xxhash.xxh64_intdigest(ids + keys) - 2**63
-    blocks = list(send(numbers, place, doc, indexed, parts, need_index))
+    blocks = list(send(numbers, place, at, indexed, parts, need_index))
     if blocks:
         blocks.append((NAMES, None))
     names = [p == NAMES for p, _ in blocks]
+    starts = starts.astype("<i8").tobytes()
     return pa.record_batch({
         "part": [p for p, _ in blocks], "batch": [batch] * len(blocks), "entries": [e for _, e in blocks],
-        "ids": [ids if n else None for n in names], "keys": [keys if n else None for n in names]}, schema=SENT_ARROW)
+        "ids": [ids if n else None for n in names], "keys": [keys if n else None for n in names], "starts": [starts if n else None for n in names]}, schema=SENT_ARROW)
 
 
 def _answer(batches: Iterator[pa.RecordBatch], need_index: bool) -> Iterator[pa.RecordBatch]:
     """Answers to the packed blocks of a partition: settled ones and names as they come, the rest when all are known."""
     own: dict[int, list] = {}
 
-    def row(batch: int, kind: int, ids=None, keys=None, docs=None, hits=None) -> pa.RecordBatch:
-        return pa.record_batch({"batch": [batch], "kind": [kind], "ids": [ids], "keys": [keys], "docs": [docs], "hits": [hits]}, schema=BACK_ARROW)
+    def row(batch: int, kind: int, ids=None, keys=None, starts=None, spans=None) -> pa.RecordBatch:
+        return pa.record_batch({"batch": [batch], "kind": [kind], "ids": [ids], "keys": [keys], "starts": [starts], "spans": [spans]}, schema=BACK_ARROW)
 
     for b in batches:
-        for part, batch, entries, ids, keys in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for part, batch, entries, ids, keys, starts in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if part == NAMES:
-                yield row(batch, 0, ids, keys)
+                yield row(batch, 0, ids, keys, starts)
             elif part == SETTLED:
-                rest, doc, _ = unpack(entries)
-                yield row(batch, 1, docs=doc.tobytes(), hits=rest.astype("<u8").tobytes())
+                yield row(batch, 1, spans=entries)
             else:
                 own.setdefault(part, []).append((batch, unpack(entries)))
     for part in sorted(own):
         blocks = own.pop(part)
-        for i, doc, numbers in answers([e for _, e in blocks], need_index):
-            yield row(blocks[i][0], 1, docs=doc.astype("<u2").tobytes(), hits=numbers.astype("<u8").tobytes())
+        for i, at in answers([e for _, e in blocks], need_index):
+            yield row(blocks[i][0], 1, spans=spans_of(at.astype(np.int64)).astype("<i4").tobytes())
 
 
 def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, key, hits) per document from rows sorted by batch, names before answers."""
-    names, at = None, None
+    """(id, key, hits) per document from rows sorted by batch, names before answers; hits: spans of places in the document."""
+    names, known = None, None
     for b in batches:
-        for batch, kind, ids, keys, docs, hits in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for batch, kind, ids, keys, starts, spans in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if kind == 0:
-                at, names = batch, (np.frombuffer(ids, "<i8"), np.frombuffer(keys, "<i8"))
+                known, names = batch, (np.frombuffer(ids, "<i8"), np.frombuffer(keys, "<i8"), np.frombuffer(starts, "<i8"))
                 continue
-            if batch != at:
+            if batch != known:
                 raise RuntimeError("answers without the names of their batch")
-            doc, numbers = np.frombuffer(docs, "<u2"), np.frombuffer(hits, "<u8")
-            order = np.argsort(doc, kind="stable")
-            doc, numbers = doc[order], numbers[order]
+            at = places_of(np.frombuffer(spans, "<i4").astype(np.int64))
+            doc = np.searchsorted(names[2], at, side="right") - 1
             first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-            cut = np.split(numbers, first[1:])
-            yield pa.record_batch({"id": pa.array(names[0][doc[first]]), "key": pa.array(names[1][doc[first]]), "hits": pa.array([x.tobytes() for x in cut], pa.binary())})
+            cut = np.split(at - names[2][doc], first[1:])
+            doc = doc[first]
+            yield pa.record_batch({
+                "id": pa.array(names[0][doc]), "key": pa.array(names[1][doc]), "hits": pa.array([spans_of(x).astype("<i4").tobytes() for x in cut], pa.binary())})
 
 
 def exchanged(sent: DataFrame, parts: int, need_index: bool) -> DataFrame:
@@ -218,7 +228,8 @@ def exchanged(sent: DataFrame, parts: int, need_index: bool) -> DataFrame:
 
 
 def merged(lists: list | None) -> np.ndarray:
-    return np.unique(np.frombuffer(b"".join(lists or []), "<u8")) if lists else np.zeros(0, np.uint64)
+    """The places in a document's hits, each once, in order."""
+    return np.unique(places_of(np.frombuffer(b"".join(lists or []), "<i4").astype(np.int64)))
 
 
 def member(values: np.ndarray, known: np.ndarray) -> np.ndarray:

@@ -159,7 +159,7 @@ def _cut_segments(open_: DataFrame, window: int, texts: bool) -> DataFrame:
                 wanted = np.zeros(len(start), bool)
                 for d, lists in enumerate(hits):
                     if lists and edge[d] < edge[d + 1]:
-                        wanted[edge[d] : edge[d + 1]] = X.member(bucket[edge[d] : edge[d + 1]], X.merged(lists))
+                        wanted[edge[d] + X.merged(lists)] = True  # segments are numbered within a text
                 raw, rows = data.tobytes(), {}
                 for at in np.flatnonzero(wanted).tolist():
                     s = int(start[at])
@@ -229,7 +229,10 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
         for b in batches:
             for p in pieces(b, PIECE_BYTES):
                 _, _, bucket, doc = segments(*blob(p.column("text")), window)
-                yield X.packed(bucket, X.partition(bucket, parts), doc, np.zeros(len(bucket), bool), p.column("id").to_pylist(), p.column("key").to_pylist(), parts, False)
+                edge = np.searchsorted(doc, np.arange(p.num_rows + 1))
+                yield X.packed(
+                    bucket, X.partition(bucket, parts), np.arange(len(bucket)), np.zeros(len(bucket), bool), edge, p.column("id").to_pylist(), p.column("key").to_pylist(),
+                    parts, False)
 
     state = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("n_bytes", pa.int64()), ("sha", pa.string()), ("text", pa.binary()), ("hits", pa.list_(pa.binary()))])
 

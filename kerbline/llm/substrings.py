@@ -7,8 +7,8 @@ probes travel as packed hashes (``exchange``). Where a probe hits, the window ar
 all windows that contain the hit, and their full contents are compared by 64-bit hashes the same way, so
 only windows that are repeated as a whole count, and their union is the maximal repeats.
 
-Hits are kept per document as hash values, at most one per word. Nothing is paired up: a passage with a
-million copies is compared as one number with a million places, most of which settle in their own batch.
+Hits are kept per document as runs of places. Nothing is paired up: a passage with a million copies is
+compared as one number with a million places, most of which settle in their own batch.
 
 Words are runs of anything but ASCII white space, taken as they are. Null texts have no words. Rows are told
 apart by id and text; repeated rows are documents of their own, whose windows repeat each other.
@@ -67,7 +67,7 @@ def repeated_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 batch = Batch(p.column("text").to_pylist(), hashes)
                 numbers, at = batch.windows(block)
                 indexed = (at - batch.starts[batch.doc[at]]) % block == 0
-                yield X.packed(X.shortened(numbers, parts), X.partition(numbers, parts), batch.doc[at], indexed, p.column("id").to_pylist(), p.column("key").to_pylist(), parts, True)
+                yield X.packed(X.shortened(numbers, parts), X.partition(numbers, parts), at, indexed, batch.starts, p.column("id").to_pylist(), p.column("key").to_pylist(), parts, True)
 
     def candidates(batch: Batch, hits: list) -> np.ndarray:
         """Starts of the windows that hold a hit of their document."""
@@ -75,11 +75,9 @@ def repeated_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
         for i, lists in enumerate(hits):
             a, n = int(batch.starts[i]), int(batch.sizes[i])
             if lists and n >= window:
-                hit = np.flatnonzero(X.member(X.shortened(X.windows(batch.values[a : a + n], block), parts), X.merged(lists)))
-                if len(hit):
-                    near = X.covered(np.maximum(hit - (window - block), 0), window - block + 1, n)
-                    near[n - window + 1 :] = False
-                    starts.append(a + np.flatnonzero(near))
+                near = X.covered(np.maximum(X.merged(lists) - (window - block), 0), window - block + 1, n)
+                near[n - window + 1 :] = False
+                starts.append(a + np.flatnonzero(near))
         return np.concatenate(starts or [np.zeros(0, np.int64)])
 
     def summary(i, key, words: list[bytes], hits, text: bytes | None) -> dict:
@@ -105,7 +103,7 @@ def repeated_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 batch = Batch(p.column("text").to_pylist(), hashes)
                 at = candidates(batch, p.column("hits").to_pylist())
                 numbers = whole(batch.values, at)
-                yield X.packed(numbers, X.partition(numbers, parts), batch.doc[at], np.zeros(len(at), bool), p.column("id").to_pylist(), p.column("key").to_pylist(), parts, False)
+                yield X.packed(numbers, X.partition(numbers, parts), at, np.zeros(len(at), bool), batch.starts, p.column("id").to_pylist(), p.column("key").to_pylist(), parts, False)
 
     def whole(values: np.ndarray, at: np.ndarray) -> np.ndarray:
         return X.windows(values, window)[at] if len(at) else np.zeros(0, np.uint64)
@@ -113,7 +111,6 @@ def repeated_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     done = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("kept_sha256", pa.string()), ("spans", pa.binary())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = X.WordHash()
         for b in batches:
             for p in pieces(b, PIECE_BYTES):
                 out = []
@@ -121,8 +118,7 @@ def repeated_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     gone = np.zeros(n, bool)
                     if hits:
                         words = t.split()
-                        starts = np.flatnonzero(X.member(X.windows(hashes.of(words), window), X.merged(hits)))
-                        gone = X.covered(starts, window, n)
+                        gone = X.covered(X.merged(hits), window, n)
                     if gone.any():
                         kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])
                         edges = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8))).astype("<i4")

@@ -113,13 +113,18 @@ def test_odd_rows(odd, odd_rows, none):
 def test_packed_entries_come_back():
     rng = np.random.default_rng(2)
     numbers = np.sort(rng.integers(0, 2**64, 1000, dtype=np.uint64))
-    doc, marks = rng.integers(0, 2**16, 1000), rng.integers(0, 8, 1000).astype(np.uint8)
-    back = exchange.unpack(exchange.pack(numbers, doc, marks))
-    assert all((a == b).all() for a, b in zip(back, (numbers, doc, marks), strict=True))
+    at, marks = rng.integers(0, 2**32, 1000), rng.integers(0, 8, 1000).astype(np.uint8)
+    back = exchange.unpack(exchange.pack(numbers, at, marks))
+    assert all((a == b).all() for a, b in zip(back, (numbers, at, marks), strict=True))
+
+
+def test_places_and_spans():
+    for at in ([], [3], [0, 1, 2], [1, 2, 5, 9, 10]):
+        assert exchange.places_of(exchange.spans_of(np.array(at, np.int64))).tolist() == at
 
 
 def test_settled_numbers_send_one_entry():
     numbers = np.array([7] * 500 + [9], np.uint64)
     sent = list(exchange.send(numbers, exchange.partition(numbers, 4), np.arange(501), np.r_[True, np.zeros(500, bool)], 4, True))
-    assert [p for p, _ in sent].count(exchange.SETTLED) == 1
+    assert [e for p, e in sent if p == exchange.SETTLED] == [np.array([0, 500], "<i4").tobytes()]
     assert sum(len(exchange.unpack(e)[0]) for p, e in sent if p >= 0) == 2
