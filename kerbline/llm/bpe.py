@@ -113,7 +113,9 @@ class Automaton:
         self.arc_of = [0] * size  # the arc beside which it was added
         self.copy_of = [0] * size  # the state its target was copied from
         self.removed: dict[int, int] = {}  # state and arc -> number of the gadget that removed it
-        live = {vocab[c] for c in letters if c in vocab}
+        if missing := [b for c, b in letters.items() if c not in vocab]:
+            raise ValueError(f"bytes without a token: {missing}")
+        live = {vocab[c] for c in letters}
         for rank, merge in enumerate(spec["model"]["merges"]):
             left, right = merge if isinstance(merge, list) else merge.split(" ")
             u, v, w = vocab[left], vocab[right], vocab[left + right]
