@@ -201,22 +201,30 @@ def _answer(batches: Iterator[pa.RecordBatch], need_index: bool) -> Iterator[pa.
 
 
 def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, key, hits) per document from rows sorted by batch, names before answers; hits: spans of places in the document."""
-    names, known = None, None
+    """(id, key, hits), one row per document, from rows sorted by batch, names before answers; hits: spans of places."""
+    names, known, spans = None, None, []
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        if not spans:
+            return
+        at = np.unique(np.concatenate([places_of(np.frombuffer(x, "<i4").astype(np.int64)) for x in spans]))
+        doc = np.searchsorted(names[2], at, side="right") - 1
+        first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+        cut = np.split(at - names[2][doc], first[1:])
+        doc = doc[first]
+        yield pa.record_batch({
+            "id": pa.array(names[0][doc]), "key": pa.array(names[1][doc]), "hits": pa.array([spans_of(x).astype("<i4").tobytes() for x in cut], pa.binary())})
+
     for b in batches:
-        for batch, kind, ids, keys, starts, spans in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for batch, kind, ids, keys, starts, answer in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if kind == 0:
-                known, names = batch, (np.frombuffer(ids, "<i8"), np.frombuffer(keys, "<i8"), np.frombuffer(starts, "<i8"))
-                continue
-            if batch != known:
+                yield from rows()
+                known, names, spans = batch, (np.frombuffer(ids, "<i8"), np.frombuffer(keys, "<i8"), np.frombuffer(starts, "<i8")), []
+            elif batch == known:
+                spans.append(answer)
+            else:
                 raise RuntimeError("answers without the names of their batch")
-            at = places_of(np.frombuffer(spans, "<i4").astype(np.int64))
-            doc = np.searchsorted(names[2], at, side="right") - 1
-            first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-            cut = np.split(at - names[2][doc], first[1:])
-            doc = doc[first]
-            yield pa.record_batch({
-                "id": pa.array(names[0][doc]), "key": pa.array(names[1][doc]), "hits": pa.array([spans_of(x).astype("<i4").tobytes() for x in cut], pa.binary())})
+    yield from rows()
 
 
 def exchanged(sent: DataFrame, parts: int, need_index: bool) -> DataFrame:
