@@ -25,16 +25,14 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType
 
 from kerbline.llm.components import components
-from kerbline.llm.texts import row_key
+from kerbline.llm.texts import row_key, with_columns
 from kerbline.session import materialise
 
 WORDS = 4
@@ -64,10 +62,13 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-@pandas_udf(LongType())
-def fingerprint_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for texts in batches:
-        yield pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
+def with_fingerprint(df: DataFrame, text: str, into: str = "fp") -> DataFrame:
+    """``df`` with the fingerprint of ``text`` as a signed number; no shuffle."""
+
+    def fill(p: pa.RecordBatch) -> dict[str, list]:
+        return {into: [signed(fingerprint(t)) for t in p.column(text).to_pylist()]}
+
+    return with_columns(df, {into: (pa.int64(), LongType())}, fill)
 
 
 def choice(n: int, radius: int) -> tuple[int, int]:
@@ -229,7 +230,8 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", r
 
     ``root`` names the group by a fingerprint, ``component`` by the smallest id reachable (null if all are null).
     """
-    rows = materialise(df.select(F.col(doc_id).alias("id"), fingerprint_of(F.col(text)).alias("fp"), *(more or [])), "prints")
+    rows = df.select(F.col(doc_id).alias("id"), *(more or []), F.col(text).alias("_text"))
+    rows = materialise(with_fingerprint(rows, "_text").drop("_text"), "prints")
     vertices = materialise(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "vertices")
     roots = components(near_edges(vertices.select("fp"), radius)).withColumnRenamed("v", "fp")
     placed = vertices.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
