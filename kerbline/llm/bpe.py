@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import BinaryType, StringType
 
-from kerbline.llm.texts import with_columns
+from kerbline.llm.texts import hold, with_columns
 
 # Fixed value: the word pattern of the published byte-level tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -326,6 +326,7 @@ def _automaton(source) -> Automaton:
     if source.id not in _COMPILED:
         _COMPILED.clear()
         _COMPILED[source.id] = Automaton(source.value)
+        hold(__name__, _COMPILED.clear)
     return _COMPILED[source.id]
 
 

@@ -51,6 +51,19 @@ def hash_below(hashed: Column | str, fraction: Column) -> Column:
     return (F.col(hashed) if isinstance(hashed, str) else hashed) / F.lit(2.0**64) + F.lit(0.5) < fraction
 
 
+_HELD: dict = {}  # in a Python worker: what an operator keeps for its next task, and how to drop it
+
+
+def hold(owner: str, forget) -> None:
+    _HELD[owner] = forget
+
+
+def release_others(owner: str) -> None:
+    """Drop what other operators keep in this Python worker, which lives on through the stages of a job."""
+    for name in [n for n in _HELD if n != owner]:
+        _HELD.pop(name)()
+
+
 def with_columns(df: DataFrame, columns: dict[str, tuple[pa.DataType, DataType]], fill) -> DataFrame:
     """``df`` with columns that ``fill`` computes from slices of its record batches; no shuffle.
 
@@ -60,9 +73,10 @@ def with_columns(df: DataFrame, columns: dict[str, tuple[pa.DataType, DataType]]
     schema = StructType([f for f in df.schema.fields if f.name not in columns])
     for name, (_, kind) in columns.items():
         schema = schema.add(name, kind)
-    names = schema.names
+    names, owner = schema.names, fill.__module__
 
     def run(batches):
+        release_others(owner)
         for b in batches:
             for p in pieces(b, SLICE_BYTES):
                 have = {n: p.column(n) for n in p.schema.names} | {n: pa.array(v, columns[n][0]) for n, v in fill(p).items()}
@@ -74,7 +88,10 @@ def with_columns(df: DataFrame, columns: dict[str, tuple[pa.DataType, DataType]]
 def keep_rows(df: DataFrame, wanted) -> DataFrame:
     """The rows of ``df`` for which ``wanted`` (record batch -> list of bool) says so; no shuffle."""
 
+    owner = wanted.__module__
+
     def run(batches):
+        release_others(owner)
         for b in batches:
             for p in pieces(b, SLICE_BYTES):
                 yield p.filter(pa.array(wanted(p), pa.bool_()))
