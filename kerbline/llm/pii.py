@@ -4,12 +4,14 @@ Base spans. E-mail addresses, IP addresses, card numbers and phone numbers are f
 
 Information-theoretic sanitisation. Every distinct value of a base span is a protected entity e. Over all
 documents N, with df counting documents, the information of an entity is IC(e) = -log2(df(e) / N), and a
-term t beside it discloses PMI(e; t) = log2(N * df(e, t) / (df(e) * df(t))) of it: all of IC(e) where the term
-occurs only with the entity, nothing where the two are independent. In documents that hold the entity, a term
-is generalised from ``GENERALISE`` * IC(e) on and removed from ``REMOVE`` * IC(e) on. A pair must be seen in
-``MIN_JOINT`` documents: fewer say nothing about the corpus. Texts without an entity are left alone.
-
-The counts cover all documents. df(t) is needed only for terms that pass MIN_JOINT beside some entity; a bit
+term t beside it discloses PMI(e; t) = log2(N * df(e, t) / (df(e) * (df(t) + ``PRIOR``))) of it: nearly all of IC(e)
+where the term occurs only with the entity, nothing where the two are independent. In documents that hold the
+entity, a term is generalised from ``GENERALISE`` * IC(e) on and removed from ``REMOVE`` * IC(e) on. Entities of a
+single document count like all others: most personal data is unique. The added ``PRIOR`` keeps a term from passing
+for telling only because the corpus is small; for df(e) = 1 the share of IC is log(N / (df(t) + PRIOR)) / log(N), which
+grows with the corpus. Texts without an entity are left alone.
+
+The counts cover all documents. df(t) is needed only for terms beside some entity; a bit
 table of fixed size (broadcast) lets the counting pass skip nearly all other words, and what it lets
 through by chance is dropped by an exact join.
 
@@ -35,7 +37,8 @@ from pyspark.sql.types import StringType
 from kerbline.llm.texts import row_key
 from kerbline.session import materialise
 
-MIN_JOINT = 3
+MIN_JOINT = 1  # documents that a pair must be seen in; more would leave out what is unique
+PRIOR = 5  # documents added to those that a term is seen in
 GENERALISE = 0.8
 REMOVE = 0.95
 BITS = 22  # the bit table has 2**BITS bits
@@ -209,8 +212,8 @@ def count_terms(df: DataFrame, text: str, table: bytes) -> DataFrame:
     return df.select(F.col(text).alias("t")).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("df_t"))
 
 
-def disclosures(df: DataFrame, text: str, found: DataFrame, min_joint: int = MIN_JOINT) -> tuple[DataFrame, DataFrame]:
-    """(id, key, entity, term) for the terms of rows with a repeated entity; (entity, term, share) of what pairs disclose, share of IC."""
+def disclosures(df: DataFrame, text: str, found: DataFrame, min_joint: int = MIN_JOINT, prior: int = PRIOR) -> tuple[DataFrame, DataFrame]:
+    """(id, key, entity, term) for the terms of rows with an entity; (entity, term, share) of what pairs disclose, share of IC."""
     held = found.filter(F.size("entities") > 0).select("id", "key", F.explode("entities").alias("entity"), F.array_distinct(F.col("terms.term")).alias("terms"))
     often = held.groupBy("entity").agg(F.count("*").alias("df_e")).filter(F.col("df_e") >= min_joint)
     beside = held.join(often.select("entity"), "entity", "left_semi").select("id", "key", "entity", F.explode("terms").alias("term"))
@@ -218,7 +221,7 @@ def disclosures(df: DataFrame, text: str, found: DataFrame, min_joint: int = MIN
     counted = count_terms(df, text, bit_table(joint.select("term")))
     n = found.count()
     ic = -F.log2(F.col("df_e") / F.lit(float(max(n, 1))))
-    pmi = F.log2(F.col("joint") * F.lit(float(n)) / (F.col("df_e") * F.col("df_t")))
+    pmi = F.log2(F.col("joint") * F.lit(float(n)) / (F.col("df_e") * (F.col("df_t") + prior)))
     share = joint.join(counted, "term").join(often, "entity").filter(ic > 0).select("entity", "term", (pmi / ic).alias("share"))
     return beside, share
 
@@ -237,10 +240,10 @@ def _joined(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterat
         yield pd.Series(out, dtype=object)
 
 
-def private_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_joint: int = MIN_JOINT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def private_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_joint: int = MIN_JOINT, generalise: float = GENERALISE, remove: float = REMOVE, prior: int = PRIOR) -> DataFrame:
     """(id, key, base, spans) per row: base spans as an array, and all spans as text."""
     found = materialise(find_base(df, doc_id, text), "found")
-    beside, share = disclosures(df, text, found, min_joint)
+    beside, share = disclosures(df, text, found, min_joint, prior)
     telling = share.filter(F.col("share") >= generalise).select("entity", "term", (F.col("share") >= remove).alias("remove"))
     flagged = beside.join(telling, ["entity", "term"]).groupBy("id", "key", "term").agg(F.max("remove").alias("remove"))
     flagged = flagged.groupBy("id", "key").agg(F.collect_list(F.struct("term", "remove")).alias("flags")).select(F.col("id").alias("f_id"), F.col("key").alias("f_key"), "flags")

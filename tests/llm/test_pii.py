@@ -1,6 +1,7 @@
 """Base spans against the plain patterns, and the disclosure rule on planted data."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -85,3 +86,19 @@ def test_odd_rows(odd, odd_rows, none):
     assert clean.columns == [*odd.columns, "sanitised"]
     assert sorted(r["sanitised"] for r in clean.collect()) == sorted(r[1] or "" for r in odd_rows)
     assert pii.private_spans(none).count() == 0 and pii.sanitise(none).count() == 0
+
+
+def test_entities_of_one_document_are_worked_on(spark):
+    """All words beside an entity that only one document holds, against the formula on plain counts."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{rng.choice('abcdefghij')}{rng.choice('abcdefghij')}x" for _ in range(6))) for i in range(3000)]
+    rows = [(i, re.sub(r"w(..)x", r"\1\1", t)) for i, t in rows]
+    rows += [(5000, "aaaa met zanzibar at solo@example.org"), (5001, "zanzibar aaaa quiet"), (5002, "quiet zanzibar")]
+    got = {r["id"]: r["spans"] for r in pii.private_spans(spark.createDataFrame(rows, "doc_id long, text string"), generalise=0.7, remove=0.77).collect()}
+    n, want = len(rows), []
+    for m in re.finditer("[a-z]{3,}", rows[3000][1].split(" solo@")[0]):
+        df = sum(m.group() in t.split() for _, t in rows)
+        share = math.log(n / (df + pii.PRIOR)) / math.log(n)
+        want += [f"{'removed' if share >= 0.77 else 'general'}:{m.start()}:{m.end()}"] if share >= 0.7 else []
+    assert [x for x in got[5000].split(",") if x.split(":")[0] in pii.KINDS[pii.BASE :]] == want
+    assert want == ["removed:5:8", "general:9:17"]  # one document, three documents
