@@ -1,7 +1,8 @@
 """Lines that are spread over many sites, and documents without them.
 
 A line counts as boilerplate when it occurs on at least ``min_sites`` distinct sites. Lines are named by
-two 64-bit hashes. A line on one site only cannot qualify and is set aside by comparing the smallest and
+two 64-bit hashes, the second with a seed of its own (the salt goes first: hashed last it would only hash the
+first hash again). A line on one site only cannot qualify and is set aside by comparing the smallest and
 the largest site hash. For the rest a HyperLogLog sketch of the sites is built per line; sketches merge in
 the aggregation, so a line with any number of occurrences travels as one sketch per partition. Estimates
 clearly above or below the threshold decide; lines within ``BAND`` standard errors of it get an exact
@@ -38,7 +39,7 @@ def lines_of(df: DataFrame, doc_id: str, text: str, site: str) -> DataFrame:
         F.col(doc_id).alias("id"), row_key(F.col(doc_id), F.col(text)).alias("key"),
         F.when(F.col(site).isNull(), F.xxhash64(F.lit("no site"), F.lit(1))).otherwise(F.xxhash64(F.col(site))).alias("site"), F.posexplode(split).alias("pos", "line"))
     trimmed = F.btrim("line", F.lit(" \t\r"))
-    return rows.filter(trimmed != "").select("id", "key", "pos", F.xxhash64(trimmed).alias("h1"), F.xxhash64(trimmed, F.lit(1)).alias("h2"), "site")
+    return rows.filter(trimmed != "").select("id", "key", "pos", F.xxhash64(trimmed).alias("h1"), F.xxhash64(F.lit(1), trimmed).alias("h2"), "site")
 
 
 def spread_lines(lines: DataFrame, min_sites: int) -> tuple[DataFrame, DataFrame]:

@@ -1,5 +1,9 @@
 """Boilerplate lines against exact counts."""
 
+import struct
+
+import xxhash
+
 from kerbline.llm import boilerplate
 
 
@@ -32,3 +36,10 @@ def test_odd_rows(odd, odd_rows, none):
     for least in (1, 2, 3):
         assert got(odd, least) == plain([(r[0], r[1], r[3]) for r in odd_rows], least)
     assert boilerplate.remove_boilerplate(none).count() == 0
+
+
+def test_second_hash_is_no_function_of_the_first(spark):
+    df = spark.createDataFrame([(i, f"line {i}\nshared", "s") for i in range(50)], "doc_id long, text string, source string")
+    for r in boilerplate.lines_of(df, "doc_id", "text", "source").collect():
+        chained = xxhash.xxh64_intdigest(struct.pack("<i", 1), r["h1"] % 2**64)
+        assert r["h2"] % 2**64 not in (chained, r["h1"] % 2**64)
