@@ -9,8 +9,9 @@ close to each other are verified together, so repeats of a piece cost time in pr
 Letters are compared in lower case and all white space alike; positions are code points of the text.
 Items are sent to the executors in blocks of a fixed size, each block scanning all documents.
 
-Null or empty texts have no passages. Items that are null or shorter than ``MIN_CHARS`` are not looked for:
-they would be found everywhere. Repeated rows on either side give a result each.
+Null or empty texts have no passages. Items shorter than ``MIN_CHARS`` are looked for with ``short``, and then only
+where no letter or digit continues them, as they would be found inside other words everywhere; blank ones
+never are. Repeated rows on either side give a result each.
 """
 
 from __future__ import annotations
@@ -68,6 +69,82 @@ def closest(pattern: dict[str, int], m: int, text: str, start: int, end: int) ->
     return best, at
 
 
+def ends(pattern: dict[str, int], m: int, k: int, text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """(distance, end) wherever a substring of ``text[start:end]`` ends within ``k`` edits of a pattern; as ``closest``."""
+    full, top = (1 << m) - 1, 1 << (m - 1)
+    plus, minus, distance = full, 0, m
+    get = pattern.get
+    for i in range(start, end):
+        eq = get(text[i], 0)
+        xv = eq | minus
+        xh = (((eq & plus) + plus) ^ plus) | eq
+        up = minus | ~(xh | plus) & full
+        down = plus & xh
+        if up & top:
+            distance += 1
+        elif down & top:
+            distance -= 1
+        up = up << 1 & full
+        down = down << 1 & full
+        plus = down | ~(xv | up) & full
+        minus = up & xv
+        if distance <= k:
+            yield distance, i + 1
+
+
+def _regions(forward: dict[str, int], backward: dict[str, int], m: int, k: int, text: str, start: int, end: int) -> Iterator[tuple[int, int, int]]:
+    """(distance, start, end) of the separate occurrences in ``text[start:end]``, from its left; of overlapping ones the closest."""
+    free = start
+
+    def region(distance: int, stop: int) -> tuple[int, int, int] | None:
+        first = max(free, stop - m - k)
+        near, length = closest(backward, m, text[first:stop][::-1], 0, stop - first)
+        return (near, stop - length, stop) if near <= k else None  # more than before where the last region takes a part
+
+    best = None
+    for distance, stop in ends(forward, m, k, text, start, end):
+        if best and stop - best[1] >= m - k and (found := region(*best)):
+            yield found
+            free, best = found[2], None
+        elif best and stop - best[1] >= m - k:
+            best = None
+        if best is None or distance < best[0]:
+            best = distance, stop
+    if best and (found := region(*best)):
+        yield found
+
+
+def _whole(item: str, k: int, text: str, start: int, end: int) -> Iterator[tuple[int, int, int]]:
+    """As ``_regions``, for short items: only where no letter or digit continues the item's own."""
+    m = len(item)
+
+    def inside(at: int) -> bool:
+        return 0 < at < len(text) and text[at - 1].isalnum() and text[at].isalnum()
+
+    found = []
+    for a in range(start, end):
+        if not inside(a):
+            for b in range(max(a + 1, a + m - k), min(end, a + m + k) + 1):
+                if not inside(b) and (d := _edits(item, text[a:b])) <= k:
+                    found.append((d, a, b))
+    taken: list[tuple[int, int, int]] = []
+    for d, a, b in sorted(found, key=lambda r: (r[0], r[1])):
+        if all(b <= x or y <= a for _, x, y in taken):
+            taken.append((d, a, b))
+    yield from sorted(taken, key=lambda r: r[1])
+
+
+def _edits(a: str, b: str) -> int:
+    """Edit distance of two short texts."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        now = [i]
+        for j, y in enumerate(b, 1):
+            now.append(min(row[j] + 1, now[-1] + 1, row[j - 1] + (x != y)))
+        row = now
+    return row[-1]
+
+
 def places(text: str) -> dict[str, int]:
     out: dict[str, int] = {}
     for i, c in enumerate(text):
@@ -78,12 +155,14 @@ def places(text: str) -> dict[str, int]:
 class Finder:
     """Finds a block of items in texts."""
 
-    def __init__(self, items: list[tuple[int, str]], error_rate: float):
+    def __init__(self, items: list[tuple[int, str]], error_rate: float, short: bool = False):
         self.items, grouped = [], {}
         for item_id, text in items:
             text = level(text or "")
             if len(text) < MIN_CHARS:
-                continue
+                text = text.strip()
+                if not short or not text:
+                    continue
             n, m = len(self.items), len(text)
             k = int(m * error_rate)
             self.items.append((item_id, text, k, places(text), places(text[::-1])))
@@ -98,27 +177,30 @@ class Finder:
 
     def find(self, text: str | None) -> list[tuple[int, int, int, int]]:
         """(item id, distance, start, end) of the closest occurrence of each item within its budget."""
+        return [(self.items[n][0], *min(regions, key=lambda r: r[0])) for n, regions in self._found(text)]
+
+    def find_all(self, text: str | None) -> list[tuple[int, int, int, int]]:
+        """(item id, distance, start, end) of every separate occurrence of each item within its budget."""
+        return [(self.items[n][0], *r) for n, regions in self._found(text) for r in regions]
+
+    def _found(self, text: str | None) -> Iterator[tuple[int, list[tuple[int, int, int]]]]:
+        """Numbers of the items that occur, and where, in order."""
         if not text or not self.items:
-            return []
+            return
         low = level(text)
         starts: dict[int, set[int]] = {}
         for last, (length, where) in self.hits.iter(low):
             for n, offset in where:
                 starts.setdefault(n, set()).add(last + 1 - length - offset)
-        out = []
         for n, at in sorted(starts.items()):
-            item_id, item, k, forward, backward = self.items[n]
-            m, best = len(item), None
-            for a, b in self._spans(sorted(at), m, k, len(low)):
-                distance, end = closest(forward, m, low, a, b)
-                if distance <= k and (best is None or distance < best[0]):
-                    best = distance, end
-            if best:
-                distance, end = best
-                first = max(0, end - m - k)
-                _, length = closest(backward, m, low[first:end][::-1], 0, end - first)
-                out.append((item_id, distance, end - length, end))
-        return out
+            _, item, k, forward, backward = self.items[n]
+            m, spans = len(item), self._spans(sorted(at), len(item), k, len(low))
+            if m < MIN_CHARS:
+                regions = [r for a, b in spans for r in _whole(item, k, low, a, b)]
+            else:
+                regions = [r for a, b in spans for r in _regions(forward, backward, m, k, low, a, b)]
+            if regions:
+                yield n, regions
 
     @staticmethod
     def _spans(starts: list[int], m: int, k: int, n: int) -> Iterator[tuple[int, int]]:
@@ -150,9 +232,9 @@ def blocks(items: DataFrame, item_id: str, text: str, most: int = BLOCK_CHARS) -
 
 def find_passages(
     df: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
-    error_rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS,
+    error_rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS, short: bool = False, every: bool = False,
 ) -> DataFrame:
-    """(doc_id, item_id, distance, start, end): the closest occurrence of every item in every document that has it."""
+    """(doc_id, item_id, distance, start, end): the closest occurrence of every item in every document that has it, or with ``every`` all of them."""
     spark, parts = df.sparkSession, []
     schema = "doc_id long, item_id long, distance long, start long, end long"
     rows = df.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t"))
@@ -160,10 +242,11 @@ def find_passages(
         shared = spark.sparkContext.broadcast(block)
 
         def find(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            finder = Finder(shared.value, error_rate)
+            finder = Finder(shared.value, error_rate, short)
+            look = finder.find_all if every else finder.find
             for b in batches:
                 ids = b["d"].astype("Int64")
-                found = [(d, *x) for d, t in zip(ids, b["t"], strict=True) for x in finder.find(t)]
+                found = [(d, *x) for d, t in zip(ids, b["t"], strict=True) for x in look(t)]
                 out = pd.DataFrame(found, columns=["doc_id", "item_id", "distance", "start", "end"])
                 yield out.astype({"doc_id": "Int64", "item_id": "Int64", "distance": "int64", "start": "int64", "end": "int64"})
 
@@ -173,20 +256,20 @@ def find_passages(
 
 def without_passages(
     df: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", error_rate: float = ERROR_RATE,
-    block_chars: int = BLOCK_CHARS,
+    block_chars: int = BLOCK_CHARS, short: bool = False,
 ) -> DataFrame:
     """The rows of ``df`` in which no item occurs, with all their columns; no shuffle."""
     for block in blocks(items, item_id, item_text, block_chars):
-        df = keep_rows(df, _clean(df.sparkSession.sparkContext.broadcast(block), text, error_rate))
+        df = keep_rows(df, _clean(df.sparkSession.sparkContext.broadcast(block), text, error_rate, short))
     return df
 
 
-def _clean(shared, text: str, error_rate: float):
+def _clean(shared, text: str, error_rate: float, short: bool):
     kept: list[Finder] = []
 
     def clean(p: pa.RecordBatch) -> list[bool]:
         if not kept:
-            kept.append(Finder(shared.value, error_rate))
+            kept.append(Finder(shared.value, error_rate, short))
         return [not kept[0].find(t) for t in p.column(text).to_pylist()]
 
     return clean

@@ -90,3 +90,15 @@ def test_blocks_give_the_same(spark, small, block):
     items = spark.read.parquet(f"{FOLDER}/benchmark.parquet").limit(6)
     found = {(r["doc_id"], r["item_id"]) for r in D.find_passages(small, items, block_chars=block * 20).collect()}
     assert found == {(r["doc_id"], r["item_id"]) for r in D.find_passages(small, items).collect()}
+
+
+def test_short_items_are_found_as_whole_words(spark):
+    items = [(1, "42"), (2, " E = mc2 "), (3, "the quick brown fox ju"), (4, " "), (5, None)]
+    finder = D.Finder(items, D.ERROR_RATE, short=True)
+    assert finder.find_all("42 and 142, 420; e = mc2. (42)") == [(1, 0, 0, 2), (1, 0, 27, 29), (2, 0, 17, 24)]
+    assert finder.find("so the quikc brown fox ju") == [] and finder.find("a the quik brown fox ju") == [(3, 1, 2, 23)]
+    assert finder.find("the quick brown fox jumps") == [] and finder.find("E = mc²") == []
+    docs = spark.createDataFrame([(1, "it is 42 then"), (2, "it is 421 then"), (3, "no e = mc3")], "doc_id long, text string")
+    table = spark.createDataFrame(items, "item_id long, text string")
+    assert [r["doc_id"] for r in D.find_passages(docs, table, short=True).collect()] == [1]
+    assert sorted(r["doc_id"] for r in D.without_passages(docs, table, short=True).collect()) == [2, 3]
