@@ -102,3 +102,22 @@ def test_short_items_are_found_as_whole_words(spark):
     table = spark.createDataFrame(items, "item_id long, text string")
     assert [r["doc_id"] for r in D.find_passages(docs, table, short=True).collect()] == [1]
     assert sorted(r["doc_id"] for r in D.without_passages(docs, table, short=True).collect()) == [2, 3]
+
+
+def test_every_separate_occurrence_is_given(spark):
+    rng = random.Random(2)
+    item = "".join(rng.choice("abcdefgh ") for _ in range(60))
+    edited = item[:20] + "#" + item[21:40] + item[41:]
+    for gap in ("", "!", "." * 300):
+        text = gap.join([item, edited, item, edited])
+        got, at = D.Finder([(7, item)], 0.05).find_all(text), 0
+        assert [d for _, d, *_ in got] == [0, 2, 0, 2]
+        for (_, _, a, b), own in zip(got, (item, edited, item, edited), strict=True):
+            at = text.index(own, at)
+            assert (a, b) == (at, at + len(own))
+            at = b
+    many = item * 3000
+    assert len(D.Finder([(7, item)], 0.05).find_all(many)) == 3000
+    docs = spark.createDataFrame([(1, gap.join([item, edited]))], "doc_id long, text string")
+    table = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert D.find_passages(docs, table, every=True).count() == 2 and D.find_passages(docs, table).count() == 1
