@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.llm import boilerplate, bpe, decontaminate, exact, langid, passages, pii, simhash, substrings, toxicity
+from kerbline.llm import alignment, boilerplate, bpe, decontaminate, divergence, exact, langid, passages, pii, reputation, simhash, substrings, toxicity
 from kerbline.llm.texts import documents, held_out
 
 QUERIES: dict = {}
@@ -105,3 +105,19 @@ def word_passages(spark: SparkSession, folder: str) -> DataFrame:
 def byte_passages(spark: SparkSession, folder: str) -> DataFrame:
     found = passages.remove_repeats(documents(spark, folder))
     return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query("op11_divergence", divergence.AUDIT_SQL)
+def source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(documents(spark, folder))
+
+
+@query("op12_url_filter", reputation.JUDGE_SQL)
+def url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return reputation.judge(spark.read.parquet(f"{folder}/pages.parquet"))
+
+
+@query("op13_alignment")
+def tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    pair = alignment.Pair(spark, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return alignment.align(documents(spark, folder), pair)
