@@ -24,6 +24,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +39,14 @@ from kerbline.session import materialise
 SHARDS = 64
 FAN = 16
 BLOCK_BYTES = 64_000_000  # of pairs and counts that a worker holds
-PART_BYTES = 80_000_000  # of parts of texts and what is known of them, that a worker remembers
+PART_BYTES = 110_000_000  # of parts of texts and what is known of them, that a worker remembers
 LONG = 64  # letters; longer parts are not remembered
 RUN_PAIRS = 400_000  # links that a task gathers before it sorts them
 SLICE = 1_500_000  # bytes of texts handled together
+CHUNK = 2000  # parts given to the tokenizers together
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
+_CUT = re.compile(r"(?<=\S) ")
+_UNEVEN = re.compile(r"\s |\A | \Z")  # a space that follows white space or begins or ends a text
 
 
 class Pair:
@@ -57,7 +61,7 @@ class Pair:
 class Aligner:
     """Both tokenizers and what is known of parts of texts."""
 
-    def __init__(self, byte_file: str, piece_file: bytes):
+    def __init__(self, byte_file: str, piece_file: bytes, with_groups: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
         import tokenizers
@@ -74,6 +78,9 @@ class Aligner:
             self.bytes_a[i] = bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode()
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(m[1], 16)]) if (m := _BYTE.fullmatch(p)) else p.replace("▁", " ").encode() for p in names]
+        self.with_groups = with_groups
+        tables = {"a": len(self.bytes_a), "b": len(self.bytes_b)}
+        self.said = {f"{t}{end}": np.array([f"{i}{end}" for i in range(n)], object) for t, n in tables.items() for end in ",|;"} if with_groups else {}
         #: whether a text may be cut before a space: no piece goes on over such a place
         self.cuts = not any(re.search("[^▁]▁", p) for p in names)
         self.width_a, self.width_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
@@ -81,8 +88,9 @@ class Aligner:
 
     def clear(self) -> None:
         self.number: dict[str, int] = {}  # part -> its number below
-        self.size = 0
-        self.groups: list[str] = []
+        self.number_of: list[str] = []
+        self.checked = self.size = 0
+        self.groups: list[str] = []  # by part, a semicolon after each group
         self.figures = np.zeros((0, 4), np.int64)  # by part: tokens A, tokens B, groups, links
         self.links = np.zeros(0, np.uint64)  # of all parts, one part after another
         self.edge = np.zeros(1, np.int64)  # where each part's links begin, and their end
@@ -98,87 +106,98 @@ class Aligner:
 
     def parts(self, text: str) -> list[str]:
         """A text with a space before it, cut before every space that follows neither white space nor the beginning."""
-        out = text.split(" ") if self.cuts else [text]
-        if "" in out or any(p[-1].isspace() for p in out):
-            whole, out = out, []
-            held = None
-            for p in whole:
-                held = p if held is None else f"{held} {p}"
-                if held and not held[-1].isspace():
-                    out.append(held)
-                    held = None
-            if held is not None:
-                out.append(held)
-        return out
+        if not self.cuts:
+            return [text]
+        return _CUT.split(text) if _UNEVEN.search(text) else text.split(" ")
+
+    def _tokens(self, chunk: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """The tokens of some parts, each with a space before it, and where each part's bytes end; None if other bytes come back."""
+        text = " ".join(chunk)
+        raw = f" {text}".encode()
+        x, y = self.a.encode_batch_fast([f" {text}"], add_special_tokens=False)[0].ids, self.b.encode(text, num_threads=1)
+        if b"".join(map(self.bytes_a.__getitem__, x)) != raw or b"".join(map(self.bytes_b.__getitem__, y)) != raw:
+            return None
+        ends = np.cumsum(np.fromiter((len(p.encode()) + 1 for p in chunk), np.int64, len(chunk)))
+        return np.array(x, np.int64), np.array(y, np.int64), ends
+
+    def _align(self, new: list[str]) -> set[str]:
+        """Learn new parts; those are returned whose bytes a tokenizer doesn't give back.
+
+        Parts are given to the tokenizers side by side, as each would be cut alone; one that ends in white space comes last.
+        """
+        new = sorted(new, key=lambda p: not p or p[-1].isspace())
+        inner = next((i for i, p in enumerate(new) if not p or p[-1].isspace()), len(new))
+        chunks = [new[i : min(i + CHUNK, inner)] for i in range(0, inner, CHUNK)] + [[p] for p in new[inner:]]
+        bad: set[str] = set()
+        while chunks:
+            chunk = chunks.pop()
+            found = self._tokens(chunk)
+            if found is not None:
+                self._learn(chunk, *found)
+            elif len(chunk) > 1:
+                chunks += [chunk[: len(chunk) // 2], chunk[len(chunk) // 2 :]]
+            else:
+                bad.add(chunk[0])
+        return bad
 
-    def _align(self, new: list[str]) -> list[bool]:
-        """Learn new parts (each with a space before it); false for those whose bytes are not given back."""
-        ids_a = [e.ids for e in self.a.encode_batch([f" {p}" for p in new], add_special_tokens=False)]
-        ids_b = self.b.encode(new, num_threads=1)
-        good = []
-        for p, x, y in zip(new, ids_a, ids_b, strict=True):
-            raw = f" {p}".encode()
-            good.append(b"".join(map(self.bytes_a.__getitem__, x)) == raw == b"".join(map(self.bytes_b.__getitem__, y)))
-        if not any(good):
-            return good
-        kept = [i for i, g in enumerate(good) if g]
-        n_a, n_b = np.array([len(ids_a[i]) for i in kept]), np.array([len(ids_b[i]) for i in kept])
-        a, b = (np.fromiter((t for i in kept for t in ids[i]), np.int64) for ids in (ids_a, ids_b))
+    def _learn(self, chunk: list[str], a: np.ndarray, b: np.ndarray, part_ends: np.ndarray) -> None:
         end_a, end_b = np.cumsum(self.width_a[a]), np.cumsum(self.width_b[b])
         ends = np.union1d(end_a, end_b)  # a link for every stretch between two ends
         ia, ib = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
         links = a[ia].astype(np.uint64) << np.uint64(32) | b[ib].astype(np.uint64)
-        n_links = np.diff(np.searchsorted(ends, end_a[np.cumsum(n_a) - 1], "right"), prepend=0)
-        both = np.isin(end_a, end_b)
-        n_groups = np.add.reduceat(both.astype(np.int64), np.cumsum(n_a) - n_a)
-        cut_a, cut_b = np.flatnonzero(both) + 1, np.flatnonzero(np.isin(end_b, end_a)) + 1
-        text_a, text_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        groups, pa_, pb_ = [], 0, 0
-        for x, y in zip(cut_a.tolist(), cut_b.tolist(), strict=True):
-            groups.append(f"{','.join(text_a[pa_:x])}|{','.join(text_b[pb_:y])}")
-            pa_, pb_ = x, y
-        last = 0
-        for i, ng, nl in zip(kept, n_groups.tolist(), n_links.tolist(), strict=True):
-            self.number[new[i]] = len(self.groups)
-            self.groups.append(";".join(groups[last : last + ng]))
-            last += ng
-            self.size += 250 + 2 * len(new[i]) + 16 * nl
+        common = np.intersect1d(end_a, end_b, assume_unique=True)
+        upto = lambda e: np.diff(np.searchsorted(e, part_ends, "right"), prepend=0)
+        n_a, n_b, n_groups, n_links = map(upto, (end_a, end_b, common, ends))
         self.fresh.append((np.stack([n_a, n_b, n_groups, n_links], axis=1), links))
-        return good
+        first = len(self.number_of)
+        self.number.update(zip(chunk, range(first, first + len(chunk)), strict=True))
+        self.number_of += chunk
+        self.size += 250 * len(chunk) + 2 * int(part_ends[-1]) + 16 * len(links)
+        if self.with_groups:  # every group: its A tokens, then its B tokens
+            group_a, group_b = np.searchsorted(common, end_a), np.searchsorted(common, end_b)
+            out = np.empty(len(a) + len(b), object)
+            last_a, last_b = np.isin(end_a, common, assume_unique=True), np.isin(end_b, common, assume_unique=True)
+            out[np.arange(len(a)) + np.searchsorted(group_b, group_a)] = np.where(last_a, self.said["a|"][a], self.said["a,"][a])
+            out[np.arange(len(b)) + np.searchsorted(group_a, group_b, "right")] = np.where(last_b, self.said["b;"][b], self.said["b,"][b])
+            words, at = out.tolist(), np.cumsum(n_a + n_b).tolist()
+            self.groups += ["".join(words[x:y]) for x, y in zip([0, *at], at, strict=False)]
 
     def plan(self, texts: list[str | None]) -> list[np.ndarray]:
         """The numbers of each text's parts; none for texts without tokens."""
         if self.size > PART_BYTES:
             self.clear()
         cut = [self.parts(t) if t else [] for t in texts]
-        new = list({p for parts in cut for p in parts if p not in self.number})
-        bad = set()
-        for step in range(0, len(new), 20_000):
-            some = new[step : step + 20_000]
-            bad.update(p for p, g in zip(some, self._align(some), strict=True) if not g)
-        if bad:  # such a text is given to both tokenizers as a whole
-            for k, (t, parts) in enumerate(zip(texts, cut, strict=True)):
-                if not bad.isdisjoint(parts):
-                    cut[k] = [t] if t in self.number or self._align([t])[0] else []
+        plan = [np.fromiter(map(self.number.get, parts, repeat(-1)), np.int64, len(parts)) for parts in cut]
+        open_ = [(k, np.flatnonzero(numbers < 0).tolist()) for k, numbers in enumerate(plan)]
+        bad = self._align(list({cut[k][i] for k, at in open_ for i in at}))
+        for k, at in open_:
+            new = [cut[k][i] for i in at]
+            if bad and not bad.isdisjoint(new):  # the text is given to both tokenizers as a whole
+                t = texts[k]
+                plan[k] = np.array([] if t not in self.number and self._align([t]) else [self.number[t]], np.int64)
+            elif at:
+                plan[k][at] = [self.number[p] for p in new]
         self.settle()
-        number = self.number
-        return [np.fromiter(map(number.__getitem__, parts), np.int64, len(parts)) for parts in cut]
+        return plan
 
     def forget_long(self) -> None:
         """Long parts are rarely met again."""
-        for p in [p for p in self.number if len(p) > LONG]:
-            del self.number[p]
+        for p in self.number_of[self.checked :]:
+            if len(p) > LONG:
+                self.number.pop(p, None)
+        self.checked = len(self.number_of)
 
 
-_HELD: dict[str, Aligner] = {}
+_HELD: dict[tuple[str, bool], Aligner] = {}
 
 
-def _aligner(pair: Pair) -> Aligner:
-    if pair.id not in _HELD:
+def _aligner(pair: Pair, with_groups: bool) -> Aligner:
+    key = pair.id, with_groups
+    if key not in _HELD:
         _HELD.clear()
-        _HELD[pair.id] = Aligner(*pair.files.value)
+        _HELD[key] = Aligner(*pair.files.value, with_groups)
         hold(__name__, _HELD.clear)
-    return _HELD[pair.id]
+    return _HELD[key]
 
 
 def _sliced(batches) -> Iterator[pa.RecordBatch]:
@@ -221,7 +240,7 @@ def runs_of(texts: DataFrame, pair: Pair) -> DataFrame:
                 names=["shard", "keys", "counts"])
 
         for p in _sliced(batches):
-            aligner = _aligner(pair)
+            aligner = _aligner(pair, False)
             plan = aligner.plan(p.column("text").to_pylist())
             times = np.bincount(np.concatenate(plan))  # of each part
             met = np.flatnonzero(times)
@@ -365,9 +384,9 @@ def _look_up(pair: Pair, shards, best, first: bool, last: bool):
         top = best.value
         known, n_best, total = None, np.zeros(0, np.int64), np.zeros(0, np.int64)  # of the parts of ``known``
         for p in _sliced(batches):
-            aligner = _aligner(pair)
+            aligner = _aligner(pair, first)
             plan = aligner.plan(p.column("text").to_pylist())
-            if known is not aligner.number or len(n_best) > len(aligner.figures):
+            if known is not aligner.number:
                 known, n_best, total = aligner.number, n_best[:0], total[:0]
             new = len(aligner.figures) - len(n_best)
             if new:
@@ -391,7 +410,7 @@ def _look_up(pair: Pair, shards, best, first: bool, last: bool):
             if first:
                 columns |= {n: summed(aligner.figures[:, i]) for i, n in enumerate(("n_a", "n_b", "n_groups", "n_links"))}
                 groups = aligner.groups
-                columns["groups_sha256"] = [hashlib.sha256(";".join(map(groups.__getitem__, x.tolist())).encode()).hexdigest() if len(x) else "" for x in plan]
+                columns["groups_sha256"] = [hashlib.sha256("".join(map(groups.__getitem__, x.tolist()))[:-1].encode()).hexdigest() if len(x) else "" for x in plan]
             else:
                 columns = {n: p.column(n).to_numpy() + v for n, v in columns.items()}
                 columns |= {n: p.column(n) for n in ("n_a", "n_b", "n_groups", "n_links", "groups_sha256")}
