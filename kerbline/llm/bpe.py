@@ -23,6 +23,7 @@ Null counts as the empty text and gives no tokens. Texts of any length are encod
 from __future__ import annotations
 
 import json
+import pickle
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +35,10 @@ from kerbline.llm.texts import hold, with_columns
 
 # Fixed value: the word pattern of the published byte-level tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-KEPT_WORDS = 300_000  # encoded words and pieces kept by a worker; past that the store is emptied and filled anew
-KEPT_PIECES = 400_000
-KEPT_ARCS = 1_000_000
+KEPT_WORDS = 24_000_000  # bytes of encoded words and pieces kept by a worker; past that the store is emptied and filled anew
+KEPT_PIECES = 32_000_000
+ENTRY = 140  # bytes of a kept word besides its letters and tokens
+KEPT_ARCS = 500_000
 START = -1
 
 
@@ -137,11 +139,37 @@ class Automaton:
         self.length = np.zeros(size, np.int64)
         for t, x in self.labels.items():
             self.length[t] = len(x)
+        self._open()
+
+    def _open(self) -> None:
+        """Empty stores and the patterns."""
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.words_size = self.pieces_size = 0
         self.split = regex.compile(PATTERN)
         self.special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.specials, key=len, reverse=True)) + ")") if self.specials else None
 
+    def __getstate__(self) -> dict:
+        """Packed arrays only: a worker opens them without compiling anything."""
+        labels = sorted(self.labels)
+        return {
+            "specials": self.specials, "size": self.size, "gadgets": np.array([self.born, self.arc_of, self.copy_of], np.int32),
+            "removed": np.array([list(self.removed), list(self.removed.values())], np.int64), "token": self.token.astype(np.int32), "length": self.length.astype(np.int32),
+            "next": (self.next.bits, self.next.used, self.next.keys, self.next.values), "label_ids": np.array(labels, np.int32), "label_text": b"".join(self.labels[i] for i in labels)}
+
+    def __setstate__(self, state: dict) -> None:
+        self.specials, self.size, self.token, self.length = (state[k] for k in ("specials", "size", "token", "length"))
+        self.token, self.length = self.token.astype(np.int64), self.length.astype(np.int64)
+        self.born, self.arc_of, self.copy_of = state["gadgets"].tolist()
+        self.removed = dict(zip(*state["removed"].tolist(), strict=True))
+        self.next = Table(1)
+        self.next.bits, self.next.used, self.next.keys, self.next.values = state["next"]
+        self.arcs = Table()
+        ids, text = state["label_ids"], state["label_text"]
+        ends = np.cumsum(self.length[ids]).tolist()
+        self.labels = {i: text[a:b] for i, a, b in zip(ids.tolist(), [0, *ends], ends, strict=False)}
+        self._open()
+
     def _gadget(self, rank: int, u: int, v: int, w: int, live: set[int]) -> None:
         if u not in live or v not in live or not self._has(u, v, rank - 1):
             return  # u then v can never be read: the rule has no effect
@@ -235,10 +263,10 @@ class Automaton:
 
     def _learn(self, words: set[str]) -> None:
         """Encode the words that aren't kept yet."""
-        new = [w for w in words if w not in self.words]
-        if len(self.words) + len(new) > KEPT_WORDS:
+        if self.words_size > KEPT_WORDS:
             self.words.clear()
-            new = list(words)
+            self.words_size = 0
+        new = [w for w in words if w not in self.words]
         new.sort(key=len)  # words of like length walk together
         size, group = 0, []
         for w in new:
@@ -251,6 +279,7 @@ class Automaton:
 
     def _walk(self, group: list[str]) -> None:
         self.words.update(zip(group, self.walk([w.encode("utf-8", "surrogatepass") for w in group]), strict=True))
+        self.words_size += sum(ENTRY + 5 * len(w) for w in group)
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Token numbers of each text as little-endian unsigned 32-bit integers.
@@ -258,8 +287,9 @@ class Automaton:
         The pattern always splits before a space that something other than white space follows, so texts are
         cut at spaces first: what stands between repeats a lot, and the pattern runs only on what is new.
         """
-        if len(self.pieces) > KEPT_PIECES:
+        if self.pieces_size > KEPT_PIECES:
             self.pieces.clear()
+            self.pieces_size = 0
         plans, new = [self._plan(t) for t in texts], set()
         for plan in plans:
             for spaced, parts, known in plan:
@@ -271,6 +301,7 @@ class Automaton:
         words = self.words
         for p, ws in split.items():
             self.pieces[p] = b"".join([words[w] for w in ws])
+        self.pieces_size += sum(ENTRY + 5 * len(p) for p in split)
         loose = {p: b"".join([words[w] for w in ws]) for p, ws in loose.items()}
         out = []
         for plan in plans:
@@ -325,22 +356,22 @@ def _automaton(source) -> Automaton:
     """One automaton per tokenizer file and Python worker."""
     if source.id not in _COMPILED:
         _COMPILED.clear()
-        _COMPILED[source.id] = Automaton(source.value)
+        _COMPILED[source.id] = pickle.loads(source.value)
         hold(__name__, _COMPILED.clear)
     return _COMPILED[source.id]
 
 
 class Source:
-    """The text of a tokenizer file, broadcast (its size is that of one vocabulary)."""
+    """The automaton of a tokenizer file, compiled once and broadcast as packed arrays (their size is that of one vocabulary)."""
 
     def __init__(self, spark: SparkSession, path: str):
         with open(path, encoding="utf-8") as f:
-            self.text = spark.sparkContext.broadcast(f.read())
+            self.packed = spark.sparkContext.broadcast(pickle.dumps(Automaton(f.read()), protocol=5))
         self.id = hash(path)
 
     @property
-    def value(self) -> str:
-        return self.text.value
+    def value(self) -> bytes:
+        return self.packed.value
 
 
 def encode(df: DataFrame, text: str, tokenizer: Source, into: str = "ids", back: str | None = None) -> DataFrame:

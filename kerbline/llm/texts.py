@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
 
-SLICE_BYTES = 4_000_000  # of rows that Python handles together
+SLICE_BYTES = 2_000_000  # of rows that Python handles together
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -59,9 +61,23 @@ def hold(owner: str, forget) -> None:
 
 
 def release_others(owner: str) -> None:
-    """Drop what other operators keep in this Python worker, which lives on through the stages of a job."""
-    for name in [n for n in _HELD if n != owner]:
+    """Drop what other operators keep in this Python worker, which lives on through the stages of a job, and give free memory back."""
+    others = [n for n in _HELD if n != owner]
+    for name in others:
         _HELD.pop(name)()
+    if others:
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
+def released(owner: str, run):
+    """A task function over record batches that first drops what other operators keep."""
+
+    def task(batches):
+        release_others(owner)
+        yield from run(batches)
+
+    return task
 
 
 def with_columns(df: DataFrame, columns: dict[str, tuple[pa.DataType, DataType]], fill) -> DataFrame:

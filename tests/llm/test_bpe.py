@@ -1,6 +1,7 @@
 """The automaton against the public library, and round trips."""
 
 import hashlib
+import pickle
 import random
 
 import numpy as np
@@ -66,6 +67,13 @@ def test_stores_may_be_emptied(library, automaton, monkeypatch):
     assert automaton.encode(text) == packed(library, text)
 
 
+def test_packed_automaton_is_the_same(automaton, library):
+    packed_ = pickle.loads(pickle.dumps(automaton, protocol=5))
+    texts = ["Some words, and don't  mind <|endoftext|> the 中文 😀 rest\n", "", " x" * 50]
+    assert packed_.encode_all(texts) == [packed(library, t) for t in texts]
+    assert [packed_.decode(x) for x in packed_.encode_all(texts)] == texts
+
+
 def test_odd_rows(spark, odd, odd_rows, none):
     tokenizer = bpe.Source(spark, PATH)
     got = bpe.decode(bpe.encode(odd, "text", tokenizer), "ids", tokenizer).collect()

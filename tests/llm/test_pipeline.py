@@ -7,7 +7,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 from test_decontaminate import plain_hits
-from test_simhash import classes, near, plain_fingerprint
+from test_shingles import plain_groups
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -25,12 +25,8 @@ def test_rows_equal_a_plain_program(spark, texts):
     for i, t in left.items():
         last[t] = max(i, last.get(t, i))
     left = {i: t for t, i in last.items()}
-    prints = {i: plain_fingerprint(t) for i, t in left.items()}
-    root = classes(list(set(prints.values())), near(list(set(prints.values()))))
-    first = {}
-    for i, p in prints.items():
-        first[root[p]] = min(i, first.get(root[p], i))
-    left = {i: left[i] for i in first.values()}
+    rows = list(left.items())
+    left = {min(rows[k][0] for k in group): left[min(rows[k][0] for k in group)] for group in plain_groups(rows)}
     items = duckdb.sql(f"select item_id, text from '{FOLDER}/benchmark.parquet'").fetchall()
     left = {i: t for i, t in left.items() if not plain_hits(t, items)}
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
