@@ -89,6 +89,7 @@ class Aligner:
     def clear(self) -> None:
         self.number: dict[str, int] = {}  # part -> its number below
         self.number_of: list[str] = []
+        self.met = np.zeros(0, np.int64)  # how often each part was met
         self.checked = self.size = 0
         self.groups: list[str] = []  # by part, a semicolon after each group
         self.figures = np.zeros((0, 4), np.int64)  # by part: tokens A, tokens B, groups, links
@@ -96,6 +97,22 @@ class Aligner:
         self.edge = np.zeros(1, np.int64)  # where each part's links begin, and their end
         self.fresh: list[tuple[np.ndarray, np.ndarray]] = []
 
+    def tidy(self) -> None:
+        """Forget the parts that were met once since the store was filled; if too many are left, all."""
+        keep = np.flatnonzero(self.met > 1)
+        keep = keep[[self.number.get(self.number_of[i], -1) == i for i in keep.tolist()]]
+        size = self.figures[keep, 3]
+        held = int(16 * size.sum()) + sum(250 + 2 * len(self.number_of[i]) for i in keep.tolist())
+        names, groups = [self.number_of[i] for i in keep.tolist()], [self.groups[i] for i in keep.tolist()] if self.with_groups else []
+        figures, links = self.figures[keep], self.links[_ranges(self.edge[keep], size)]
+        self.clear()
+        if held <= PART_BYTES // 2:
+            self.number = dict(zip(names, range(len(names)), strict=True))
+            self.number_of, self.groups, self.size, self.checked = names, groups, held, len(names)
+            self.fresh = [(figures, links)]
+            self.settle()
+            self.met = np.zeros(len(names), np.int64)
+
     def settle(self) -> None:
         """Append what came with new parts."""
         if self.fresh:
@@ -117,17 +134,19 @@ class Aligner:
         x, y = self.a.encode_batch_fast([f" {text}"], add_special_tokens=False)[0].ids, self.b.encode(text, num_threads=1)
         if b"".join(map(self.bytes_a.__getitem__, x)) != raw or b"".join(map(self.bytes_b.__getitem__, y)) != raw:
             return None
-        ends = np.cumsum(np.fromiter((len(p.encode()) + 1 for p in chunk), np.int64, len(chunk)))
+        ends = np.cumsum(np.fromiter(map(len, chunk if text.isascii() else map(str.encode, chunk)), np.int64, len(chunk)) + 1)
         return np.array(x, np.int64), np.array(y, np.int64), ends
 
     def _align(self, new: list[str]) -> set[str]:
         """Learn new parts; those are returned whose bytes a tokenizer doesn't give back.
 
-        Parts are given to the tokenizers side by side, as each would be cut alone; one that ends in white space comes last.
+        Parts are given to the tokenizers side by side, as each would be cut alone; those that end in white space one by one.
         """
-        new = sorted(new, key=lambda p: not p or p[-1].isspace())
-        inner = next((i for i, p in enumerate(new) if not p or p[-1].isspace()), len(new))
-        chunks = [new[i : min(i + CHUNK, inner)] for i in range(0, inner, CHUNK)] + [[p] for p in new[inner:]]
+        open_ended = [p for p in new if not p or p[-1].isspace()]
+        if open_ended:
+            apart = set(open_ended)
+            new = [p for p in new if p not in apart]
+        chunks = [new[i : i + CHUNK] for i in range(0, len(new), CHUNK)] + [[p] for p in open_ended]
         bad: set[str] = set()
         while chunks:
             chunk = chunks.pop()
@@ -142,10 +161,12 @@ class Aligner:
 
     def _learn(self, chunk: list[str], a: np.ndarray, b: np.ndarray, part_ends: np.ndarray) -> None:
         end_a, end_b = np.cumsum(self.width_a[a]), np.cumsum(self.width_b[b])
-        ends = np.union1d(end_a, end_b)  # a link for every stretch between two ends
+        ends = np.concatenate([end_a, end_b])
+        ends.sort(kind="stable")  # merges two sorted lists
+        last = np.append(ends[1:] != ends[:-1], True)
+        common, ends = ends[~last], ends[last]  # a link for every stretch between two ends
         ia, ib = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
         links = a[ia].astype(np.uint64) << np.uint64(32) | b[ib].astype(np.uint64)
-        common = np.intersect1d(end_a, end_b, assume_unique=True)
         upto = lambda e: np.diff(np.searchsorted(e, part_ends, "right"), prepend=0)
         n_a, n_b, n_groups, n_links = map(upto, (end_a, end_b, common, ends))
         self.fresh.append((np.stack([n_a, n_b, n_groups, n_links], axis=1), links))
@@ -156,7 +177,7 @@ class Aligner:
         if self.with_groups:  # every group: its A tokens, then its B tokens
             group_a, group_b = np.searchsorted(common, end_a), np.searchsorted(common, end_b)
             out = np.empty(len(a) + len(b), object)
-            last_a, last_b = np.isin(end_a, common, assume_unique=True), np.isin(end_b, common, assume_unique=True)
+            last_a, last_b = common[group_a] == end_a, common[group_b] == end_b
             out[np.arange(len(a)) + np.searchsorted(group_b, group_a)] = np.where(last_a, self.said["a|"][a], self.said["a,"][a])
             out[np.arange(len(b)) + np.searchsorted(group_a, group_b, "right")] = np.where(last_b, self.said["b;"][b], self.said["b,"][b])
             words, at = out.tolist(), np.cumsum(n_a + n_b).tolist()
@@ -165,7 +186,7 @@ class Aligner:
     def plan(self, texts: list[str | None]) -> list[np.ndarray]:
         """The numbers of each text's parts; none for texts without tokens."""
         if self.size > PART_BYTES:
-            self.clear()
+            self.tidy()
         cut = [self.parts(t) if t else [] for t in texts]
         plan = [np.fromiter(map(self.number.get, parts, repeat(-1)), np.int64, len(parts)) for parts in cut]
         open_ = [(k, np.flatnonzero(numbers < 0).tolist()) for k, numbers in enumerate(plan)]
@@ -178,6 +199,9 @@ class Aligner:
             elif at:
                 plan[k][at] = [self.number[p] for p in new]
         self.settle()
+        met = np.bincount(np.concatenate([*plan, np.zeros(0, np.int64)]), minlength=len(self.number_of))
+        met[: len(self.met)] += self.met
+        self.met = met
         return plan
 
     def forget_long(self) -> None:

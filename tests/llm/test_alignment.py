@@ -105,8 +105,12 @@ def test_store_and_runs_that_fill_up(monkeypatch):
     """A worker that forgets parts after every slice gives the same figures."""
     with open(PATHS[0]) as a, open(PATHS[1], "rb") as b:
         aligner = alignment.Aligner(a.read(), b.read())
-    monkeypatch.setattr(alignment, "PART_BYTES", 10)
     want = plain(ODD)
+    monkeypatch.setattr(alignment, "PART_BYTES", 9000)  # parts met twice stay
+    for text in [*ODD, *ODD[::-1]] * 2:
+        aligner.plan([text])
+    assert 0 < len(aligner.number_of) < 200
+    monkeypatch.setattr(alignment, "PART_BYTES", 10)
     for text, (n_a, n_b, n_groups, n_links, _, _, said) in zip(ODD, want, strict=True):
         plan = aligner.plan([text])[0]
         assert aligner.figures[plan].sum(0).tolist() == [n_a, n_b, n_groups, n_links]
