@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import os
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +55,7 @@ def hash_below(hashed: Column | str, fraction: Column) -> Column:
     return (F.col(hashed) if isinstance(hashed, str) else hashed) / F.lit(2.0**64) + F.lit(0.5) < fraction
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" else None  # gives freed memory back to the system, where C has it
 _HELD: dict = {}  # in a Python worker: what an operator keeps for its next task, and how to drop it
 
 
@@ -68,6 +71,8 @@ def release_others(owner: str) -> None:
     if others:
         gc.collect()
     pa.default_memory_pool().release_unused()
+    if others and _TRIM:
+        _TRIM(0)
 
 
 def released(owner: str, run):
