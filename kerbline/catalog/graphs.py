@@ -98,6 +98,45 @@ def school_gates(t):
 
 CUTOFF = 10_000.0
 
+# The same start rows in SQL: edges in both directions, gates at their nearest node, homes in the zones, requests at their nearest node.
+NET_SQL = f"""eb as (select least(u,v) as a, greatest(u,v) as b, length_m, risk, walk_edge_id as e, row_number() over (partition by least(u,v), greatest(u,v) order by length_m, walk_edge_id) as rn from d_walk where length_m>0 and u<>v),
+    ed as (select a as u, b as v, length_m as w, risk from eb where rn=1 union all select b, a, length_m, risk from eb where rn=1),
+    gn as (select g.gate_id, g.school_name as school, g.gate_type, n.n, row_number() over (partition by g.gate_id order by {Q.dist('g.x', 'g.y', 'n.x', 'n.y')}, n.n) as rn from d_gates g
+      join d_nodes n on n.x between g.x-200 and g.x+200 and n.y between g.y-200 and g.y+200 where {Q.dist('g.x', 'g.y', 'n.x', 'n.y')}<=200),
+    sg as (select school, n as gate, min(case when gate_type='main' then 0 else 1 end) as rank from gn where rn=1 group by school, n)"""
+HOMES_SQL = f"""{Q.RING_EDGES}, zb as (select zone_id, min(x) as a, max(x) as b, min(y) as c, max(y) as d from d_ring group by zone_id),
+    hz as (select b.bld_id, z.zone_id from d_buildings b join zb z on b.x between z.a and z.b and b.y between z.c and z.d join re e on e.zone_id=z.zone_id group by b.bld_id, z.zone_id, b.x, b.y having {Q.in_ring('b.x', 'b.y')}),
+    hn as (select b.bld_id, n.n, row_number() over (partition by b.bld_id order by {Q.dist('b.x', 'b.y', 'n.x', 'n.y')}, n.n) as rn from d_buildings b
+      join d_nodes n on n.x between b.x-100 and b.x+100 and n.y between b.y-100 and b.y+100 where {Q.dist('b.x', 'b.y', 'n.x', 'n.y')}<=100),
+    hm as (select hz.bld_id as home_id, z.school_name as school, hn.n as node, greatest(round_even(coalesce(b.floors,1),0),1)::bigint as households
+      from hz join d_zones z on z.zone_id=hz.zone_id join hn on hn.bld_id=hz.bld_id and hn.rn=1 join d_buildings b on b.bld_id=hz.bld_id)"""
+REQUESTS_SQL = f"""{Q.RING_EDGES}, zb as (select zone_id, min(x) as a, max(x) as b, min(y) as c, max(y) as d from d_ring group by zone_id),
+    qz as (select q_id, min(zone_id) as zone_id from (select q.q_id, z.zone_id from d_requests q join zb z on q.x between z.a and z.b and q.y between z.c and z.d join re e on e.zone_id=z.zone_id
+      group by q.q_id, z.zone_id, q.x, q.y having {Q.in_ring('q.x', 'q.y')}) group by q_id),
+    qn as (select q.q_id, n.n, row_number() over (partition by q.q_id order by {Q.dist('q.x', 'q.y', 'n.x', 'n.y')}, n.n) as rn from d_requests q
+      join d_nodes n on n.x between q.x-300 and q.x+300 and n.y between q.y-300 and q.y+300 where {Q.dist('q.x', 'q.y', 'n.x', 'n.y')}<=300),
+    rq as (select q.q_id, qn.n as src, z.school_name as school, q.grade, case when q.style='safe' then 1.5::double else 0.05::double end/(select avg(risk) from d_walk where risk>0) as alpha
+      from d_requests q join qn on qn.q_id=q.q_id and qn.rn=1 join qz on qz.q_id=q.q_id join d_zones z on z.zone_id=qz.zone_id)"""
+
+
+def labels_sql(seeds: str, limit: str = "1e300") -> str:
+    """Least-cost labels ``lab`` (gate, alpha, node, best) from ``seeds`` (gate, alpha), relaxed until none improves."""
+    return f"""lab(gate, alpha, node, best) using key (gate, alpha, node) as (
+      select gate, alpha, gate, {{'cost': 0::double, 'len': 0::double, 'lr': 0::double, 'hops': 0, 'parent': null::bigint}} from {seeds}
+      union
+      select c.gate, c.alpha, c.node, c.best from (
+        select lab.gate, lab.alpha, ed.v as node, min({{'cost': lab.best.cost+ed.w*(1::double+lab.alpha*ed.risk), 'len': lab.best.len+ed.w, 'lr': lab.best.lr+ed.w*ed.risk, 'hops': lab.best.hops+1, 'parent': lab.node}}) as best
+        from lab join ed on ed.u=lab.node group by lab.gate, lab.alpha, ed.v) c
+      left join recurring.lab o on o.gate=c.gate and o.alpha=c.alpha and o.node=c.node
+      where c.best.cost<={limit} and (o.gate is null or c.best<o.best))"""
+
+
+GATE_LABELS = f"{NET_SQL}, seed as (select distinct gate, 0::double as alpha from sg), {labels_sql('seed', str(CUTOFF))}"
+BEST_SQL = f"""with recursive {HOMES_SQL}, {GATE_LABELS},
+    hit as (select h.home_id, h.school, h.node, h.households, s.gate, l.best.len as distance, row_number() over (partition by h.home_id, h.school order by l.best.len, s.rank, s.gate) as rn
+      from hm h join sg s on s.school=h.school join lab l on l.gate=s.gate and l.node=h.node),
+    bg as (select * from hit where rn=1)"""
+
 
 def trees(t, gates, homes=None):
     return E.gate_trees(G.both_directions(walk_graph(t)), gates, CUTOFF, homes)
@@ -111,12 +150,12 @@ def homes(t):
     return cut_lineage(inside.join(node.select(F.col("bld_id").alias("home_id"), F.col("n").alias("node")), "home_id"))
 
 
-@query("graph_sssp_gate")
+@query("graph_sssp_gate", f"with recursive {GATE_LABELS} select s.school, s.gate, l.node, round(l.best.len,6)+0 as distance, l.best.parent as parent from sg s join lab l on l.gate=s.gate")
 def sssp_gate(t):
     return trees(t, school_gates(t)).select("school", "gate", "node", r_to("len").alias("distance"), "parent")
 
 
-@query("path_best_gate")
+@query("path_best_gate", f"{BEST_SQL} select home_id, school, gate, round(distance,6)+0 as distance from bg")
 def path_best_gate(t):
     gates = school_gates(t)
     h = homes(t).select("home_id", "school", "node")
@@ -124,7 +163,10 @@ def path_best_gate(t):
     return best.select("home_id", "school", "gate", r_to("distance").alias("distance"))
 
 
-@query("path_reconstruct")
+@query("path_reconstruct", f"""{BEST_SQL}, st as (select distinct school, gate, node from bg),
+    wk(path_id, gate, pos, node) as (select concat_ws('|', school, gate, node), gate, 0, node from st
+      union all select wk.path_id, wk.gate, wk.pos+1, l.best.parent from wk join lab l on l.gate=wk.gate and l.node=wk.node where l.best.parent is not null)
+    select path_id, pos::integer as pos, node from wk""")
 def path_reconstruct(t):
     """Paths home → gate as ordered node rows (one start per node and school)."""
     gates = school_gates(t)
@@ -135,7 +177,7 @@ def path_reconstruct(t):
     return G.path_nodes(tr, starts, ["school", "gate"], "path_id").select("path_id", "pos", "node")
 
 
-@query("path_distance_stats")
+@query("path_distance_stats", f"""{BEST_SQL} select school, count(*) as paths, round(avg(distance),6)+0 as mean_m, round(min(distance),6)+0 as min_m, round(max(distance),6)+0 as max_m from bg group by school""")
 def path_distance_stats(t):
     gates = school_gates(t)
     h = homes(t).select("home_id", "school", "node")
@@ -158,7 +200,12 @@ def students_allocate(t):
     return E.allocate_students(paths, h, e, 100.0).withColumn("students", r_to("students", 4))
 
 
-@query("link_exposure")
+@query("link_exposure", f"""{BEST_SQL}, tot as (select school, sum(households) as h from bg group by school),
+    st as (select bg.school, bg.gate, bg.node, sum(bg.households/tot.h::double*e.total) as students from bg join tot on tot.school=bg.school
+      join d_enrollment e on e.school_name=bg.school where e.total is not null group by bg.school, bg.gate, bg.node),
+    wk(gate, node, parent, students) as (select st.gate, st.node, l.best.parent, st.students from st join lab l on l.gate=st.gate and l.node=st.node
+      union all select wk.gate, wk.parent, l.best.parent, wk.students from wk join lab l on l.gate=wk.gate and l.node=wk.parent where wk.parent is not null)
+    select least(node, parent) as a, greatest(node, parent) as b, round(sum(students),4)+0 as students from wk where parent is not null and students>0 group by 1, 2""")
 def link_exposure(t):
     """Homes → best gate → students by households → students per link, summed over the gate trees."""
     gates = school_gates(t)
@@ -261,7 +308,8 @@ def routed(t, requests=None):
     return req, cut_lineage(routes), tr, both
 
 
-@query("route_shortest")
+@query("route_shortest", f"""with recursive {REQUESTS_SQL}, {NET_SQL}, seed as (select distinct gate, 0::double as alpha from sg), {labels_sql('seed')}
+    select rq.q_id, round(min(l.best.len),6)+0 as length_m from rq left join sg on sg.school=rq.school left join lab l on l.gate=sg.gate and l.node=rq.src group by rq.q_id""")
 def route_shortest(t):
     req = request_frame(t)
     edges = walk_graph(t)
@@ -271,7 +319,10 @@ def route_shortest(t):
     return req.select("q_id").join(best, "q_id", "left").select("q_id", r_to("m").alias("length_m"))
 
 
-@query("route_alpha")
+@query("route_alpha", f"""with recursive {REQUESTS_SQL}, {NET_SQL}, seed as (select distinct sg.gate, rq.alpha from rq join sg on sg.school=rq.school), {labels_sql('seed')},
+    k as (select rq.q_id, sg.gate, l.best.len as len, row_number() over (partition by rq.q_id order by l.best.len, sg.gate) as rn
+      from rq join sg on sg.school=rq.school join lab l on l.gate=sg.gate and l.alpha=rq.alpha and l.node=rq.src)
+    select q_id, gate, round(len,6)+0 as length_m from k where rn=1""")
 def route_alpha(t):
     req = request_frame(t)
     edges = G.both_directions(walk_graph(t))

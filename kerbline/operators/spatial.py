@@ -132,9 +132,9 @@ def nearest_within(
 
 def nearest(
     points: DataFrame, segments: DataFrame, point_id: str, line_id: str, start_radius: float, x: str = "x", y: str = "y",
-    carry: list[str] = (),
+    carry: list[str] = (), limit: float | None = None,
 ) -> DataFrame:
-    """Each point's nearest line at any distance (ties: smaller id).
+    """Each point's nearest line at any distance, or within ``limit`` (ties: smaller id).
 
     A match at distance d is final when d is within the searched radius, so points are searched at
     a doubling radius and only those still without a match go on. Dense places finish in the first
@@ -142,29 +142,36 @@ def nearest(
     """
     todo = points.select(point_id, x, y)
     done: list[DataFrame] = []
-    box = segments.agg(
-        F.min(F.least("x1", "x2")).alias("a"), F.max(F.greatest("x1", "x2")).alias("b"),
-        F.min(F.least("y1", "y2")).alias("c"), F.max(F.greatest("y1", "y2")).alias("d"),
-    ).first()
-    pbox = points.agg(F.min(x).alias("a"), F.max(x).alias("b"), F.min(y).alias("c"), F.max(y).alias("d")).first()
-    if box.a is None or pbox.a is None:
+    reach = limit if limit is not None else _reach(points, segments, x, y)
+    if reach is None:
         return nearest_within(points, segments, start_radius, point_id, line_id, x, y, carry)
-    reach = (max(box.b, pbox.b) - min(box.a, pbox.a)) + (max(box.d, pbox.d) - min(box.c, pbox.c))
     radius = float(start_radius)
     while True:
         found = nearest_within(todo, segments, radius, point_id, line_id, x, y, carry)
         merged = cut_lineage(todo.join(found, point_id, "left"))
         done.append(merged.filter(F.col("distance").isNotNull()))
         todo = merged.filter(F.col("distance").isNull()).select(point_id, x, y)
-        if radius > reach or todo.isEmpty():
+        if radius >= reach or todo.isEmpty():
             break
-        radius *= 2
+        radius = min(radius * 2, limit) if limit is not None else radius * 2
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
     return out.select(point_id, line_id, "distance", *carry)
 
 
+def _reach(points: DataFrame, segments: DataFrame, x: str, y: str) -> float | None:
+    """A distance that no point and line exceed; None when there are no points or no lines."""
+    box = segments.agg(
+        F.min(F.least("x1", "x2")).alias("a"), F.max(F.greatest("x1", "x2")).alias("b"),
+        F.min(F.least("y1", "y2")).alias("c"), F.max(F.greatest("y1", "y2")).alias("d"),
+    ).first()
+    pbox = points.agg(F.min(x).alias("a"), F.max(x).alias("b"), F.min(y).alias("c"), F.max(y).alias("d")).first()
+    if box.a is None or pbox.a is None:
+        return None
+    return (max(box.b, pbox.b) - min(box.a, pbox.a)) + (max(box.d, pbox.d) - min(box.c, pbox.c))
+
+
 def points_as_segments(df: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     """Points as zero-length segments, so point-to-point searches use the same joins."""
     return df.select("*", F.col(x).alias("x1"), F.col(y).alias("y1"), F.col(x).alias("x2"), F.col(y).alias("y2"))
