@@ -38,7 +38,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 KEPT_WORDS = 24_000_000  # bytes of encoded words and pieces kept by a worker; past that the store is emptied and filled anew
 KEPT_PIECES = 32_000_000
 ENTRY = 140  # bytes of a kept word besides its letters and tokens
-KEPT_ARCS = 500_000
+KEPT_ARCS = 240_000  # a table of half a million places
 START = -1
 
 
