@@ -217,7 +217,7 @@ def disclosures(df: DataFrame, text: str, found: DataFrame, min_joint: int = MIN
     held = found.filter(F.size("entities") > 0).select("id", "key", F.explode("entities").alias("entity"), F.array_distinct(F.col("terms.term")).alias("terms"))
     often = held.groupBy("entity").agg(F.count("*").alias("df_e")).filter(F.col("df_e") >= min_joint)
     beside = held.join(often.select("entity"), "entity", "left_semi").select("id", "key", "entity", F.explode("terms").alias("term"))
-    joint = materialise(beside.groupBy("entity", "term").agg(F.count("*").alias("joint")).filter(F.col("joint") >= min_joint), "joint")
+    joint = materialise(beside.groupBy("entity", "term").agg(F.count("*").alias("joint")).filter(F.col("joint") >= min_joint), "joint", "zstd")
     counted = count_terms(df, text, bit_table(joint.select("term")))
     n = found.count()
     ic = -F.log2(F.col("df_e") / F.lit(float(max(n, 1))))
@@ -242,7 +242,7 @@ def _joined(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterat
 
 def private_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_joint: int = MIN_JOINT, generalise: float = GENERALISE, remove: float = REMOVE, prior: int = PRIOR) -> DataFrame:
     """(id, key, base, spans) per row: base spans as an array, and all spans as text."""
-    found = materialise(find_base(df, doc_id, text), "found")
+    found = materialise(find_base(df, doc_id, text), "found", "zstd")
     beside, share = disclosures(df, text, found, min_joint, prior)
     telling = share.filter(F.col("share") >= generalise).select("entity", "term", (F.col("share") >= remove).alias("remove"))
     flagged = beside.join(telling, ["entity", "term"]).groupBy("id", "key", "term").agg(F.max("remove").alias("remove"))
