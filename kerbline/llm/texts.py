@@ -99,9 +99,12 @@ def with_columns(df: DataFrame, columns: dict[str, tuple[pa.DataType, DataType]]
     def run(batches):
         release_others(owner)
         for b in batches:
+            p = have = None
             for p in pieces(b, SLICE_BYTES):
                 have = {n: p.column(n) for n in p.schema.names} | {n: pa.array(v, columns[n][0]) for n, v in fill(p).items()}
                 yield pa.record_batch([have[n] for n in names], names=names)
+            del b, p, have
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
