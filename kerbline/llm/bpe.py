@@ -38,6 +38,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 KEPT_WORDS = 24_000_000  # bytes of encoded words and pieces kept by a worker; past that the store is emptied and filled anew
 KEPT_PIECES = 32_000_000
 ENTRY = 140  # bytes of a kept word besides its letters and tokens
+WALKED = 60_000  # letters of words walked side by side; the arrays of a walk take some hundred bytes for each
+SLICE = 500_000  # bytes of rows encoded together
 KEPT_ARCS = 240_000  # a table of half a million places
 START = -1
 
@@ -272,7 +274,7 @@ class Automaton:
         for w in new:
             group.append(w)
             size += len(w)
-            if size > 500_000:
+            if size > WALKED:
                 self._walk(group)
                 size, group = 0, []
         self._walk(group)
@@ -385,7 +387,7 @@ def encode(df: DataFrame, text: str, tokenizer: Source, into: str = "ids", back:
         ids = automaton.encode_all([t or "" for t in p.column(text).to_pylist()])
         return {into: ids} | ({back: list(map(automaton.decode, ids))} if back else {})
 
-    return with_columns(df, {into: (pa.binary(), BinaryType())} | ({back: (pa.string(), StringType())} if back else {}), fill)
+    return with_columns(df, {into: (pa.binary(), BinaryType())} | ({back: (pa.string(), StringType())} if back else {}), fill, SLICE)
 
 
 def decode(df: DataFrame, ids: str, tokenizer: Source, into: str = "decoded") -> DataFrame:

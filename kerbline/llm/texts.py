@@ -85,8 +85,8 @@ def released(owner: str, run):
     return task
 
 
-def with_columns(df: DataFrame, columns: dict[str, tuple[pa.DataType, DataType]], fill) -> DataFrame:
-    """``df`` with columns that ``fill`` computes from slices of its record batches; no shuffle.
+def with_columns(df: DataFrame, columns: dict[str, tuple[pa.DataType, DataType]], fill, most: int = SLICE_BYTES) -> DataFrame:
+    """``df`` with columns that ``fill`` computes from slices of its record batches, each of about ``most`` bytes; no shuffle.
 
     ``fill``: record batch -> lists of values by column. Rows pass through Arrow as they are; neither side
     holds more than a batch of them.
@@ -100,7 +100,7 @@ def with_columns(df: DataFrame, columns: dict[str, tuple[pa.DataType, DataType]]
         release_others(owner)
         for b in batches:
             p = have = None
-            for p in pieces(b, SLICE_BYTES):
+            for p in pieces(b, most):
                 have = {n: p.column(n) for n in p.schema.names} | {n: pa.array(v, columns[n][0]) for n, v in fill(p).items()}
                 yield pa.record_batch([have[n] for n in names], names=names)
             del b, p, have
