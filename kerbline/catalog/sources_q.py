@@ -58,17 +58,43 @@ def csv_chunked(t):
 
 @query("src_multi_file_union", "select case when s_suppkey%3=0 then 'east' when s_suppkey%3=1 then 'north' else 'west' end as district, count(*) as n from supplier group by 1")
 def multi_file_union(t):
-    """Files per district, one of them without the needed columns (quarantined by the null key)."""
-    path = folder(t, "districts")
+    """Files per district, one of them without the needed columns, which goes to the quarantine."""
+    path, columns = folder(t, "districts"), ["s_suppkey", "name"]
     n = t.sql(NAMED).withColumn("d", F.when(F.expr("s_suppkey%3=0"), "east").when(F.expr("s_suppkey%3=1"), "north").otherwise("west"))
     for d in ("east", "north", "west"):
-        n.filter(F.col("d") == d).select("s_suppkey", "name").coalesce(1).write.csv(f"{path}/gates_{d}", header=True)
+        n.filter(F.col("d") == d).select(*columns).coalesce(1).write.csv(f"{path}/gates_{d}", header=True)
     n.filter("s_suppkey<5").select("s_acctbal").coalesce(1).write.csv(f"{path}/gates_broken", header=True)
-    df = D.read_any_csv(t.spark, path + "/gates_*/*.csv", ["s_suppkey", "name"])
-    files = t.spark.read.format("binaryFile").load(path + "/gates_*/*.csv").select(
-        F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"), F.regexp_extract("path", r"gates_([a-z]+)/", 1).alias("district"))
-    good = df.filter(F.col("s_suppkey").isNotNull()).join(files, "file_name")
-    return good.groupBy("district").agg(F.count("*").alias("n"))
+    good = D.good_rows(D.scan_any_csv(t.spark, path + "/gates_*/*.csv", columns, columns), columns)
+    return good.groupBy(F.regexp_extract("path", r"gates_([a-z]+)/", 1).alias("district")).agg(F.count("*").alias("n"))
+
+
+QUOTED = f"select s_suppkey, concat({SYL},{SYL2},', \"',cast(s_suppkey as string),'\"',chr(10),'초') as name from supplier"
+
+
+@query("src_csv_quoted", QUOTED)
+def csv_quoted(t):
+    """Cells with separators, quotes and line breaks, in commas and in tabs."""
+    path = folder(t, "quoted")
+    n = t.sql(QUOTED)
+    n.filter("s_suppkey%2=0").write.mode("append").csv(path, header=True, escape='"')
+    n.filter("s_suppkey%2=1").write.mode("append").csv(path, header=True, escape='"', sep="\t")
+    df = D.read_any_csv(t.spark, path + "/*.csv", ["name", "s_suppkey"])
+    return df.select(F.col("s_suppkey").cast("bigint").alias("s_suppkey"), "name")
+
+
+@query("src_csv_quarantine", """with b as (select s_suppkey, floor(s_suppkey/20.0) as file from supplier)
+    select 'read' as reason, count(*) as n from b where file%3<>2 and s_suppkey%10<>0
+    union all select 'more cells than columns', count(*) from b where file%3<>2 and s_suppkey%10=0
+    union all select 'column missing: name', count(distinct file) from b where file%3=2""")
+def csv_quarantine(t):
+    """Files of twenty suppliers; every third lacks a column, and every tenth row has a cell too many."""
+    path, columns = folder(t, "quarantine"), ["s_suppkey", "name"]
+    line = F.expr("concat(s_suppkey, ',', name, if(s_suppkey%10=0, ',x', ''))")
+    files = t.sql(NAMED).groupBy(F.expr("cast(floor(s_suppkey/20.0) as int)").alias("file")).agg(F.array_join(F.collect_list(line), "\n").alias("body"))
+    text = F.concat(F.when(F.expr("file%3=2"), "s_suppkey,title\n").otherwise("s_suppkey,name\n"), "body")
+    files.select("file", text.alias("value")).write.partitionBy("file").text(path)
+    scanned = D.scan_any_csv(t.spark, path + "/*/*.txt", columns, columns)
+    return scanned.groupBy(F.coalesce("reason", F.lit("read")).alias("reason")).agg(F.count("*").alias("n"))
 
 
 ACC_STRUCT = "struct<acdnt_no:bigint,x_crdnt:double,y_crdnt:double>"

@@ -220,13 +220,26 @@ def walk_reclassify(t):
     return W.case_changes(before, after).select("basis", "n_before", "n_after")
 
 
-@query("walk_validation_report", f"""with {FULL_SQL} select 'totals' as "check", i as item, v as value from (select unnest(['rows','unclassified','score_missing','score_out_of_range','short_links','high_score']) as i,
-      unnest([count(*)::double, (count(*) filter (basis='unclassified'))::double, (count(*) filter (score is null))::double, (count(*) filter (score<0 or score>1))::double,
-        (count(*) filter (length_m<3))::double, (count(*) filter (score>=0.8::double))::double]) as v from scored)
-    union all select 'cases', basis, count(*)::double from scored group by basis
-    union all select 'mean_by_type', walking_type, round(avg(score),6)+0 from scored group by walking_type""")
+REPORT_RULES = {
+    ("totals", "rows"): "true", ("totals", "unclassified"): "basis='unclassified'", ("totals", "score_missing"): "score is null",
+    ("totals", "score_out_of_range"): "score<0 or score>1", ("totals", "zero_score"): "score=0", ("totals", "high_score"): "score>=0.8::double",
+    ("totals", "top_risk"): "score>=0.95::double", ("totals", "demoted_crosswalks"): "crosswalk=1 and basis='case_C_no_nearby_road'",
+    ("totals", "short_links"): "length_m<5", ("totals", "short_shared"): "length_m<5 and basis='case_B_shared_road'",
+    ("facility_flags", "overpass"): "basis='special_safe_facility' and overpass=1", ("facility_flags", "park_green"): "basis='special_safe_facility' and park_green=1",
+}
+COUNTED = "\n    union all ".join(f"select '{c}' as \"check\", '{i}' as item, (count(*) filter ({rule}))::double as value from flagged" for (c, i), rule in REPORT_RULES.items())
+
+
+@query("walk_validation_report", f"""with {FULL_SQL}, flagged as (select s.*, w.crosswalk, w.overpass, w.park_green from scored s join ww w using (walk_edge_id))
+    {COUNTED}
+    union all select 'scores', 'mean', round(avg(score),6)+0 from flagged
+    union all select 'scores', i, round(v,6)+0 from (select unnest(['p25','median','p75','p95']) as i, unnest(quantile_cont(score, [0.25,0.5,0.75,0.95])) as v from flagged)
+    union all select 'cases', basis, count(*)::double from flagged group by basis
+    union all select 'shared_types', walking_type, count(*)::double from flagged where basis='case_B_shared_road' group by walking_type
+    union all select 'short_cases', basis, count(*)::double from flagged where length_m<5 group by basis
+    union all select 'mean_by_type', walking_type, round(avg(score),6)+0 from flagged group by walking_type""")
 def walk_validation_report(t):
-    return W.validation_report(cut_lineage(scored(t))).withColumn("value", r_to("value"))
+    return W.validation_report(cut_lineage(scored(t)), walk_input(t)).withColumn("value", r_to("value"))
 
 
 @query("walk_sensitivity")

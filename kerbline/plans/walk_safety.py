@@ -8,6 +8,7 @@ thresholds are columns, so many parameter sets are classified in the same job.
 from __future__ import annotations
 
 from dataclasses import asdict, dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -277,25 +278,46 @@ def case_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     )
 
 
-def validation_report(scored: DataFrame) -> DataFrame:
-    """Checks of a scored table as (check, item, value) rows."""
-    short = F.col("length_m") < 3
-    one = scored.agg(
-        F.count("*").alias("rows"), F.count_if(F.col("basis") == "unclassified").alias("unclassified"),
-        F.count_if(F.col("score").isNull()).alias("score_missing"),
-        F.count_if((F.col("score") < 0) | (F.col("score") > 1)).alias("score_out_of_range"),
-        F.count_if(short).alias("short_links"), F.count_if(F.col("score") >= 0.8).alias("high_score"),
-    )
-    totals = one.unpivot([], one.columns, "item", "value").select(
-        F.lit("totals").alias("check"), "item", F.col("value").cast("double").alias("value")
-    )
-    cases = scored.groupBy(F.col("basis").alias("item")).agg(F.count("*").cast("double").alias("value")).select(
-        F.lit("cases").alias("check"), "item", "value"
-    )
-    types = scored.groupBy(F.col("walking_type").alias("item")).agg(F.avg("score").alias("value")).select(
-        F.lit("mean_by_type").alias("check"), "item", "value"
-    )
-    return totals.unionByName(cases).unionByName(types)
+SHORT_M, TOP_RISK, HIGH_RISK = 5.0, 0.95, 0.8  # fixed values of the report
+FACILITY_FLAGS = ("overpass", "bridge", "tunnel", "building", "park_green")
+
+
+def validation_report(scored: DataFrame, walk: DataFrame) -> DataFrame:
+    """Checks of a table scored under one set of rules as (check, item, value) rows.
+
+    ``walk`` has the flags of the edges; of the facility flags those that it has are counted. Means and quantiles
+    leave out missing scores; without any score they are null.
+    """
+    from kerbline.operators.ranking import quantiles
+
+    flags = [c for c in FACILITY_FLAGS if c in walk.columns]
+    df = scored.join(walk.select("walk_edge_id", "crosswalk", *flags), "walk_edge_id")
+    basis, score = F.col("basis"), F.col("score")
+    short, shared = F.col("length_m") < SHORT_M, basis == "case_B_shared_road"
+    checks = {
+        "totals": {
+            "rows": F.lit(True), "unclassified": basis == "unclassified", "score_missing": score.isNull(),
+            "score_out_of_range": (score < 0) | (score > 1), "zero_score": score == 0, "high_score": score >= HIGH_RISK, "top_risk": score >= TOP_RISK,
+            "demoted_crosswalks": (F.col("crosswalk") == 1) & (basis == "case_C_no_nearby_road"), "short_links": short, "short_shared": short & shared},
+        "facility_flags": {c: (basis == "special_safe_facility") & (F.col(c) == 1) for c in flags},
+    }
+    named = {f"{check}:{item}": F.count_if(rule).cast("double") for check, rules in checks.items() for item, rule in rules.items()}
+    one = df.agg(*[value.alias(name) for name, value in named.items()], F.avg(score).alias("scores:mean"))
+    spread = quantiles(df.filter(score.isNotNull()), "score", [0.25, 0.5, 0.75, 0.95], [f"scores:{q}" for q in ("p25", "median", "p75", "p95")])
+
+    def long(wide: DataFrame) -> DataFrame:
+        at = F.split("name", ":")
+        return wide.unpivot([], wide.columns, "name", "value").select(at[0].alias("check"), at[1].alias("item"), "value")
+
+    def by(check: str, item: str, rows: Column, value: Column) -> DataFrame:
+        return df.filter(rows).groupBy(F.col(item).alias("item")).agg(value.alias("value")).select(F.lit(check).alias("check"), "item", "value")
+
+    count = F.count("*").cast("double")
+    parts = [
+        long(one), long(spread), by("cases", "basis", F.lit(True), count), by("shared_types", "walking_type", shared, count),
+        by("short_cases", "basis", short, count), by("mean_by_type", "walking_type", F.lit(True), F.avg(score)),
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def scenario_summary(scored: DataFrame) -> DataFrame:

@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import re
+import sys
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from kerbline.functions.text import clean, fix_mojibake, to_number, zone_layer
 
 # Encodings in the order they are tried.
 ENCODINGS = ("utf-8-sig", "utf-8", "cp949", "euc-kr")
-LINES = StructType([StructField("path", StringType()), StructField("sep", StringType()), StructField("header", StringType()), StructField("line", StringType())])
+ROWS = StructType([
+    StructField("path", StringType()), StructField("line", LongType()), StructField("cells", ArrayType(StringType())), StructField("reason", StringType())])
+PART = 20_000  # rows handed over together
 
 
 def decode_bytes(raw: bytes) -> str:
@@ -24,35 +31,73 @@ def decode_bytes(raw: bytes) -> str:
     raise ValueError("no known encoding fits")
 
 
-def read_any_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """CSV or TSV files of mixed encodings as text columns plus ``file_name``.
+def parse_file(raw: bytes, columns: list[str], required: list[str]):
+    """(line, cells of ``columns``, reason) of a file's rows; a reason says why the row, or with line 0 the file, is rejected.
 
-    One task decodes one file (encodings cannot be told apart from the middle of a file); the
-    separator is taken from the header line. Large single-encoding files go through
-    ``read_csv_encoded``, which splits.
+    Quoted cells may hold the separator, doubled quotes and line breaks. The header decides on the separator: a tab if
+    it has one, else a comma. Lines count from 1, the header included. A row with fewer cells than the header ends in nulls.
+    """
+    try:
+        text = decode_bytes(raw)
+    except ValueError as problem:
+        yield 0, None, str(problem)
+        return
+    first = re.split("\r\n|\r|\n", text, maxsplit=1)[0]
+    csv.field_size_limit(sys.maxsize)
+    reader = csv.reader(io.StringIO(text, newline=""), delimiter="\t" if "\t" in first else ",")
+    header = [c.strip() for c in next(reader, [])]
+    if lacking := [c for c in required if c not in header]:
+        yield 0, None, "column missing: " + ", ".join(lacking)
+        return
+    at = [header.index(c) if c in header else None for c in columns]
+    line = reader.line_num + 1
+    for row in reader:
+        if len(row) > len(header):
+            yield line, row, "more cells than columns"
+        elif len(row) > 1 or row and row[0].strip():
+            yield line, [row[i] if i is not None and i < len(row) else None for i in at], None
+        line = reader.line_num + 1
+
+
+def scan_any_csv(spark: SparkSession, path: str, columns: list[str], required: list[str]) -> DataFrame:
+    """Rows of CSV or TSV files of mixed encodings and dialects: path, line, cells and, for what is rejected, the reason.
+
+    One task decodes one file (encodings cannot be told apart from the middle of a file). Large files of one
+    encoding go through ``read_csv_encoded``, which splits.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
-    def lines(batches):
+    def parsed(batches):
         for pdf in batches:
-            for name, raw in zip(pdf["path"], pdf["content"]):
-                rows = decode_bytes(bytes(raw)).splitlines()
-                if not rows:
-                    continue
-                sep = "\t" if rows[0].count("\t") > rows[0].count(",") else ","
-                body = [r for r in rows[1:] if r.strip()]
-                for i in range(0, len(body), 20000):
-                    part = body[i : i + 20000]
-                    yield pd.DataFrame({"path": name, "sep": sep, "header": rows[0], "line": part})
-
-    raw = files.mapInPandas(lines, LINES)
-    head = F.transform(F.split("header", F.col("sep")), lambda h: F.trim(h))
-    cells = raw.withColumn("_h", head).withColumn("_c", F.split("line", F.col("sep")))
-    at = lambda name: F.array_position("_h", F.lit(name)).cast("int")
-    return cells.select(
-        F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"),
-        *[F.when(at(c) > 0, F.try_element_at("_c", at(c))).alias(c) for c in columns],
-    )
+            for name, raw in zip(pdf["path"], pdf["content"], strict=True):
+                part = []
+                for row in parse_file(bytes(raw), columns, required):
+                    part.append((name, *row))
+                    if len(part) == PART:
+                        yield pd.DataFrame(part, columns=ROWS.names)
+                        part = []
+                yield pd.DataFrame(part, columns=ROWS.names)
+
+    return files.mapInPandas(parsed, ROWS)
+
+
+def good_rows(scanned: DataFrame, columns: list[str]) -> DataFrame:
+    """What is not rejected, as text columns plus ``file_name`` and ``path``."""
+    return scanned.filter(F.col("reason").isNull()).select(
+        F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"), "path", *[F.col("cells")[i].alias(c) for i, c in enumerate(columns)])
+
+
+def rejects(scanned: DataFrame) -> DataFrame:
+    """The quarantine table: rejected files (line 0) and rows, with their cells and the reason."""
+    return scanned.filter(F.col("reason").isNotNull()).select("path", "line", "cells", "reason")
+
+
+def read_any_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """CSV or TSV files of mixed encodings as text columns plus ``file_name``; a column that a file lacks is null.
+
+    Rows and files that cannot be read are left out; ``scan_any_csv`` with ``rejects`` lists them.
+    """
+    return good_rows(scan_any_csv(spark, path, columns, []), columns).drop("path")
 
 
 def read_csv_encoded(spark: SparkSession, path: str, schema: str, encoding: str = "UTF-8", sep: str = ",") -> DataFrame:
