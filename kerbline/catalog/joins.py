@@ -63,8 +63,8 @@ def positional(t):
     return a.select("s_suppkey", "ord").join(b.select("zone_id", "ord"), "ord").select("s_suppkey", "zone_id")
 
 
-FUZZY_SCHOOLS = f"select s_suppkey as school, concat({SYL},{SYL2},'초') as short from supplier where s_suppkey%2=0"
-FUZZY_LAYERS = f"select s_suppkey as layer, case s_suppkey%3 when 0 then concat({SYL},{SYL2},'초') when 1 then concat('신',{SYL},{SYL2},'초') else concat({SYL2},'초') end as short from supplier where s_suppkey%5=0"
+FUZZY_SCHOOLS = f"select s_suppkey as school, concat({SYL},{SYL2},'초') as short from supplier"
+FUZZY_LAYERS = f"select s_suppkey as layer, case s_suppkey%3 when 0 then concat({SYL},{SYL2},'초') when 1 then concat('신',{SYL},{SYL2},'초') else concat({SYL2},'초') end as short from supplier"
 
 
 @query("join_name_fuzzy", f"""with s as ({FUZZY_SCHOOLS}), l as ({FUZZY_LAYERS}),
