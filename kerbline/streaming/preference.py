@@ -7,13 +7,14 @@ composed in parallel, and no task ever walks a whole conversation.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import product
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from kerbline.plans.routing import CAP_LADDER
 
@@ -103,26 +104,99 @@ def fold(df: DataFrame, key: str, order: str, text: str, rules: dict[str, str],
     )
 
 
-OUT = StructType([
-    StructField("key", LongType()), StructField("turn", LongType()), StructField("axis", StringType()), StructField("cap", DoubleType()),
-    StructField("override", DoubleType()),
-])
-LATCH = StructType([StructField("index", LongType())])
+# Codes of events beyond the 16 combinations of rules.
+RESET, PASS, BASELINE = 16, 17, 32
+_STEPS = np.array([*TRANSITIONS, *[list(range(len(STATES)))] * 2], np.uint8)
+SLICE = 1 << 16
 
+OUT = "key bigint, turn bigint, axis string, cap double, override double"
+LATCH = "turn bigint, at int, base int, early binary"
+TURN = np.dtype([("turn", "<i8"), ("code", "<i4")])
 
-def stream_preferences(events: DataFrame, key: str, order: str, text: str, rules: dict[str, str], start: tuple = ("max", 0.5, None)) -> DataFrame:
-    """The same latch on a stream, one small integer of state per conversation, in order of arrival."""
+
+def trace(codes: np.ndarray, at: int, base: int) -> tuple[np.ndarray, int]:
+    """States after events in order, and the baseline after them.
+
+    Events are maps from state to state; their prefixes are composed by doubling.
+    """
+    out = np.empty(len(codes), np.int64)
+    for lo in range(0, len(codes), SLICE):
+        part = codes[lo:lo + SLICE]
+        set_at = np.maximum.accumulate(np.where(part >= BASELINE, np.arange(len(part)), -1))
+        bases = np.where(set_at >= 0, part[set_at] - BASELINE, base)
+        maps = _STEPS[np.minimum(part, PASS)]
+        fixed = (part == RESET) | (part >= BASELINE)
+        maps[fixed] = bases[fixed, None]
+        shift = 1
+        while shift < len(maps):
+            maps[shift:] = np.take_along_axis(maps[shift:], maps[:-shift].astype(np.intp), axis=1)
+            shift *= 2
+        out[lo:lo + SLICE] = maps[:, at]
+        at, base = int(out[lo + len(part) - 1]), int(bases[-1])
+    return out, base
+
+
+def event_code(event: Column, text: Column, rules: dict[str, str], axis: Column, cap: Column) -> Column:
+    """Code of an event: ``baseline`` with axis and cap, ``reset``, ``pass``, or else an utterance."""
+    base = F.coalesce(*[F.when((axis == a) & (cap == c), F.lit(BASELINE + STATES.index((a, c, None)))) for a, c in product(("min", "max"), CAP_LADDER)])
+    return F.when(event == "baseline", F.coalesce(base, F.lit(PASS))).when(event == "reset", RESET).when(event == "pass", PASS).otherwise(rule_code(text, rules)).cast("int")
+
+
+_COLUMNS = {
+    "axis": np.array([a for a, _, _ in STATES], object), "cap": np.array([c for _, c, _ in STATES], float),
+    "override": np.array([np.nan if o is None else o for _, _, o in STATES], float)}
+
+
+def latch(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState, begin: int, patience_ms: int, ttl_ms: int) -> Iterator[pd.DataFrame]:
+    """One conversation in one batch: turns whose predecessors are all known are answered, those that come early wait, packed.
+
+    A timer that comes while turns wait ends the patience with gaps; one that comes when none waits ends the conversation.
+    """
+    due, at, base, early = state.get if state.exists else (0, begin, begin, b"")
+    turns = np.frombuffer(early, TURN)
+    if state.hasTimedOut:
+        if not len(turns):
+            state.remove()
+            return
+    else:
+        parts = [turns]
+        for df in pdfs:
+            new = np.zeros(len(df), TURN)
+            for name in TURN.names:
+                new[name] = df[name].to_numpy()
+            parts.append(new)
+        turns = np.concatenate(parts)
+        _, first = np.unique(turns["turn"], return_index=True)
+        turns = turns[first]
+        turns = turns[turns["turn"] >= due]
+    n = len(turns) if state.hasTimedOut else int((turns["turn"] == due + np.arange(len(turns))).cumprod().sum())
+    ready, rest = turns[:n], turns[n:]
+    if n:
+        states, base = trace(ready["code"], int(at), int(base))
+        due, at = int(ready["turn"][-1]) + 1, int(states[-1])
+        said = ready["code"] != PASS
+        yield pd.DataFrame({"key": key[0], "turn": ready["turn"][said], **{c: v[states[said]] for c, v in _COLUMNS.items()}})
+    state.update((int(due), int(at), int(base), rest.tobytes()))
+    state.setTimeoutDuration(patience_ms if len(rest) else ttl_ms)
+
+
+def stream_preferences(
+    events: DataFrame, key: str, order: str, code: Column, start: tuple = ("max", 0.5, None), patience: str = "1 minute", ttl: str = "7 days",
+) -> DataFrame:
+    """The same latch on a stream of events with the codes of ``event_code``: key, turn, axis, cap, override.
+
+    ``order`` numbers all events of a conversation from 0 without gaps, ``pass`` events (no row) included. Turns may
+    arrive in any order: one that comes early waits for those before it. When a turn has waited for ``patience`` (time
+    of processing), all that wait go on in order; turns that come after that, and repeats of a turn, give no row.
+    ``reset`` returns to the baseline, which is ``start`` until a ``baseline`` event states another. A
+    conversation without an event for ``ttl`` is forgotten. Rows without key or turn are left out.
+    A run that is to end with its input (``availableNow``) needs ``spark.sql.streaming.noDataMicroBatches.enabled=false``.
+    """
+    patience_ms, ttl_ms = (int(pd.Timedelta(x).total_seconds() * 1000) for x in (patience, ttl))
     begin = STATES.index(start)
+    coded = events.select(F.col(key).cast("bigint").alias("key"), F.col(order).cast("bigint").alias("turn"), code.alias("code")).dropna()
+
+    def update(group, pdfs, state):
+        return latch(group, pdfs, state, begin, patience_ms, ttl_ms)
 
-    def update(group, pdfs, state: GroupState):
-        at = state.get[0] if state.exists else begin
-        rows = []
-        for pdf in pdfs:
-            for turn, code in sorted(zip(pdf["turn"], pdf["code"])):
-                at = TRANSITIONS[int(code)][at]
-                rows.append((group[0], turn, *STATES[at]))
-        state.update((at,))
-        yield pd.DataFrame(rows, columns=["key", "turn", "axis", "cap", "override"]).astype({"cap": float, "override": float})
-
-    coded = events.select(F.col(key).cast("bigint").alias("key"), F.col(order).cast("bigint").alias("turn"), rule_code(text, rules).alias("code"))
-    return coded.groupBy("key").applyInPandasWithState(update, OUT, LATCH, "append", GroupStateTimeout.NoTimeout)
+    return coded.groupBy("key").applyInPandasWithState(update, OUT, LATCH, "append", GroupStateTimeout.ProcessingTimeTimeout)

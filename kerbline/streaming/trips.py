@@ -1,62 +1,118 @@
-"""Following a walk along its planned waypoints, fix by fix."""
+"""Following walks along their planned waypoints, in the order in which the fixes were taken."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
 # Limits in metres, walking speed in metres per minute.
 OFF_ROUTE_M, ARRIVED_M, SPEED = 80.0, 20.0, 67.0
+BLOCK = 1 << 20  # distances between fixes and waypoints held at once
+
+OUT = "trip bigint, seq bigint, waypoint bigint, off_route boolean, remaining_m double, minutes double, arrived boolean"
+STATE = "xs binary, ys binary, waypoint bigint, arrived boolean, last_ms bigint, waiting binary"
+NAMES = ["trip", "seq", "waypoint", "off_route", "remaining_m", "minutes", "arrived"]
+FIX = np.dtype([("us", "<i8"), ("seq", "<i8"), ("x", "<f8"), ("y", "<f8")])
+
 
-OUT = StructType([
-    StructField("trip", LongType()), StructField("seq", LongType()), StructField("waypoint", LongType()), StructField("off_route", BooleanType()),
-    StructField("remaining_m", DoubleType()), StructField("minutes", DoubleType()), StructField("arrived", BooleanType()),
-])
-STATE = StructType([StructField("waypoint", LongType()), StructField("arrived", BooleanType())])
+def follow(way: np.ndarray, at: int, arrived: bool, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    """Fixes in order of time: the nearest waypoint not yet passed; a fix off the route does not advance.
+
+    Loops over the advances of a trip, never over its fixes.
+    """
+    w = np.arange(len(way))
+    legs = np.sqrt((np.diff(way, axis=0) ** 2).sum(axis=1))
+    ahead = np.r_[np.cumsum(legs[::-1])[::-1], 0.0]
+    place, off, left = np.empty(len(x), np.int64), np.empty(len(x), bool), np.empty(len(x))
+    step = max(1, BLOCK // len(way))
+    for lo in range(0, len(x), step):
+        part = slice(lo, lo + step)
+        gap = np.sqrt((x[part, None] - way[:, 0]) ** 2 + (y[part, None] - way[:, 1]) ** 2)
+        least = np.minimum.accumulate(gap[:, ::-1], axis=1)[:, ::-1]  # over this waypoint and those after it
+        nearest = np.minimum.accumulate(np.where(gap == least, w, len(way))[:, ::-1], axis=1)[:, ::-1]
+        goes = np.where(least > OFF_ROUTE_M, w, nearest)
+        here, before, i = np.empty(len(gap), np.int64), np.empty(len(gap), np.int64), 0
+        while i < len(gap):
+            moves = goes[i:, at] != at
+            k = i + int(moves.argmax()) if moves.any() else len(gap)
+            here[i:k] = before[i:k + 1] = at
+            if k < len(gap):
+                here[k] = at = int(goes[k, at])
+            i = k + 1
+        rows = np.arange(len(gap))
+        place[part], off[part], left[part] = here, least[rows, before] > OFF_ROUTE_M, gap[rows, here] + ahead[here]
+    ends = np.sqrt((x - way[-1, 0]) ** 2 + (y - way[-1, 1]) ** 2) < ARRIVED_M
+    return {
+        "waypoint": place, "off_route": off, "remaining_m": left, "minutes": np.maximum(1.0, np.floor(left / SPEED + 0.5)),
+        "arrived": np.logical_or.accumulate(ends) | arrived}
 
 
-def advance(way: np.ndarray, at: int, arrived: bool, x: float, y: float) -> tuple:
-    """One fix: the nearest waypoint not yet passed; a fix off the route does not advance."""
-    gap = np.hypot(way[at:, 0] - x, way[at:, 1] - y)
-    off = bool(gap.min() > OFF_ROUTE_M)
-    if not off:
-        at += int(gap.argmin())
-    legs = np.hypot(*np.diff(way[at:], axis=0).T).sum() if at < len(way) - 1 else 0.0
-    left = float(np.hypot(way[at, 0] - x, way[at, 1] - y) + legs)
-    arrived = arrived or bool(np.hypot(way[-1, 0] - x, way[-1, 1] - y) < ARRIVED_M)
-    return at, arrived, off, left, max(1.0, float(np.floor(left / SPEED + 0.5)))
+def _coming(pdfs: Iterator[pd.DataFrame], route: tuple[bytes, bytes], last: int) -> tuple[list[np.ndarray], tuple[bytes, bytes], int]:
+    """Fixes of all chunks, the route (the earliest stated one, if none is known), and the latest time."""
+    parts, stated = [], None
+    for df in pdfs:
+        us = df["us"].to_numpy(np.int64)
+        ways = df["way"][df["way"].map(lambda w: w is not None and len(w) > 0)]
+        if len(ways):
+            at = df["us"][ways.index].idxmin()
+            if stated is None or df["us"][at] < stated[0]:
+                stated = df["us"][at], ways[at]
+        taken = (df["seq"].notna() & df["x"].notna() & df["y"].notna()).to_numpy()
+        fixes = np.zeros(int(taken.sum()), FIX)
+        for name in FIX.names:
+            fixes[name] = df[name].to_numpy()[taken]
+        parts.append(fixes)
+        last = max(last, int(us.max()) // 1000)
+    if stated is not None and not route[0]:
+        route = tuple(np.array([p[c] for p in stated[1]], "<f8").tobytes() for c in ("x", "y"))
+    return parts, route, last
 
 
-def monitor(fixes: DataFrame, idle: str = "1 hour") -> DataFrame:
+def monitor_trip(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState, idle_ms: int) -> Iterator[pd.DataFrame]:
+    """One trip in one batch, with new rows or when its timer has come: fixes that the watermark has passed are followed."""
+    *route, at, arrived, last, waiting = state.get if state.exists else (b"", b"", 0, False, 0, b"")
+    parts, route, last = _coming(pdfs if not state.hasTimedOut else iter([]), tuple(route), last)
+    fixes = np.concatenate([np.frombuffer(waiting, FIX), *parts])
+    now = state.getCurrentWatermarkMs()
+    if route[0]:
+        due = fixes["us"] // 1000 < now
+        ready, fixes = np.sort(fixes[due], order=["us", "seq"]), fixes[~due]
+        if len(ready):
+            out = follow(np.column_stack([np.frombuffer(b, "<f8") for b in route]), int(at), bool(arrived), ready["x"], ready["y"])
+            at, arrived = int(out["waypoint"][-1]), bool(out["arrived"][-1])
+            yield pd.DataFrame({"trip": key[0], "seq": ready["seq"], **out})[NAMES]
+    if last + idle_ms < now:
+        if state.exists:
+            state.remove()
+        return
+    state.update((*route, int(at), bool(arrived), int(last), fixes.tobytes()))
+    ends = last + idle_ms
+    state.setTimeoutTimestamp(max(min(int(fixes["us"].min()) // 1000, ends) if len(fixes) and route[0] else ends, now + 1))
+
+
+def monitor(fixes: DataFrame, delay: str = "10 minutes", idle: str = "1 hour") -> DataFrame:
     """Position of every fix on its trip, remaining way and arrival (which stays set).
 
-    ``fixes`` (streaming): trip, seq, ts, x, y and way: array<struct<x,y>>, the planned waypoints.
-    State is one index and one flag per trip; trips silent beyond the watermark are dropped.
+    ``fixes`` (streaming): trip, seq, ts, x, y and way: array<struct<x,y>>. A trip's route is stated once, in a row of
+    its own (seq null) or with a fix; ``way`` is null elsewhere. A fix is answered when the watermark, ``delay`` behind
+    the latest time seen, has passed it, so fixes may arrive in any order within ``delay`` and are followed by ts
+    and seq; later ones are dropped by Spark. Fixes without time or coordinates, and those of trips without a route or with an
+    empty one, give no rows. A trip that stays silent for ``idle`` is forgotten: a fix after that needs its route again.
+
+    State of a trip: its route, the waypoint reached, the arrival, and the fixes whose turn has not come, packed.
     """
     idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+    timed = fixes.filter(F.col("ts").isNotNull() & F.col("trip").isNotNull()).withColumn("us", F.unix_micros("ts")).withWatermark("ts", delay)
+    place = [F.when(F.col("seq").isNotNull(), F.col(c).cast("double")).alias(c) for c in ("x", "y")]
+    # pandas holds whole numbers beside nulls as floats, which would round large numbers.
+    rows = timed.select("trip", F.coalesce(F.col("seq").cast("bigint"), F.lit(0)).alias("seq"), "ts", "us", *place, "way")
 
-    def update(key, pdfs, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        at, arrived = state.get if state.exists else (0, False)
-        rows, last = [], None
-        for pdf in pdfs:
-            pdf = pdf.sort_values(["ts", "seq"])
-            for r in pdf.itertuples(index=False):
-                way = np.array([(p["x"], p["y"]) for p in r.way], dtype=float)
-                at, arrived, off, left, minutes = advance(way, int(at), bool(arrived), r.x, r.y)
-                rows.append((key[0], r.seq, at, off, left, minutes, arrived))
-                last = r.ts if last is None else max(last, r.ts)
-        state.update((at, arrived))
-        deadline = int(last.timestamp() * 1000) + idle_ms
-        if deadline > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(deadline)
-        yield pd.DataFrame(rows, columns=[f.name for f in OUT])
-
-    stream = fixes.withWatermark("ts", idle)
-    return stream.groupBy("trip").applyInPandasWithState(update, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    def update(key, pdfs, state):
+        return monitor_trip(key, pdfs, state, idle_ms)
+
+    return rows.groupBy("trip").applyInPandasWithState(update, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)

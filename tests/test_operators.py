@@ -120,12 +120,14 @@ def test_preference_fold_over_many_blocks(spark, monkeypatch):
 
 def test_trip_rules():
     way = np.array([(0, 0), (100, 0), (200, 0)], dtype=float)
-    at, arrived, off, left, minutes = T.advance(way, 0, False, 95.0, 3.0)
+    go = lambda at, arrived, x, y: [v[0] for v in T.follow(way, at, arrived, np.array([x]), np.array([y])).values()]
+    at, off, left, _, arrived = go(0, False, 95.0, 3.0)
     assert (at, arrived, off) == (1, False, False) and left == pytest.approx(np.hypot(5, 3) + 100)
-    assert T.advance(way, 1, False, 100.0, 300.0)[:3] == (1, False, True)
-    at, arrived, *_ = T.advance(way, 1, False, 195.0, 0.0)
+    at, off, _, _, arrived = go(1, False, 100.0, 300.0)
+    assert (at, arrived, off) == (1, False, True)
+    at, _, _, _, arrived = go(1, False, 195.0, 0.0)
     assert (at, arrived) == (2, True)
-    assert T.advance(way, 2, True, 0.0, 0.0)[1] is True
+    assert go(2, True, 0.0, 0.0)[-1]
 
 
 def test_published_group_weight():
