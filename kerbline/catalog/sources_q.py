@@ -10,14 +10,14 @@ from kerbline.catalog.registry import query
 from kerbline.functions.geometry import r_to
 from kerbline.operators import spatial as S
 from kerbline.operators.frames import valid_coords
-from kerbline.session import shared_dir
+from kerbline.session import run_dir
 from kerbline.sources import delimited as D
 from kerbline.sources import layers as L
 from kerbline.sources import records as J
 
 
 def folder(t, name: str) -> str:
-    return f"{shared_dir(t.spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{run_dir(t.spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 NAMED = f"select s_suppkey, concat({SYL},{SYL2},'초') as name, s_acctbal from supplier"
@@ -154,6 +154,18 @@ def sink_geojson(t):
     return part_lines(t).select("line_id", J.to_feature(J.line_geometry("geom"), ["line_id"], "line_id").alias("feature"))
 
 
+@query("sink_geojson_collection", """select line_id, count(*) as points, max(x) filter (seq=0) as x0, max(y) filter (seq=4) as y4, (select count(*) from d_facilities) as stated
+    from d_vertices group by 1""")
+def sink_geojson_collection(t):
+    """Lines written as FeatureCollection files and read back, beside the number of features that the files state."""
+    path = folder(t, "lines")
+    J.write_collections(part_lines(t).select(J.to_feature(J.line_geometry("geom"), ["line_id"], "line_id").alias("value")), path, {"layer": "lines"}, files=4)
+    at = lambda i, c: F.get(F.get("geometry.coordinates", F.lit(i)), F.lit(c))
+    lines = J.read_feature_collection(t.spark, path, "line_id:bigint").select(
+        "properties.line_id", F.size("geometry.coordinates").cast("bigint").alias("points"), at(0, 0).alias("x0"), at(4, 1).alias("y4"))
+    return lines.withColumn("stated", J.read_collection_counts(t.spark, path).agg(F.sum("features")).scalar())
+
+
 @query("merge_geojson", "select fid as id, category as kind from d_facilities union all select zone_id, school_name from d_zones")
 def merge_geojson(t):
     a, b = folder(t, "a"), folder(t, "b")

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +68,35 @@ def write_features(features: DataFrame, path: str) -> None:
     features.select("value").write.mode("overwrite").text(path)
 
 
+def write_collections(features: DataFrame, path: str, metadata: dict | None = None, files: int | None = None) -> None:
+    """One FeatureCollection document per file, one file per partition (``files`` of them if stated).
+
+    ``features`` has Feature texts in ``value``; nulls are left out. Every document ends with ``metadata``: what is
+    given, and ``feature_count``, the number of its features. Documents are streamed line by line, so no task holds one,
+    and files come into being by Spark's own commit of tasks: a task that fails or runs twice leaves one copy.
+    The first partition always makes a document, so an empty table gives one without features.
+    """
+    fixed = dict(metadata or {})
+
+    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead, n = '{"type":"FeatureCollection","features":[', 0
+        for b in batches:
+            texts = b.column(0).drop_null()
+            if len(texts):
+                leads = pa.array([lead] + [","] * (len(texts) - 1), texts.type)
+                yield pa.record_batch([pc.binary_join_element_wise(leads, texts, pa.scalar("", texts.type))], ["value"])
+                lead, n = ",", n + len(texts)
+        if n or TaskContext.get().partitionId() == 0:
+            end = json.dumps({**fixed, "feature_count": n}, ensure_ascii=False)
+            yield pa.record_batch([pa.array([("" if n else lead) + f'],"metadata":{end}}}'])], ["value"])
+
+    # An empty row in a partition of its own, so that a table without partitions is written as well.
+    rows = features.select("value").union(features.sparkSession.range(0, 1, 1, 1).select(F.lit(None).cast("string")))
+    if files is not None:
+        rows = rows.repartition(files)
+    rows.mapInArrow(documents, "value string").write.mode("overwrite").option("maxRecordsPerFile", 0).text(path)
+
+
 def read_feature_lines(spark: SparkSession, path: str, properties: str, coordinates: str = "array<array<double>>") -> DataFrame:
     """Features written one per line; splits like any text file."""
     schema = f"type string, id string, geometry struct<type:string,coordinates:{coordinates}>, properties struct<{properties}>"
@@ -69,11 +104,17 @@ def read_feature_lines(spark: SparkSession, path: str, properties: str, coordina
 
 
 def read_feature_collection(spark: SparkSession, path: str, properties: str, coordinates: str = "array<array<double>>") -> DataFrame:
-    """Features of whole FeatureCollection documents (one document per file)."""
+    """Features of whole FeatureCollection documents (one document per file); a file is read by one task."""
     schema = f"type string, features array<struct<type:string,id:string,geometry:struct<type:string,coordinates:{coordinates}>,properties:struct<{properties}>>>"
     return spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("features").alias("f")).select("f.*")
 
 
+def read_collection_counts(spark: SparkSession, path: str) -> DataFrame:
+    """(file, features) as the metadata of written collections state them."""
+    meta = spark.read.schema("metadata struct<feature_count:bigint>").option("multiLine", True).json(path)
+    return meta.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("file"), F.col("metadata.feature_count").alias("features"))
+
+
 def validate_features(df: DataFrame, text: str, null_geometry: bool = True) -> DataFrame:
     """Add ``valid`` and ``reason`` to rows of Feature text."""
     parsed = F.from_json(F.col(text), "type string, geometry struct<type:string,coordinates:string>, properties string")

@@ -1,9 +1,13 @@
 """Delimited files: dialects, encodings, and what goes to the quarantine."""
 
+import json
+
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from kerbline.sources import delimited as D
+from kerbline.sources import records as J
 
 NAMES = ["id", "name"]
 
@@ -52,3 +56,16 @@ def test_files_and_quarantine(spark, tmp_path):
     bad = [(r["path"].rpartition("/")[2], r["line"], r["cells"], r["reason"]) for r in D.rejects(scanned).collect()]
     assert sorted(bad) == [("a.csv", 3, ["2", "b", "c"], "more cells than columns"), ("c.csv", 0, None, "column missing: name")]
     assert D.read_any_csv(spark, str(tmp_path / "c.csv"), NAMES).collect() == [("c.csv", "9", None)]
+
+
+def test_collections_round_trip(spark, tmp_path):
+    rows = spark.range(50).selectExpr("if(id=7, null, id) as id", "id * 0.5D as x", "'\u00e4 \"q\"' as name")
+    text = F.when(F.col("id").isNotNull(), J.to_feature(J.point_geometry("x", "x"), ["id", "name"], "id"))
+    J.write_collections(rows.select(text.alias("value")), str(tmp_path / "c"), {"note": "a \"b\""}, files=3)
+    docs = [json.loads(f.read_text(encoding="utf-8")) for f in (tmp_path / "c").glob("part-*")]
+    assert sum(len(d["features"]) for d in docs) == 49 and all(d["metadata"] == {"note": 'a "b"', "feature_count": len(d["features"])} for d in docs)
+    back = J.read_feature_collection(spark, str(tmp_path / "c"), "id:bigint,name:string", "array<double>").select("properties.*", "geometry.coordinates").collect()
+    assert sorted((r.id, r.name, r.coordinates) for r in back) == [(i, 'ä "q"', [i * 0.5] * 2) for i in range(50) if i != 7]
+    J.write_collections(rows.select(text.alias("value")).limit(0), str(tmp_path / "none"))
+    empty = [json.loads(f.read_text()) for f in (tmp_path / "none").glob("part-*")]
+    assert empty == [{"type": "FeatureCollection", "features": [], "metadata": {"feature_count": 0}}]
